@@ -4,9 +4,10 @@ Method: a document by shingle incidence matrix, multiplied with its transpose in
 must be multiplied: if |x & y| >= t |x | y|, then x and y share one of the first |x| - ceil(t |x|) + 1
 shingles in an order that is the same for all documents, and places in that order bound the overlap further.
 
-1. Every document gets its set of shingle hashes and a class: equal sets, equal class. Frequent shingles are
-   found by counts in fixed slots; the order puts them last, so a passage that many documents share seldom
-   lies within a prefix.
+1. Every document gets its set of shingle hashes and a class: equal sets, equal class. A first exchange counts
+   the shingles that may come into prefixes. The order puts frequent ones last, so a passage that documents
+   share seldom lies within a prefix. A table of fixed size holds the levels; if more shingles recur than it
+   has room for, only the more frequent ones are in it. The table decides how much is compared, not the result.
 2. Prefixes of classes are dealt by hash into blocks of columns. A block yields a spanning forest of the
    classes that may be linked, never their pairs.
 3. Connected classes become blocks of rows, large ones cut into tiles. The blocked product gives exact
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, batch, components, find, forest, lower_words, map_arrow, partitions, prepare, shingle_hashes, staged, union
 
-#: Slots of the counts, and how many of the largest are kept; both fix the size of the broadcast table (1 byte a slot).
-SLOTS, HOT_SLOTS = 1 << 22, 1 << 16
+#: Slots of the table of levels (1 byte each), and how many of them may be in use. Both bound the broadcast.
+SLOTS, HOT_SLOTS = 1 << 25, 1 << 22
+#: Documents that a shingle must be in to be moved back, and the share of a document's shingles that is counted.
+RECURS, COUNTED = 3, 0.4
+#: Bytes of a hash that blocks are sent; a wrong match costs a comparison and changes nothing.
+SENT = 5
 #: Shingles of a tile, and entries that a task gathers before it sends them.
 TILE, FLUSH = 2_000_000, 3_000_000
 #: Documents of a dense tile, and columns of it.
@@ -53,27 +58,80 @@ def class_of(g: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).view(np.int64))
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("slot", pa.int32()), ("seen", pa.int64())])
+def packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, seen, classes = WordHash(), np.zeros(SLOTS, np.int32), set()
-    total = 0
-    for b in batches:
-        n, cls = [], []
-        for text in b.column(1).to_pylist():
-            g = grams(text, words)
-            n.append(len(g))
-            cls.append(class_of(g) if len(g) else None)
-            if len(g) and cls[-1] not in classes:
-                classes.add(cls[-1])
-                seen[(g & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # a slot counts once a document
-                total += len(g)
-        yield batch(_SETS, b.column(0), n, cls, [None] * len(n), [None] * len(n))
-    hot = np.flatnonzero(seen >= max(12, 4 * total // SLOTS))
-    if len(hot) > HOT_SLOTS:
-        hot = hot[np.argsort(-seen[hot], kind="stable")[:HOT_SLOTS]]
-    yield batch(_SETS, [None] * len(hot), [None] * len(hot), [None] * len(hot), hot, seen[hot])
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SENT, 8), np.uint8)
+    out[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
+    return out.view(np.uint64).ravel()
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def dealt(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of keys that are below 2 ** 24."""
+    to = key * buckets >> 24
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        yield int(to[at[0]]), at
+
+
+_SETS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("h", pa.binary())])
+
+
+def _sets(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes = WordHash(), set()
+        held: list[np.ndarray] = []
+        entries = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                h = np.concatenate(held)
+                rows = [(b, None, None, None, packed(h[at])) for b, at in dealt(slots(h) * (1 << 24) // SLOTS, buckets)]
+                for lo in range(0, len(rows), 64):
+                    yield batch(_SETS, *zip(*rows[lo : lo + 64], strict=True))
+
+        for b in batches:
+            n, cls = [], []
+            for text in b.column(1).to_pylist():
+                g = grams(text, words)
+                n.append(len(g))
+                cls.append(class_of(g) if len(g) else None)
+                if len(g) and cls[-1] not in classes:
+                    classes.add(cls[-1])
+                    held.append(g[: int(COUNTED * len(g)) + 1])
+                    entries += len(held[-1])
+            yield batch(_SETS, [-1 - abs(i or 0) % buckets for i in b.column(0).to_pylist()], b.column(0), n, cls, [None] * len(n))
+            if entries >= FLUSH:
+                yield from flush()
+                held, entries = [], 0
+        yield from flush()
+
+    return run
+
+
+_LEVELS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("level", pa.int32()), ("count", pa.int64()), ("slots", pa.binary())])
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """Rows of documents as they are; of a block of shingles, the slots of those that recur, by powers of two."""
+    if table.num_rows == 0 or table.column("bucket")[0].as_py() < 0:
+        none = [None] * table.num_rows
+        return pa.Table.from_batches([batch(_LEVELS, *(table.column(c).combine_chunks() for c in ("doc_id", "n", "cls")), none, none, none)])
+    h = np.sort(np.concatenate([unpacked(x.as_py()) for x in table.column("h")]))
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    seen = np.diff(np.append(starts, len(h)))
+    on = seen >= RECURS
+    slot, level = slots(h[starts[on]]).astype(np.int32), np.floor(np.log2(seen[on])).astype(np.int32)
+    own = [(int(k), slot[level == k]) for k in np.unique(level)]
+    none = [None] * len(own)
+    return pa.Table.from_batches([batch(_LEVELS, none, none, none, [k for k, _ in own], [len(x) for _, x in own], [x.tobytes() for _, x in own])])
 
 
 _PARTS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("at", pa.binary()), ("pos", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
@@ -93,14 +151,10 @@ def _prefixes(level, buckets: int, num: int, den: int):
             h, at = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
             pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in held])
             cls, n = np.array(own, np.int64), np.array(sizes, np.int32)
-            to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            h, at, pos, to = h[order], at[order], pos[order], to[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
             rows: list[tuple] = []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True):
-                used, local = np.unique(at[lo:hi], return_inverse=True)
-                rows.append((int(to[lo]), h[lo:hi].tobytes(), local.astype(np.uint32).tobytes(), pos[lo:hi].tobytes(), cls[used].tobytes(), n[used].tobytes()))
+            for bucket, here in dealt((h >> np.uint64(40)).astype(np.int64) & ((1 << 24) - 1), buckets):
+                used, local = np.unique(at[here], return_inverse=True)
+                rows.append((bucket, packed(h[here]), local.astype(np.uint32).tobytes(), pos[here].tobytes(), cls[used].tobytes(), n[used].tobytes()))
             for lo in range(0, len(rows), 64):
                 yield batch(_PARTS, *zip(*rows[lo : lo + 64], strict=True))
 
@@ -110,7 +164,7 @@ def _prefixes(level, buckets: int, num: int, den: int):
                 if not len(g) or (cls := class_of(g)) in classes:
                     continue
                 classes.add(cls)
-                order = np.argsort(lev[(g & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
+                order = np.argsort(lev[slots(g)], kind="stable")
                 held.append(g[order[: prefix_length(len(g), num, den)]])
                 own.append(cls)
                 sizes.append(len(g))
@@ -176,7 +230,7 @@ def _columns(num: int, den: int):
         h, cls, n, pos = [], [], [], []
         for row in table.to_pylist():
             at = np.frombuffer(row["at"], np.uint32)
-            h.append(np.frombuffer(row["h"], np.uint64))
+            h.append(unpacked(row["h"]))
             cls.append(np.frombuffer(row["cls"], np.int64)[at])
             n.append(np.frombuffer(row["n"], np.int32)[at])
             pos.append(np.frombuffer(row["pos"], np.int32))
@@ -275,13 +329,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     num, den = percent, 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = staged(map_arrow(docs, _sets, "doc_id long, n long, cls long, slot int, seen long"), "sets")
-    own = first.where("slot is null").select("doc_id", "n", "cls")
-
-    level = np.zeros(SLOTS, np.uint8)
-    hot = first.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "slot").limit(HOT_SLOTS)
-    for slot, seen in hot.collect():  # HOT_SLOTS rows at most
-        level[slot] = min(255, 1 + int(8 * np.log2(seen)))
+    counted = map_arrow(docs, _sets(partitions(spark)), "bucket long, doc_id long, n long, cls long, h binary")
+    first = staged(counted.groupBy("bucket").applyInArrow(_levels, "doc_id long, n long, cls long, level int, count long, slots binary"), "sets")
+    own = first.where("level is null").select("doc_id", "n", "cls")
+
+    level, room = np.zeros(SLOTS, np.uint8), HOT_SLOTS
+    sizes = {r[0]: r[1] for r in first.where("level is not null").groupBy("level").agg(F.sum("count")).collect()}
+    kept = []
+    for k in sorted(sizes, reverse=True):
+        room -= sizes[k]
+        if room < 0:
+            break
+        kept.append(k)
+    for k, raw in first.where(F.col("level").isin(kept)).select("level", "slots").toLocalIterator():  # HOT_SLOTS slots at most
+        at = np.frombuffer(raw, np.int32)
+        level[at] = np.maximum(level[at], k)
     parts = map_arrow(docs.select("text"), _prefixes(spark.sparkContext.broadcast(level), partitions(spark), num, den), "bucket int, h binary, at binary, pos binary, cls binary, n binary")
     maybe = components(parts.groupBy("bucket").applyInArrow(_columns(num, den), "a long, b long"))
 
