@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 FORMAT = 1
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset, as in tests, a new folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
