@@ -124,7 +124,8 @@ def class_counts(parsed: DataFrame) -> DataFrame:
 
 
 def load_places(spark: SparkSession, path: str, limit: int = 0, include: list[str] | None = None, exclude_admin: bool = False) -> DataFrame:
-    """Raises ValueError if no row can be used."""
+    """Raises ValueError if no row can be used, and for unknown classes before it opens the file."""
+    check_feature_classes(include or [])
     rows = kept(parse_places(read_lines(spark, path), include, exclude_admin), limit)
     if rows.isEmpty():
         raise ValueError(f"{path} has no place")
