@@ -36,6 +36,8 @@ RECURS, COUNTED = 3, 0.4
 SENT = 5
 #: Shingles of a tile, and entries that a task gathers before it sends them.
 TILE, FLUSH = 2_000_000, 3_000_000
+#: Rows of ids below which a table is sent to all executors (some 50 MB); a larger one is joined by shuffling both sides.
+SENT_ROWS = 1_000_000
 #: Documents of a dense tile, and columns of it.
 ROWS, COLUMNS = 256, 16_384
 
@@ -353,7 +355,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = kept.join(tiles, "comp").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     blocks = 4 * partitions(spark)
     kept = kept.withColumn("block", F.when(F.col("tiles") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(blocks))))
-    rows = docs.join(kept, "doc_id").select("cls", "comp", "tile", "tiles", "block", "text")
+    rows = docs.join(bounded(staged(kept, "candidates")), "doc_id").select("cls", "comp", "tile", "tiles", "block", "text")
     sets = map_arrow(rows, _grams, "cls long, comp long, i int, j int, block long, grams binary")
     links = components(sets.groupBy("block", "i", "j").applyInArrow(_product(num, den), "a long, b long"))
 
@@ -368,9 +370,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row of each group of linked rows, that of the least id, with all its columns.
 
-    Rows with the same id count as one. Rows without an id stay unless they are linked with one that has an id.
+    Rows with the same id count as one. Rows without an id stay.
     """
-    found = jaccard_join(docs, id_col, text_col, percent)
-    kept = staged(found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    own = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return own.dropDuplicates([id_col])
+    found = staged(jaccard_join(docs, id_col, text_col, percent), "found")
+    dropped = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    own = docs.join(bounded(dropped), docs[id_col].cast("long") == dropped["dropped_id"], "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if repeated.isEmpty():
+        return own
+    return own.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(own.where(F.col(id_col).isNull()))
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """The table, to be sent to all executors if it has at most SENT_ROWS rows."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
