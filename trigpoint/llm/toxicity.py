@@ -153,6 +153,7 @@ class Model:
     """Learns insults on one half of the rows and how far to trust them on the other, and then insults on all."""
 
     def __init__(self, rows: list[tuple[str | None, int]]):
+        rows = [r for r in rows if r[1]] + [r for r in rows if not r[1]]  # both halves get as many of each label
         features = np.zeros((len(rows), 2))
         halves = [rows[0::2], rows[1::2]]
         # both halves count the same terms, as those of one half may be few in the other
