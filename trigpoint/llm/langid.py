@@ -100,11 +100,15 @@ def _predict(sent):
 def learn(docs: DataFrame, vocabulary: str, train: Column) -> Model:
     """A model from ROWS rows a language, those with the least hashes of their ids, of rows where train holds."""
     spark = prepare(docs.sparkSession)
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # hashes below this share of their range hold twice as many rows as are needed, so no task reads a whole language
+    shares = spark.createDataFrame([(lang, min(1.0, 2 * ROWS / n)) for lang, n in counts], "lang string, share double")
+    known = labelled.where(F.col("text").isNotNull()).join(F.broadcast(shares), "lang")
+    low = known.where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= ROWS)
-    languages = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chosen = [r[0] for r in ids.where(F.col("lang").isin(languages)).select("doc_id").collect()]  # ROWS x LANGUAGES at most
+    ids = low.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= ROWS)
+    chosen = [r[0] for r in ids.select("doc_id").collect()]  # ROWS x LANGUAGES at most
     chosen = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     samples: dict[str, list[str | None]] = {}
     for lang, text in known.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text").toLocalIterator():
