@@ -23,7 +23,7 @@ from .common import batch, map_arrow, to_bytes
 NONE = np.int32(np.iinfo(np.int32).max)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces that a worker remembers, and the cells of a matrix.
-REMEMBERED, CELLS = 250_000, 2_000_000
+REMEMBERED, CELLS = 400_000, 2_000_000
 #: Rows of more bytes than this are merged by a heap, as a round costs time in proportion to a row's length.
 LONG = 512
 
@@ -174,30 +174,28 @@ class Merges:
 
 
 class Coder:
-    """Encodes and decodes texts; remembers the pieces it has met."""
+    """Encodes and decodes texts; remembers the pieces it has met, with their ids as decimal numbers and their bytes."""
 
     def __init__(self, vocabulary: str, pattern: str):
         self.merges = Merges(read_ranks(vocabulary))
+        self.numerals = list(map(str, range(len(self.merges.lengths))))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.written: dict[str, str] = {}
-        self.read: dict[str, bytes] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-            self.written.clear()
-            self.read.clear()
+        if len(self.known) + len(pieces) > REMEMBERED:  # pieces that have come before and come again stay
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
         new = [p for p in pieces if p not in self.known]
         for p, ids in zip(new, self.merges.encode([to_bytes(p) for p in new]), strict=True):
-            self.known[p] = ids
-            self.written[p] = ",".join(map(str, ids))
-            self.read[p] = self.merges.decode(ids)
+            self.known[p] = ",".join(map(self.numerals.__getitem__, ids)), self.merges.decode(ids)
 
-    def pieces(self, texts: list[str | None]) -> list[list[str]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
+        """Each text's ids, joined by commas, and the bytes that they decode to."""
         found = [self.split(t or "") for t in texts]
         self.learn(set().union(*found))
-        return found
+        for pieces in found:
+            ids, decoded = zip(*map(self.known.__getitem__, pieces), strict=True) if pieces else ((), ())
+            yield ",".join(ids), b"".join(decoded)
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -235,9 +233,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         for b in batches:
             doc_id, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in chunks(texts):
-                found = c.pieces(texts[lo:hi])
-                ids = [[i for p in pieces for i in c.known[p]] for pieces in found]
-                yield batch(schema, doc_id[lo:hi], ids, [c.merges.decode(x) for x in ids])
+                ids, decoded = zip(*c.encode(texts[lo:hi]), strict=True)
+                yield batch(schema, doc_id[lo:hi], [list(map(int, x.split(","))) if x else [] for x in ids], decoded)
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, ids array<int>, decoded binary")
 
@@ -265,11 +262,10 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
             doc_id, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 n, ids_sha, decoded_sha = [], [], []
-                for pieces in c.pieces(texts[lo:hi]):
-                    ids = ",".join(map(c.written.__getitem__, pieces))
+                for ids, decoded in c.encode(texts[lo:hi]):
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join(map(c.read.__getitem__, pieces))).hexdigest())
+                    decoded_sha.append(hashlib.sha256(decoded).hexdigest())
                 yield batch(schema, doc_id[lo:hi], n, ids_sha, decoded_sha)
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
