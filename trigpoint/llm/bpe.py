@@ -23,7 +23,7 @@ from .common import batch, map_arrow, to_bytes
 NONE = np.int32(np.iinfo(np.int32).max)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces that a worker remembers, and the cells of a matrix.
-REMEMBERED, CELLS = 400_000, 2_000_000
+REMEMBERED, CELLS = 100_000, 2_000_000
 #: Rows of more bytes than this are merged by a heap, as a round costs time in proportion to a row's length.
 LONG = 512
 
