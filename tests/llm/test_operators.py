@@ -204,6 +204,18 @@ def test_lm_base_is_brute_force(spark):
     assert {(r.train_tokens, r.n_known) for r in alone} == {(0, 0)} and all(math.isfinite(r.score) for r in alone)
 
 
+def test_lm_weights_rest_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 5)
+    texts = [f"qqzz{i} zzqq{i}" for i in range(40)] + [f"walking talker{i} homeward{i % 9}" for i in range(80)]
+
+    def scores(own):
+        return {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(own, "doc_id long, text string"), queries.vocabulary("piece_bpe_32k.model"), F.col("doc_id") % 7 == 2).collect()}
+
+    rows = list(enumerate(texts))
+    one, other = scores(rows), scores(rows[::-1])
+    assert len(one) == len(texts) and all(math.isclose(one[i], other[i], rel_tol=1e-9) for i in one)
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\n\nb"),
     ("<nav>menu</nav><article><h1>T &amp; U</h1><p>One  two<br>three<p><b>x</b>y</p></article><footer>f</footer>", "T & U\n\nOne two three\n\nxy"),

@@ -125,7 +125,11 @@ class Lattice:
 
     def expected(self, words: list[bytes], weights: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """How often each piece occurs in words with these weights, in expectation over segmentations. logp: [piece + 1]."""
-        counts = np.zeros(self.size + 1)
+        return self.expected_fit(words, weights, logp)[0]
+
+    def expected_fit(self, words: list[bytes], weights: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
+        """Those counts, and the log-probability of all words with their weights."""
+        counts, fit = np.zeros(self.size + 1), 0.0
         lp = logp[:, None]
         for at, own, ids in self.groups(words):
             n, width = ids[0].shape
@@ -134,6 +138,7 @@ class Lattice:
             b[own, np.arange(n)] = 0
             w = weights[at]
             total = f[own, np.arange(n)]
+            fit += float(total @ w)
             for i in range(width - 1, -1, -1):
                 terms = np.stack([b[i + k] + logp[ids[k - 1][:, i]] for k in range(1, min(len(ids), width - i) + 1)])
                 top = terms.max(0)
@@ -145,7 +150,7 @@ class Lattice:
                 here = np.concatenate([ids[k][:, i] for k in range(len(terms))])
                 on = here >= 0
                 np.add.at(counts, here[on], share.ravel()[on])
-        return counts[: self.size]
+        return counts[: self.size], fit
 
 
 def log_table(counts: np.ndarray, floor: float) -> np.ndarray:

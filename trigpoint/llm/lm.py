@@ -2,7 +2,7 @@
 
 Method: a text is a sequence of words and one end. A word's lattice has the pieces of a fixed public
 vocabulary as arcs, and the whole word as one more arc if training texts have it. Piece weights are learned by
-expectation maximisation over all training words; a forward recursion in log space sums all segmentations, and
+expectation maximisation over all training words, in rounds over the whole corpus until the likelihood settles; a forward recursion in log space sums all segmentations, and
 the sums multiply to the marginal probability of the text.
 
 The corpus is dealt by words. Documents send their distinct words with their frequencies, packed into arrays,
@@ -30,8 +30,8 @@ from .lattice import Lattice, log_table, sentencepiece_pieces
 HOT, SAMPLE = 1024, 2000
 #: Pairs of document and word that a task gathers before it sends them.
 FLUSH = 1_500_000
-#: Bytes of the longest piece; count given to every piece; rounds of learning on the sample and on the corpus.
-LONGEST, FLOOR, ROUNDS_SAMPLE, ROUNDS = 12, 0.5, 4, 1
+#: Bytes of the longest piece; count given to every piece; learning ends when a round gains less (natural logarithm, per training token).
+LONGEST, FLOOR, SETTLED = 12, 0.5, 1e-3
 #: Bounds of the share that the arc of a whole word has: one less the share of training tokens that occur once.
 WHOLE = (0.05, 0.99)
 _LN10 = np.log(10)
@@ -132,18 +132,20 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_arrow([(bucket, None, None, None, int((c > 0).sum()), b" ".join(place), c.tobytes(), *map(b"".join, (docs, per_doc, w, tf)), int((c == 1).sum()))])])
 
 
+#: The last of the counts is the log-likelihood.
 _COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
 
 def _expect(pieces, logp):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts, part = Lattice(pieces.value), np.zeros(len(pieces.value)), 0
+        lattice, counts, part = Lattice(pieces.value), np.zeros(len(pieces.value) + 1), 0
         for b in batches:
             for bucket, words, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 c, words, part = np.frombuffer(c, np.int64), words.split(b" "), bucket
                 on = np.flatnonzero(c)
                 if len(on):
-                    counts += lattice.expected([b" " + words[i] for i in on], c[on].astype(float), logp.value)
+                    own, fit = lattice.expected_fit([b" " + words[i] for i in on], c[on].astype(float), logp.value)
+                    counts += np.append(own, fit)
         yield batch(_COUNTS, [part % 64], [counts.tobytes()])
 
     return run
@@ -154,6 +156,30 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(_COUNTS, [table.column("part")[0].as_py()], [total.tobytes()])])
 
 
+def _learn(of_words: DataFrame, own_pieces: list[bytes], pieces, n: int, ends: int) -> tuple[np.ndarray, float]:
+    """Log-probabilities of the pieces and of the end, from all training words: n tokens, of them so many ends.
+
+    A round with FLOOR added to its counts can't lower the likelihood times the pieces' probabilities to the power of FLOOR,
+    and this is bounded, so the rounds come to an end without a limit on their number.
+    """
+    send = of_words.sparkSession.sparkContext.broadcast
+    logp, log_end, last = log_table(np.array([float(len(p)) for p in own_pieces]), 0), float(np.log(1e-4)), -np.inf
+    while ends:
+        sent = send(logp)
+        parts = map_arrow(of_words.select("bucket", "words", "c"), _expect(pieces, sent), "part int, counts binary")
+        sums = parts.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()  # 64 rows at most
+        sent.unpersist()
+        found = sum((np.frombuffer(r[1], np.float64) for r in sums), np.zeros(len(own_pieces) + 1))
+        fit = found[-1] + ends * log_end + FLOOR * logp[:-1].sum()
+        counts = found[:-1] + FLOOR
+        total = counts.sum() + ends
+        logp, log_end = np.append(np.log(counts / total), -np.inf), float(np.log(ends / total))
+        if fit - last < SETTLED * n:
+            break
+        last = fit
+    return logp, log_end
+
+
 class Weights:
     """What scoring needs besides a word's count."""
 
@@ -233,11 +259,9 @@ def lm_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: str =
     send = spark.sparkContext.broadcast
     buckets = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    seen, tokens = Counter(), Counter()
+    seen = Counter()
     for (text,) in docs.where("NOT held_out").select("text").limit(SAMPLE).toLocalIterator():
-        own = lower_words(text)
-        seen.update(set(own))
-        tokens.update(own)
+        seen.update(set(lower_words(text)))
     hot_words = [w for w, k in seen.most_common(HOT) if k >= SAMPLE // 40]
 
     dealt = map_arrow(docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "text"), _deal(hot_words, buckets), _ROW)
@@ -249,18 +273,7 @@ def lm_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: str =
 
     own_pieces = sentencepiece_pieces(vocabulary, LONGEST)
     lattice, pieces = Lattice(own_pieces), send(own_pieces)
-    logp = log_table(np.array([float(len(p)) for p in own_pieces]), 0)
-    sample = [b" " + w for w in tokens]
-    for _ in range(ROUNDS_SAMPLE if sample else 0):
-        logp = log_table(lattice.expected(sample, np.array(list(tokens.values()), float), logp), FLOOR)
-    total = 0.0
-    for _ in range(ROUNDS if n else 0):
-        parts = map_arrow(of_words.select("bucket", "words", "c"), _expect(pieces, send(logp)), "part int, counts binary")
-        sums = parts.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()  # 64 rows at most
-        counts = sum(np.frombuffer(r[1], np.float64) for r in sums) + FLOOR
-        total = counts.sum() + ends
-        logp = np.append(np.log(counts / total), -np.inf)
-    log_end = float(np.log(ends / total)) if ends and total else float(np.log(1e-4))
+    logp, log_end = _learn(of_words, own_pieces, pieces, n, ends)
     weights = Weights(logp, log_end, n, v, once)
 
     # counts of hot words: their rows are those of their buckets
