@@ -68,6 +68,12 @@ def test_radius_is_brute_force(spark):
     assert got == want
 
 
+def test_top_populations_has_the_whole_table(spark):
+    rows, places = some_places(spark, 7000)
+    want = sorted((-p[6], p[0]) for p in rows if p[6] > 0)[:4096]
+    assert [(-r.population, r.row_id) for r in nearest.top_populations(places).collect()] == want and len(want) == 4096
+
+
 def test_empty_places_and_bad_points(spark):
     _, places = some_places(spark)
     bad = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 91.0, 0.0), (4, 0.0, float("inf"))], "qid long, lat double, lon double")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import RADIUS, chord, gravity, haversine_km, unit_vector
 from ..plans.tables import cut
 
-#: Places of the table that every gravity query is compared with; its size bounds the broadcast.
-TOP = 1024
+#: Places of the table of top populations, and of the part of it that every gravity query is compared with; the latter bounds the broadcast.
+TABLE, TOP = 4096, 1024
 _WIDER = 1 + 1e-9
 _FARTHEST = math.pi * RADIUS
 #: Widths of cubes are chords of 1 km times powers of this.
@@ -86,7 +86,7 @@ def nearest(queries: DataFrame, places: DataFrame, first_km: float | None = None
         km *= 4
 
 
-def top_populations(places: DataFrame, k: int = TOP) -> DataFrame:
+def top_populations(places: DataFrame, k: int = TABLE) -> DataFrame:
     """The k most populous places, positive ones alone; of equals, those of least row_id."""
     return places.where("population > 0").orderBy(F.desc("population"), "row_id").limit(k)
 
