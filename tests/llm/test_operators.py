@@ -273,6 +273,14 @@ def test_toxicity(spark):
     assert toxicity.Model([]).score(np.zeros((1, 2)))[0] == pytest.approx(0.5)
 
 
+def test_threats_before_and_after_their_target():
+    g = toxicity.Grammar({"zurkish": 3.0})
+    assert g.clauses("I will kill you.") == g.clauses("you I will kill.") == [toxicity.THREAT_WEIGHT * toxicity.TARGETED]
+    assert g.clauses("kill the process") == [] == g.clauses("kill it. you")
+    assert g.clauses("never kill you") == [toxicity.THREAT_WEIGHT * toxicity.NEGATED * toxicity.TARGETED]
+    assert g.clauses("kill you zurkish") == g.clauses("you zurkish kill") and g.clauses("kill the zurkish") == [3.0]
+
+
 def test_decontamination_is_brute_force(spark):
     r = random.Random(5)
     make = lambda k: [f"w{r.randint(0, 300)}" for _ in range(k)]

@@ -90,7 +90,7 @@ class Grammar:
                 if symbol == "I":
                     weight = max(weight, w) + 0.25 * min(weight, w)
                 else:
-                    threats += w if weight or target else 0.0
+                    threats += w
                 negated = 0
         if weight or threats and target:
             out.append((weight + (threats if target else 0.0)) * (TARGETED if target else 1.0))
