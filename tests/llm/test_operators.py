@@ -233,6 +233,19 @@ def test_html(spark):
     assert htmltext.main_text("<div>" * 20_000 + "deep") in ("deep",)
 
 
+@pytest.mark.parametrize("n", [10, 20, 200])
+def test_html_long_pages_without_article(n):
+    paragraph = "A sentence of some fifty characters, as they usually go. " * 7
+    before, after = [f"{i} {paragraph.strip()}" for i in range(n // 2)], [f"{i} {paragraph.strip()}" for i in range(n // 2, n)]
+    tags = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    items, quote = [f"item {i} with a few words that make up sixty characters or so." for i in range(3)], "A quotation, said by someone."
+    inner = f"{tags(before)}<ul>{''.join(f'<li>{t}</li>' for t in items)}</ul><blockquote>{quote}</blockquote><pre>x = 1</pre>{tags(after)}"
+    links = "<ul>" + "<li><a href=x>Somewhere else on this site</a></li>" * 9 + "</ul>"
+    page = f"<body>{links}<div><h1>T</h1><div>{inner}</div>{links}</div><div><div>(c) 2024</div></div></body>"
+    got = htmltext.main_text(page).split("\n\n")
+    assert got[: n + 6] == ["T", *before, *items, quote, "x = 1", *after] and "Somewhere else on this site" not in got
+
+
 def test_rollups_commit_once(spark, tmp_path):
     r = rollups.Rollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0

@@ -3,13 +3,15 @@
 Method: a page's text blocks are grouped by their path of tags from the root. For each path the length of
 its text, its punctuation and the text in links are summed, both ratios are smoothed over neighbouring
 blocks and fused to a weight, and the paths above a threshold are content. The article is the part of the
-page around the heaviest path: the nearest `article` or `main`, else the element that holds its blocks. Parts that say
+page around the heaviest path: the nearest `article` or `main`, else the path that holds all content paths, with the blocks
+between and above content that aren't links. A path is content by the mean weight of its blocks, whatever their number. Parts that say
 what they are (`nav`, `footer`, a class `ad` and so on) never take part.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -152,6 +154,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 THRESHOLD, LINKS = 0.05, 0.5
 
 
+def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """What all paths begin with."""
+    return tuple(os.path.commonprefix(paths))
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; empty if there is none."""
     own = blocks(page or "")
@@ -171,7 +178,8 @@ def main_text(page: str | None) -> str:
     total, size, points, link = (np.bincount(at, weights=x, minlength=len(paths)) for x in (np.ones(len(own)), length_s, marks_s, linked))
     raw = np.bincount(at, weights=length, minlength=len(paths))
     density = link / np.maximum(raw, 1)
-    weight = np.sqrt(size * (size / total)) * (1 + points / np.maximum(total, 1)) * (1 - density)
+    factor = (1 + points / np.maximum(total, 1)) * (1 - density)
+    weight = size / np.sqrt(total) * factor
     article = np.array([any(t in ARTICLE for t in p) for p in paths])
     if article.any():
         weight = np.where(article, weight, 0)
@@ -184,10 +192,20 @@ def main_text(page: str | None) -> str:
         root = top[: inside[0] + 1]
         keep = [p[: len(root)] == root for p, _, _ in own]
     else:
-        root = top[:-1] if len(top) > 1 else top
-        content = (weight >= THRESHOLD * weight[best]) & (density <= LINKS)
+        # means, so that a path's number of blocks has no say; the unsmoothed ones for paths outside the heaviest one's element
+        mean, plain = size / total * factor, raw / total * (1 + np.bincount(at, weights=marks, minlength=len(paths)) / total) * (1 - density)
+        content = (mean >= THRESHOLD * mean[best]) & (density <= LINKS)
         heading = np.array([bool(p) and re.fullmatch(r"h[1-6]", p[-1]) is not None for p in paths])
-        keep = [p[: len(root)] == root and bool(content[index[p]] or heading[index[p]] or density[index[p]] <= LINKS and p == top) for p, _, _ in own]
+        wide = (plain >= THRESHOLD * plain[best]) & (density <= LINKS)
+        wide[best] = True
+        first = int(np.argmax(wide[at]))
+        titles = {int(k) for k in at[:first] if paths[k] and paths[k][-1] in ("h1", "h2") and density[k] <= LINKS}
+        root = _common([paths[k][:-1] for k in {*np.flatnonzero(wide).tolist(), *titles}])
+        inside_root = np.array([p[: len(root)] == root for p in paths])[at]
+        core = inside_root & content[at]
+        core |= inside_root & (at == best)
+        last = int(np.flatnonzero(core).max())
+        keep = core | inside_root & (heading[at] | (np.arange(len(own)) < last) & (linked <= LINKS * length))
     return "\n\n".join(t for (_, t, _), k in zip(own, keep, strict=True) if k)
 
 
