@@ -246,6 +246,12 @@ def test_html_long_pages_without_article(n):
     assert got[: n + 6] == ["T", *before, *items, quote, "x = 1", *after] and "Somewhere else on this site" not in got
 
 
+def test_html_lists_of_links_inside_main():
+    links = "<ul>" + "<li><a href=x>Somewhere else on this site</a></li>" * 9 + "</ul>"
+    page = f"<main><h1><a href=x>T</a></h1>{links}<p>Text, <a href=y>a link</a> and more of it.</p><p><a href=z>Only a link</a></p></main>"
+    assert htmltext.main_text(page) == "T\n\nText, a link and more of it.\n\nOnly a link"
+
+
 def test_rollups_commit_once(spark, tmp_path):
     r = rollups.Rollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0

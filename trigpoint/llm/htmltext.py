@@ -3,7 +3,7 @@
 Method: a page's text blocks are grouped by their path of tags from the root. For each path the length of
 its text, its punctuation and the text in links are summed, both ratios are smoothed over neighbouring
 blocks and fused to a weight, and the paths above a threshold are content. The article is the part of the
-page around the heaviest path: the nearest `article` or `main`, else the path that holds all content paths, with the blocks
+page around the heaviest path: the nearest `article` or `main` without its lists of links, else the path that holds all content paths, with the blocks
 between and above content that aren't links. A path is content by the mean weight of its blocks, whatever their number. Parts that say
 what they are (`nav`, `footer`, a class `ad` and so on) never take part.
 """
@@ -187,15 +187,17 @@ def main_text(page: str | None) -> str:
     if weight[best] <= 0 and not article.any():
         return ""
     top = paths[best]
+    heading = np.array([bool(p) and re.fullmatch(r"h[1-6]", p[-1]) is not None for p in paths])
     inside = [k for k, t in enumerate(top) if t in ARTICLE]
     if inside:
         root = top[: inside[0] + 1]
-        keep = [p[: len(root)] == root for p, _, _ in own]
+        # lists of links go, but not titles, nor a link amid text of the same path
+        menu = (density > LINKS) & ~heading
+        keep = np.array([p[: len(root)] == root for p in paths])[at] & ~(menu[at] & (linked > LINKS * length))
     else:
         # means, so that a path's number of blocks has no say; the unsmoothed ones for paths outside the heaviest one's element
         mean, plain = size / total * factor, raw / total * (1 + np.bincount(at, weights=marks, minlength=len(paths)) / total) * (1 - density)
         content = (mean >= THRESHOLD * mean[best]) & (density <= LINKS)
-        heading = np.array([bool(p) and re.fullmatch(r"h[1-6]", p[-1]) is not None for p in paths])
         wide = (plain >= THRESHOLD * plain[best]) & (density <= LINKS)
         wide[best] = True
         first = int(np.argmax(wide[at]))
