@@ -165,6 +165,17 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in langid.predict(docs_of(spark, ["abc"]), none).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" * 3, f"l{i:03}") for i in range(203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, queries.vocabulary("byte_bpe_multi_50k.tiktoken"), F.lit(True))
+    assert model.languages == [lang for _, _, lang in rows]
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(docs.where("doc_id >= 195"), model).collect()} == {(i, lang) for i, _, lang in rows[195:]}
+    blocks = langid.Scorer(model).totals([t for _, t, _ in rows[:20]])[0]
+    monkeypatch.setattr(langid, "BLOCK", 1000)
+    assert np.array_equal(blocks, langid.Scorer(model).totals([t for _, t, _ in rows[:20]])[0])
+
+
 def test_rules(spark):
     texts = [*ODD, "w1 w2 w3 w4 w5 w6 w7 w8 " * 2 + " ".join(f"wording{i}" for i in range(60)), "line one\nline one\n\nline two\n" + " ".join(f"wording{i}" for i in range(40)), " ".join(f"word{i}###" for i in range(40))]
     rows = {r.doc_id: r for r in rules.apply_policy(rules.ledger(docs_of(spark, texts)), "web-1").collect()}

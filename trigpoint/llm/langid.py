@@ -21,11 +21,12 @@ from .bpe import chunks
 from .common import batch, filter_rows, map_arrow, prepare
 from .lattice import Lattice, log_table, tiktoken_pieces
 
-#: Labelled rows per language, languages, and rounds of learning.
-ROWS, LANGUAGES, ROUNDS = 300, 200, 3
+#: Labelled rows per language, and rounds of learning.
+ROWS, ROUNDS = 300, 3
 #: Bytes of the longest piece, and the count that every piece is given besides its own.
 LONGEST, FLOOR = 10, 0.05
-REMEMBERED = 250_000
+#: Words and log-probabilities (words x languages) that a worker remembers, and languages that are scored at a time.
+REMEMBERED, CELLS, BLOCK = 250_000, 1_000_000, 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,12 +62,14 @@ class Scorer:
         """Log-probabilities [text, language], and numbers of words."""
         found = [letter_words(t) for t in texts]
         words = set().union(*found)
-        if len(self.place) + len(words) > REMEMBERED:
+        if len(self.place) + len(words) > min(REMEMBERED, CELLS // max(1, len(self.model.languages))):
             self.place, self.table = {}, self.table[:0]
         new = [w for w in words if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.lattice.scores([b" " + w.encode("utf-8", "surrogatepass") for w in new], self.model.logp)])
+            own, logp = [b" " + w.encode("utf-8", "surrogatepass") for w in new], self.model.logp
+            fresh = [self.lattice.scores(own, logp[:, lo : lo + BLOCK]) for lo in range(0, max(1, logp.shape[1]), BLOCK)]
+            self.table = np.concatenate([self.table, np.concatenate(fresh, 1)])
         out = np.zeros((len(texts), self.table.shape[1]))
         for i, own in enumerate(found):
             if own:
@@ -101,14 +104,14 @@ def learn(docs: DataFrame, vocabulary: str, train: Column) -> Model:
     """A model from ROWS rows a language, those with the least hashes of their ids, of rows where train holds."""
     spark = prepare(docs.sparkSession)
     labelled = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
     # hashes below this share of their range hold twice as many rows as are needed, so no task reads a whole language
     shares = spark.createDataFrame([(lang, min(1.0, 2 * ROWS / n)) for lang, n in counts], "lang string, share double")
     known = labelled.where(F.col("text").isNotNull()).join(F.broadcast(shares), "lang")
     low = known.where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = low.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= ROWS)
-    chosen = [r[0] for r in ids.select("doc_id").collect()]  # ROWS x LANGUAGES at most
+    chosen = [r[0] for r in ids.select("doc_id").collect()]  # ROWS a language at most
     chosen = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     samples: dict[str, list[str | None]] = {}
     for lang, text in known.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text").toLocalIterator():
