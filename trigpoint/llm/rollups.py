@@ -3,7 +3,7 @@
 Method: an insert adds a row's tokens, a delete takes them away, a revised count adds the difference. A
 batch of deltas is summed by source, language and tokenizer version and committed under its id as one folder.
 The folder appears by Spark's commit protocol, whole or not at all, so a commit that is repeated, after a lost
-driver too, leaves the totals as they are. Totals are sums over committed batches; compact() merges them.
+driver too, leaves the totals as they are. Totals are sums over committed batches, which are never merged.
 """
 
 from __future__ import annotations
