@@ -86,6 +86,41 @@ def test_jaccard_keep_one(spark):
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
+    """One text with copies at all distances, some linked only through others, some with none; a second family beside it."""
+    r = random.Random(5)
+    base, other = ([f"{c}{r.randint(0, 5000)}" for _ in range(60)] for c in "xy")
+    texts = [" ".join(base), " ".join(other), None, " ".join(base)]
+    for k in range(90):
+        w = list(base if k % 3 else base[:30] + other[30:])
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(60)] = f"new{r.randint(0, 99)}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "TILE", 500)
+    got = sorted(map(tuple, jaccard.jaccard_join(docs_of(spark, texts)).collect()))
+    assert got == brute_components(texts)
+
+
+def test_jaccard_rows_without_id(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (None, "p q r s t"), (4, "p q r s t u v w"), (4, "other words stand here now"), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ROW_KEY", F.lit("kept"))
+    got = sorted(map(tuple, jaccard.jaccard_join(docs).collect()), key=repr)
+    assert got == sorted([(None, 2, 1), (3, 2, 1), (1, 2, 1), (None, 1, None), (4, 4, 4), (4, 1, 4), (5, 0, 5), (5, 0, 5), (6, 0, 6)], key=repr)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (None, "p q r s t"), (4, "p q r s t u v w"), (4, "other words stand here now"), (5, ""), (6, None)], key=repr)
+
+
+def test_bits_of_keys(spark):
+    keys = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    rows = spark.range(5000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("x"))
+    got = common.maybe_in(rows, F.col("x"), common.bits_of(keys, "k"), "hit").collect()
+    assert len(got) == 5000
+    assert all(r.hit for r in got if r.x is not None and r.x % 7 == 0)
+    assert sum(r.hit for r in got if r.x is None or r.x % 7) < 20
+    assert not any(r.hit for r in common.maybe_in(rows, F.col("x"), common.bits_of(keys.limit(0), "k"), "hit").collect())
+
+
 def test_linked_blocks():
     r = np.random.default_rng(1)
     base = np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64))
@@ -97,6 +132,16 @@ def test_linked_blocks():
             if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                 common.union(want, i, j)
     assert jaccard.linked(sets, 75, 100) == [common.find(want, i) for i in range(40)]
+    # across two sides alone, with some sets united beforehand
+    side, part = [i % 2 for i in range(40)], [i if i % 5 else 0 for i in range(40)]
+    want = list(range(40))
+    for i in range(40):
+        common.union(want, i, part[i])
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if side[i] != side[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                common.union(want, i, j)
+    assert jaccard.linked(sets, 75, 100, part, side) == [common.find(want, i) for i in range(40)]
 
 
 def ranks(name="byte_bpe_multi_50k.tiktoken"):

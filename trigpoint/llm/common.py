@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and nothing else; bytes above 127 are parts of other characters and stay.
@@ -40,8 +41,10 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests) a new one of this machine."""
+    """The folder that driver and executors share. Where none is set, a new one of this machine, which only a local master can use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
@@ -139,6 +142,47 @@ def filter_rows(docs: DataFrame, keep: Callable[[], Callable[[list], list]], col
     return docs.mapInArrow(run, docs.schema)
 
 
+#: Bits of the table of bits_of(), in rows of 32,768 bits: 16 MB at most, whatever it is made from.
+BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(BITS))
+
+
+def bits_of(table: DataFrame, key: str) -> DataFrame:
+    """(bit_row, bits): a bit for the hash of each key of a table, to be sent to all executors.
+
+    The size is fixed. The more keys there are, the more others share their bits, so it can only tell which rows of a
+    large table need not be looked up; the rest is joined exactly.
+    """
+    bit = _bit(F.col(key))
+    rows = table.select(F.floor(bit / ROW_BITS).alias("bit_row"), (bit % ROW_BITS).alias("bit"))
+    return rows.groupBy("bit_row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFrame:
+    """Rows with one more column: false if the key is surely not among those that the bits were made from. A null key is in none."""
+    bit = F.coalesce(_bit(key), F.lit(0))
+    row, byte = F.floor(bit / ROW_BITS), (F.floor(bit / 8) % (ROW_BITS // 8) + 1).cast("int")
+    hit = F.conv(F.hex(F.substring("_bits", byte, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    table = F.broadcast(bits.select(F.col("bit_row").alias("_bit_row"), F.col("bits").alias("_bits")))  # BITS / ROW_BITS rows at most
+    joined = rows.join(table, row == F.col("_bit_row"), "left")
+    return joined.withColumn(flag, key.isNotNull() & F.coalesce(hit, F.lit(False))).drop("_bit_row", "_bits")
+
+
+def blocks_for(df: DataFrame, megabytes: int = 16) -> int:
+    """How many blocks to deal a table into: so many megabytes each by Spark's estimate of its size, and one for each partition of a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(size // (megabytes << 20), 1 << 20))
+
+
+def free_name(schema, wanted: str) -> str:
+    """A column name that a table doesn't have, whatever the case of its letters."""
+    have = {f.name.lower() for f in schema}
+    return next(n for n in (wanted + "_" * k for k in range(len(have) + 1)) if n.lower() not in have)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
