@@ -334,26 +334,94 @@ def test_urls(spark):
     assert not urlfilter.DigestArray([]).holds(["a"]).any()
 
 
+def label_rows(n, seed):
+    r = random.Random(seed)
+    plain = lambda: " ".join(r.choice(["the", "tree", "is", "green", "and", "we", "walk", "home", "thing"]) for _ in range(30))
+    return [(i, f"{plain()}. you {r.choice(['zurkish', 'blorted'])}{r.choice(['a', 'b'])} thing. {plain()}", 1) if i % 4 == 0 else (i, plain(), 0) for i in range(n)]
+
+
 def test_toxicity(spark):
-    r = random.Random(4)
-    plain = lambda: " ".join(r.choice(["the", "tree", "is", "green", "and", "we", "walk", "home"]) for _ in range(30))
-    rows = [(f"{plain()}. you {r.choice(['zurkish', 'blorted'])}{r.choice(['a', 'b'])} thing. {plain()}", 1) if i % 4 == 0 else (plain(), 0) for i in range(240)]
-    model = toxicity.Model(rows)
+    rows = label_rows(240, 4)
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(0, "another text of the same id", "x"), (None, "no id", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] + [(0, 0), (None, 1), (5, None), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    again = toxicity.learn(docs.repartition(7), labels.orderBy(F.desc("doc_id")), F.lit(True))
+    assert model.insults == again.insults and np.allclose(model.weights, again.weights)
     g = toxicity.Grammar(model.insults)
-    score = lambda t: float(model.score(np.array([g.evidence(t)]))[0])
+    score = lambda t: float(model.score(g.read(t)[0][None])[0])
     assert score("you zurkishc") >= 0.7 > score("the tree is green") and score(None) == score("") < 0.5
-    heavy = lambda t: max(g.clauses(t), default=0)
-    assert heavy("you are zurkisha") > heavy("it is zurkisha") > heavy("it is not zurkisha") and heavy("they said zurkisha") < heavy("it is zurkisha")
+    assert score("it is zurkisha") > score("it is not zurkisha") and score("they zurkisha") > score("said zurkisha")
+    held = label_rows(120, 9)
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.score(spark.createDataFrame([x[:2] for x in held], "doc_id long, text string"), model).collect()}
+    assert [got[i] for i, _, _ in held] == [bool(k) for *_, k in held]
     assert toxicity.score(docs_of(spark, ODD), model).count() == len(ODD)
-    assert toxicity.Model([]).score(np.zeros((1, 2)))[0] == pytest.approx(0.5)
+    assert toxicity.score(docs_of(spark, ODD).limit(0), model).count() == 0
+    none = toxicity.learn(docs, labels.limit(0), F.lit(True))
+    assert none.insults == {} and 0 < none.score(np.zeros((1, len(toxicity.WEIGHTS))))[0] < 1
+
+
+def by_hand(symbols):
+    """The grammar's rules without transducers: weights of each clause, by name."""
+    out, reported, quoted, negated, since = [], False, False, 0, 0
+    parts, at = [], 0
+    for i, x in enumerate(symbols + "."):
+        if x in ".:":
+            parts.append((symbols[at:i], x))
+            at = i + 1
+    for part, ending in parts:
+        own, negated, some = Counter(), 0, False
+        for x in part:
+            if x in toxicity.HARM:
+                if x == "h" and "t" not in part:
+                    negated = 0
+                    continue
+                own[x] += 1
+                own["negated"] += negated > 0
+                own["reported"] += reported or quoted
+                own["targeted"] += "t" in part and x != "h"
+                own["further"] += some
+                some, negated = True, 0
+            elif x == "n":
+                negated = toxicity.REACH
+            elif x == "q":
+                quoted, reported = (False, False) if quoted else (reported, False)
+            else:
+                reported = reported or x == "r" and not quoted
+                negated = max(0, negated - 1)
+        reported = reported and ending == ":"
+        if some:
+            out.append({k: v for k, v in own.items() if v})
+    return out
+
+
+def test_grammar_is_its_rules():
+    r = random.Random(8)
+    names, g = list(toxicity.WEIGHTS), toxicity.Grammar({})
+    for _ in range(3000):
+        symbols = "".join(r.choice("abch" + "tnrq:.---") for _ in range(r.randint(0, 14)))
+        got = [{names[i]: int(v) for i, v in enumerate(c) if v} for c in g.clauses(symbols)]
+        assert got == by_hand(symbols), symbols
+
+
+def test_composition_is_the_cascade():
+    r = random.Random(2)
+    steps = [toxicity.negation(), toxicity.report(), toxicity.target(), toxicity.clause()]
+    whole = steps[0].then(steps[1]).then(steps[2]).then(steps[3])
+    for _ in range(300):
+        tapes = [(tuple(r.choice("abchtnrq:.-") for _ in range(r.randint(0, 9))), ())]
+        want = whole.paths(tapes[0][0])
+        for t in steps:
+            tapes = [(out, names + more) for tape, names in tapes for out, more in t.paths(tape)]
+        assert sorted((out, sorted(names)) for out, names in tapes) == sorted((out, sorted(names)) for out, names in want)
 
 
 def test_threats_before_and_after_their_target():
-    g = toxicity.Grammar({"zurkish": 3.0})
-    assert g.clauses("I will kill you.") == g.clauses("you I will kill.") == [toxicity.THREAT_WEIGHT * toxicity.TARGETED]
-    assert g.clauses("kill the process") == [] == g.clauses("kill it. you")
-    assert g.clauses("never kill you") == [toxicity.THREAT_WEIGHT * toxicity.NEGATED * toxicity.TARGETED]
-    assert g.clauses("kill you zurkish") == g.clauses("you zurkish kill") and g.clauses("kill the zurkish") == [3.0]
+    g, names = toxicity.Grammar({"zurkish": 3}), list(toxicity.WEIGHTS)
+    read = lambda t: [{names[i] for i in np.flatnonzero(c)} for c in g.clauses(g.symbols(t))]
+    assert read("I will kill you.") == read("you I will kill.") == [{"h"}]
+    assert read("kill the process") == [] == read("kill it. you")
+    assert read("never kill you") == [{"h", "negated"}]
+    assert read("he said: I will kill you") == [{"h", "reported"}] and read("you zurkish") == [{"c", "targeted"}]
 
 
 def test_decontamination_is_brute_force(spark):
