@@ -375,7 +375,7 @@ def by_hand(symbols):
                 if x == "h" and "t" not in part:
                     negated = 0
                     continue
-                own[x] += 1
+                own.update("abc"[: "abc".index(x) + 1] if x in "abc" else x)
                 own["negated"] += negated > 0
                 own["reported"] += reported or quoted
                 own["targeted"] += "t" in part and x != "h"
@@ -421,7 +421,7 @@ def test_threats_before_and_after_their_target():
     assert read("I will kill you.") == read("you I will kill.") == [{"h"}]
     assert read("kill the process") == [] == read("kill it. you")
     assert read("never kill you") == [{"h", "negated"}]
-    assert read("he said: I will kill you") == [{"h", "reported"}] and read("you zurkish") == [{"c", "targeted"}]
+    assert read("he said: I will kill you") == [{"h", "reported"}] and read("you zurkish") == [{"a", "b", "c", "targeted"}]
 
 
 def test_decontamination_is_brute_force(spark):

@@ -47,7 +47,7 @@ HARM = INSULTS + "h"
 #: Words that a negation reaches.
 REACH = 3
 #: Weights of arcs, and of the logarithm of a text's tokens, as longer texts hold more that looks like harm by chance; with the values that learning starts from and is drawn to.
-WEIGHTS = {"a": 1.5, "b": 2.5, "c": 3.5, "h": 2.5, "negated": -1.5, "reported": -1.0, "targeted": 0.5, "further": -0.5, "length": -0.5}
+WEIGHTS = {"a": 1.5, "b": 1.0, "c": 1.0, "h": 2.5, "negated": -1.5, "reported": -1.0, "targeted": 0.5, "further": -0.5, "length": -0.5}
 
 #: How strongly weights are drawn to those values: the constant hardly, those that rows seldom speak of more than the others.
 FREE, DRAWN, STIFF = 1e-3, 0.3, 5.0
@@ -91,11 +91,12 @@ def target() -> Transducer:
 
 
 def clause() -> Transducer:
-    """Weighs harm; what follows the first harm of a clause is `further`. A threat counts with a target alone."""
+    """Weighs harm; what follows the first harm of a clause is `further`. A threat counts with a target alone. An insult has the
+    weights of the levels below its own too, so a level that learning hasn't met is worth no less than they are."""
     arcs = []
     for x in HARM:
         for marks in (n + r + t for n in ("", "n") for r in ("", "r") for t in ("", "t")):
-            names = (x, *(("negated",) * ("n" in marks)), *(("reported",) * ("r" in marks)), *(("targeted",) * ("t" in marks and x != "h")))
+            names = (*(INSULTS[: INSULTS.index(x) + 1] if x in INSULTS else x), *(("negated",) * ("n" in marks)), *(("reported",) * ("r" in marks)), *(("targeted",) * ("t" in marks and x != "h")))
             idle = x == "h" and "t" not in marks
             for s in ("none", "some"):
                 own = () if idle else names + ("further",) * (s == "some")
