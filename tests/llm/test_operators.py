@@ -302,10 +302,57 @@ def test_html_long_pages_without_article(n):
     assert got[: n + 6] == ["T", *before, *items, quote, "x = 1", *after] and "Somewhere else on this site" not in got
 
 
-def test_html_lists_of_links_inside_main():
+def test_html_lists_of_links():
     links = "<ul>" + "<li><a href=x>Somewhere else on this site</a></li>" * 9 + "</ul>"
     page = f"<main><h1><a href=x>T</a></h1>{links}<p>Text, <a href=y>a link</a> and more of it.</p><p><a href=z>Only a link</a></p></main>"
     assert htmltext.main_text(page) == "T\n\nText, a link and more of it.\n\nOnly a link"
+    text = "<p>" + "A sentence of the article, with a comma in it. " * 5 + "</p>"
+    for page in (f"<div>{text}<ul><li><a href=x>A link item of the article</a></ul>{text}</div>", f"<article>{text}{links}{text}</article>"):
+        assert len(htmltext.main_text(page).split("\n\n")) == 2 + page.count("<li>")  # between content links stay
+
+
+def test_html_teasers_and_sidebars():
+    text = "<p>" + "A sentence of the article, with a comma in it. " * 5 + "</p>"
+    page = f"<body><article>{text * 3}</article><article><h2>Another</h2><p>One line, read on.</p></article></body>"
+    assert htmltext.main_text(page).count("A sentence") == 15 and "Another" not in htmltext.main_text(page)
+    page = f"<body><div><p>Short, to the side.</p><p>Also there.</p></div><div>{text * 4}</div></body>"  # the same path of tags
+    assert htmltext.main_text(page).count("A sentence") == 20 and "side" not in htmltext.main_text(page)
+
+
+def test_html_by_ratios_without_names():
+    """Pages whose article is a plain div among plain divs, and an ablation without the threshold."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    blank = lambda h: h.replace("article>", "div>").replace(' class="ad"', "").replace("nav>", "div>").replace("footer>", "div>")
+
+    def figures():
+        found = [(htmltext.main_text(r["html"]).split("\n\n"), htmltext.main_text(blank(r["html"])).split("\n\n")) for r in rows]
+        shared = sum(sum(map(len, [x for x in got if x in want])) for want, got in found)
+        return shared / sum(len(x) for _, got in found for x in got), shared / sum(len(x) for want, _ in found for x in want), sum(a == b for a, b in found)
+
+    precision, recall, whole = figures()
+    assert precision > 0.975 and recall > 0.999 and whole > len(rows) / 2
+    kept, htmltext.THRESHOLD = htmltext.THRESHOLD, 0.0
+    try:
+        assert figures()[2] == 0
+    finally:
+        htmltext.THRESHOLD = kept
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for piece in ("<div>x", "<ul><li>x", "<p><b>x", "<article>x", "<table><tr><td>x"):
+        began = time.time()
+        htmltext.main_text(piece * 20_000)
+        assert time.time() - began < 5, piece
+
+
+def test_html_empty_table_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a, b</p>", "x"), (1, "u", "<p>a, b</p>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted(((r.page_id, r.text) for r in htmltext.extract(pages).collect()), key=repr) == [(1, "a, b"), (1, "a, b"), (None, "")]
+    assert htmltext.extract(pages.limit(0)).count() == 0
 
 
 def test_rollups_commit_once(spark, tmp_path):

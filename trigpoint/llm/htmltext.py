@@ -1,17 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-Method: a page's text blocks are grouped by their path of tags from the root. For each path the length of
-its text, its punctuation and the text in links are summed, both ratios are smoothed over neighbouring
-blocks and fused to a weight, and the paths above a threshold are content. The article is the part of the
-page around the heaviest path: the nearest `article` or `main` without its lists of links, else the path that holds all content paths, with the blocks
-between and above content that aren't links. A path is content by the mean weight of its blocks, whatever their number. Parts that say
-what they are (`nav`, `footer`, a class `ad` and so on) never take part.
+Method: a page is a sequence of text blocks, each below a path of elements from the root; blocks of one tag in the same
+element share a path. For each path the length of its text, its punctuation and its text in links are summed. The
+ratios are smoothed over neighbours within an element and fused to the path's weight; paths above a share of the page's mean weight are
+content. Text of content paths counts for the elements around it, other text against them, and the element with the
+highest sum holds the article. Blocks at its edges that are no content go, those between content stay.
+
+`article` and `main` are a prior: text outside of them counts against an element unless content outside is PRIOR times as
+long as inside. Parts that say what they are (`nav`, `footer`, a class `ad` and so on) never take part. All steps take time in
+proportion to the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html
-import os
 import re
 from collections.abc import Iterator
 
@@ -57,158 +59,216 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of a page's text blocks in order, without the parts that are noise by name."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # element, and whether it or one around it is noise
-    names: list[str] = []
-    held: list[str] = []
-    path: tuple[str, ...] = ()
-    links = articles = 0
-
-    def end() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(held)).split())
-        if text:
-            out.append((path, text, links))
-        held.clear()
-        links = 0
-
-    def pop() -> None:
-        nonlocal articles
-        tag, _ = stack.pop()
-        names.pop()
-        articles -= tag in ARTICLE
-
-    def text(piece: str) -> None:
-        nonlocal path, links
-        if not piece or stack and stack[-1][1]:
-            return
-        if not held:
-            if piece.isspace():
+class Page:
+    """Elements in document order, and text blocks without the parts that are noise by name."""
+
+    def __init__(self, page: str):
+        self.tags, self.parents, self.in_article = [""], [0], [False]
+        #: (element, text, characters in links)
+        self.blocks: list[tuple[int, str, int]] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is noise, element
+        open_at: dict[str, list[int]] = {}  # places of a tag's open elements in the stack
+        solid: list[int] = []  # places of those that aren't inline
+        held: list[str] = []
+        element = links = 0
+
+        def end() -> None:
+            nonlocal links
+            text = " ".join(html.unescape("".join(held)).split())
+            if text:
+                self.blocks.append((element, text, links))
+            held.clear()
+            links = 0
+
+        def last(tags) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+        def cut(place: int) -> None:
+            while len(stack) > place:
+                open_at[stack.pop()[0]].pop()
+                if solid and solid[-1] >= len(stack):
+                    solid.pop()
+
+        def text(piece: str) -> None:
+            nonlocal element, links
+            if not piece or stack and stack[-1][1]:
                 return
-            path = tuple(t for t in names if t not in INLINE)
-        held.append(piece)
-        if "a" in names:
-            links += len(piece.strip())
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            if tag in names:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if tag in INLINE and any(t not in INLINE for t in names[k:]):
-                    continue  # an inline end tag doesn't close blocks
-                if tag not in INLINE:
+            if not held:
+                if piece.isspace():
+                    return
+                element = stack[solid[-1]][2] if solid else 0
+            held.append(piece)
+            if open_at.get("a"):
+                links += len(piece.strip())
+
+        at, size = 0, len(page)
+        while at < size:
+            m = _TAG.search(page, at)
+            if m is None:
+                text(page[at:])
+                break
+            text(page[at : m.start()])
+            at = m.end()
+            closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if closing:
+                k = last((tag,))
+                if k >= 0:
+                    if tag in INLINE and solid and solid[-1] > k:
+                        continue  # an inline end tag doesn't close blocks
+                    if tag not in INLINE:
+                        end()
+                    cut(k)
+                elif tag not in INLINE:
                     end()
-                while len(names) > k:
-                    pop()
-            elif tag not in INLINE:
+                continue
+            if tag == "br":
+                text("\n" if held else "")
+                continue
+            if tag not in INLINE:
                 end()
-            continue
-        if tag == "br":
-            text("\n" if held else "")
-            continue
-        if tag not in INLINE:
-            end()
-            if tag in CLOSES_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not any(t in ("td", "th", "table", "div", "button", "object") for t in names[k:]):
-                    while len(names) > k:
-                        pop()
-            if tag in SIBLINGS:
-                close, stop = SIBLINGS[tag]
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in close:
-                        while len(names) > k:
-                            pop()
+                if tag in CLOSES_P and (k := last(("p",))) >= 0 and last(("td", "th", "table", "div", "button", "object")) < k:
+                    cut(k)
+                if tag in SIBLINGS:
+                    close, stop = SIBLINGS[tag]
+                    while (k := last(close)) > last(stop - close):
+                        cut(k)
                         if tag != "tr":
                             break
-                    elif names[k] in stop:
-                        break
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        noise = bool(stack and stack[-1][1]) or _noise(tag, attrs, articles > 0)
-        if tag in RAW:  # ends at its own end tag only
-            e = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-            at = size if e is None else e.end()
-            continue
-        stack.append((tag, noise))
-        names.append(tag)
-        articles += tag in ARTICLE
-    end()
-    return out
+            if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use"):
+                continue
+            inside = self.in_article[stack[solid[-1]][2]] if solid else False
+            noise = bool(stack and stack[-1][1]) or _noise(tag, attrs, inside)
+            if tag in RAW:  # ends at its own end tag only
+                e = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
+                at = size if e is None else e.end()
+                continue
+            own = 0
+            if tag not in INLINE:
+                own = len(self.tags)
+                self.parents.append(stack[solid[-1]][2] if solid else 0)
+                self.tags.append(tag)
+                self.in_article.append(inside or tag in ARTICLE)
+                solid.append(len(stack))
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, noise, own))
+        end()
 
 
-#: Share of the heaviest path's weight above which a path is content, and text in links above which it isn't.
-THRESHOLD, LINKS = 0.05, 0.5
+#: Share of a page's mean weight above which a path is content, and share of text in links above which it isn't.
+THRESHOLD, LINKS = 0.3, 0.5
+#: How many times as long as inside of `article` and `main`, and how long at least, content outside must be to count.
+PRIOR, LEAST = 10, 500
+#: Blocks of links alone that make a menu, and the share of the longest article above which another one isn't a teaser.
+MENU, TEASER = 3, 0.5
 
 
-def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
-    """What all paths begin with."""
-    return tuple(os.path.commonprefix(paths))
+def _smooth(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Over neighbours of the same group; at a group's edge a block stands in for its missing neighbour."""
+    before = np.where(np.append(False, group[1:] == group[:-1]), np.roll(x, 1), x)
+    after = np.where(np.append(group[1:] == group[:-1], False), np.roll(x, -1), x)
+    return 0.25 * before + 0.5 * x + 0.25 * after
 
 
 def main_text(page: str | None) -> str:
     """The article of a page; empty if there is none."""
-    own = blocks(page or "")
-    if not own:
+    own = Page(page or "")
+    if not own.blocks:
         return ""
-    paths = sorted({p for p, _, _ in own})
-    index = {p: i for i, p in enumerate(paths)}
-    at = np.array([index[p] for p, _, _ in own])
-    length = np.array([len(t) for _, t, _ in own], float)
-    marks = np.array([len(_MARKS.findall(t)) for _, t, _ in own], float)
-    linked = np.array([min(n, len(t)) for _, t, n in own], float)
-    if len(own) > 2:  # smoothing over neighbours keeps short paragraphs between long ones
-        kernel = np.array([0.25, 0.5, 0.25])
-        length_s, marks_s = (np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in (length, marks))
-    else:
-        length_s, marks_s = length, marks
-    total, size, points, link = (np.bincount(at, weights=x, minlength=len(paths)) for x in (np.ones(len(own)), length_s, marks_s, linked))
-    raw = np.bincount(at, weights=length, minlength=len(paths))
-    density = link / np.maximum(raw, 1)
-    factor = (1 + points / np.maximum(total, 1)) * (1 - density)
-    weight = size / np.sqrt(total) * factor
-    article = np.array([any(t in ARTICLE for t in p) for p in paths])
-    if article.any():
-        weight = np.where(article, weight, 0)
-    best = int(weight.argmax())
-    if weight[best] <= 0 and not article.any():
+    element = np.array([e for e, _, _ in own.blocks])
+    length = np.array([len(t) for _, t, _ in own.blocks], float)
+    marks = np.array([len(_MARKS.findall(t)) for _, t, _ in own.blocks], float)
+    linked = np.array([min(n, len(t)) for _, t, n in own.blocks], float)
+    parent, tag = np.array(own.parents), [own.tags[e] for e in element]
+    holder = parent[element]
+    names = {t: i for i, t in enumerate(sorted(set(tag)))}
+    _, path = np.unique(holder * len(names) + np.array([names[t] for t in tag]), return_inverse=True)
+    total, chars, points, link = (np.bincount(path, weights=x) for x in (np.ones(len(path)), length, marks, linked))
+    density = (link / chars)[path]
+    weight = _smooth((chars / total)[path], holder) * (1 + _smooth((points / total)[path], holder)) * (1 - density)
+    heading = np.array([re.fullmatch("h[1-6]", t) is not None for t in tag])
+    title = np.array([t in ("h1", "h2") for t in tag]) & (density <= LINKS)
+    inside = np.array(own.in_article)[element]
+    only_links = linked > LINKS * length
+    text = (density <= LINKS) & ~only_links
+
+    content = text & (weight >= THRESHOLD * (weight @ length) / length.sum())
+    outside = (length * (content & ~inside)).sum()
+    prior = inside.any() and not (outside >= LEAST and outside >= PRIOR * (length * inside).sum())
+    if prior:
+        content = inside & (text | heading)
+    elif not content.any():
+        content = text if text.any() else np.ones(len(path), bool)
+    # what elements hold: content for them, links and other text against them; headings, and what is in an article, neither
+    gain = np.where(content, length, np.where(inside if prior else heading & (density <= LINKS), 0.0, -length))
+    sums = np.bincount(element, weights=gain, minlength=len(parent))
+    for e in range(len(parent) - 1, 0, -1):  # children come after their parents
+        sums[parent[e]] += sums[e]
+    root = int(len(sums) - 1 - np.argmax(sums[::-1]))  # of equals the innermost
+    for e in _up(root, parent):
+        if sums[e] < sums[root]:
+            break
+        if own.tags[e] in ARTICLE:
+            root = e
+    below = np.zeros(len(parent), bool)
+    below[root] = True
+    for e in range(root + 1, len(parent)):
+        below[e] = below[parent[e]]
+    keep = below[element]
+    if prior:
+        keep &= ~_teasers(own, element, np.where(content, length, 0.0))[element]
+    where = np.flatnonzero(keep & content)
+    if not len(where):
         return ""
-    top = paths[best]
-    heading = np.array([bool(p) and re.fullmatch(r"h[1-6]", p[-1]) is not None for p in paths])
-    inside = [k for k, t in enumerate(top) if t in ARTICLE]
-    if inside:
-        root = top[: inside[0] + 1]
-        # lists of links go, but not titles, nor a link amid text of the same path
-        menu = (density > LINKS) & ~heading
-        keep = np.array([p[: len(root)] == root for p in paths])[at] & ~(menu[at] & (linked > LINKS * length))
-    else:
-        # means, so that a path's number of blocks has no say; the unsmoothed ones for paths outside the heaviest one's element
-        mean, plain = size / total * factor, raw / total * (1 + np.bincount(at, weights=marks, minlength=len(paths)) / total) * (1 - density)
-        content = (mean >= THRESHOLD * mean[best]) & (density <= LINKS)
-        wide = (plain >= THRESHOLD * plain[best]) & (density <= LINKS)
-        wide[best] = True
-        first = int(np.argmax(wide[at]))
-        titles = {int(k) for k in at[:first] if paths[k] and paths[k][-1] in ("h1", "h2") and density[k] <= LINKS}
-        root = _common([paths[k][:-1] for k in {*np.flatnonzero(wide).tolist(), *titles}])
-        inside_root = np.array([p[: len(root)] == root for p in paths])[at]
-        core = inside_root & content[at]
-        core |= inside_root & (at == best)
-        last = int(np.flatnonzero(core).max())
-        keep = core | inside_root & (heading[at] | (np.arange(len(own)) < last) & (linked <= LINKS * length))
-    return "\n\n".join(t for (_, t, _), k in zip(own, keep, strict=True) if k)
+    first, last = where[0], where[-1]
+    here = np.arange(len(path))
+    edge = (here < first) | (here > last)
+    beside = np.isin(holder, holder[where]) & text
+    keep &= ~edge | beside | heading & text | inside & (text | prior) | title
+    alone = np.bincount(path, weights=only_links.astype(float))[path]  # blocks of links alone of the same path
+    keep &= ~(edge & only_links & ~title & (alone >= MENU) | _menus(only_links & (alone >= MENU), content & ~heading))
+    if not prior:  # titles that stand before the article's element, and text between them and it
+        before = here < np.flatnonzero(below[element])[0]
+        start = np.flatnonzero(title & before)
+        if len(start):
+            keep |= before & (here >= start[0]) & text & ((weight > 0) | title)
+    return "\n\n".join(t for (_, t, _), k in zip(own.blocks, keep, strict=True) if k)
+
+
+def _menus(links: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Runs of blocks of links that no content stands before, or none after."""
+    seen, to_come = np.cumsum(content), np.cumsum(content[::-1])[::-1]
+    return links & ((seen == 0) | (to_come == 0))
+
+
+def _teasers(own: Page, element: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each element whether it is, or is below, an `article` beside a much longer one."""
+    sums = np.bincount(element, weights=length, minlength=len(own.parents))
+    for e in range(len(sums) - 1, 0, -1):
+        sums[own.parents[e]] += sums[e]
+    outer = [e for e in range(1, len(sums)) if own.tags[e] == "article" and not _within_article(own, e)]
+    most = max((sums[e] for e in outer), default=0.0)
+    out = np.zeros(len(sums), bool)
+    out[[e for e in outer if sums[e] < TEASER * most]] = True
+    for e in range(1, len(sums)):
+        out[e] |= out[own.parents[e]]
+    return out
+
+
+def _within_article(own: Page, element: int) -> bool:
+    return own.tags[element] == "article" and any(own.tags[e] == "article" for e in _up(own.parents[element], own.parents)) if own.in_article[own.parents[element]] else False
+
+
+def _up(element: int, parents) -> Iterator[int]:
+    """An element and those around it."""
+    while element:
+        yield element
+        element = int(parents[element])
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
