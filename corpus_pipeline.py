@@ -8,28 +8,28 @@ from trigpoint.llm import bpe, common, decontam, jaccard, langid, queries, rules
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents that are in none of the languages that occur among labelled ones go; null and letterless texts are among them."""
     model = langid.learn(docs, queries.vocabulary("byte_bpe_multi_50k.tiktoken"), ~(queries.remainder(4) == 2))
     return langid.keep_known(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the policy go."""
+    """Documents that fail the policy go; null and empty texts have too few words."""
     return rules.keep_good(docs, "web-1")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
+    """Of each group of near duplicates the document with the least id stays, and of repeated rows one."""
     return jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. An item without words is in none."""
     return decontam.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document, and of what they decode to."""
+    """Digests of the ids of each document, and of what they decode to. A null text would count as an empty one."""
     return bpe.digests(docs, queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.pattern())
 
 

@@ -3,11 +3,13 @@
 Method: each language has probabilities over the pieces of a fixed public vocabulary. A word's probability in
 a language is the sum over all its segmentations, by a forward algorithm over padded matrices of words; a
 text's is the product over its words. Probabilities are learned by expectation maximisation from a bounded
-number of labelled rows.
+number of labelled rows. Beside the languages stands the table that learning starts from, in which a piece weighs as much as it has
+bytes: a text that it explains better than every language is in none of them, which keep_known() goes by.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,6 +51,12 @@ class Model:
             tables.append(logp)
         self.logp = np.stack(tables, 1) if tables else np.zeros((len(pieces) + 1, 0))
 
+    def with_none(self) -> Model:
+        """The same model with one more column, that of no language."""
+        out = copy.copy(self)
+        out.logp = np.concatenate([self.logp, log_table(np.array([float(len(p)) for p in self.pieces]), 0)[:, None]], 1)
+        return out
+
 
 class Scorer:
     """A worker's words and their log-probabilities."""
@@ -56,13 +64,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.table = np.zeros((0, model.logp.shape[1]))
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities [text, language], and numbers of words."""
         found = [letter_words(t) for t in texts]
         words = set().union(*found)
-        if len(self.place) + len(words) > min(REMEMBERED, CELLS // max(1, len(self.model.languages))):
+        if len(self.place) + len(words) > min(REMEMBERED, CELLS // max(1, self.table.shape[1])):
             self.place, self.table = {}, self.table[:0]
         new = [w for w in words if w not in self.place]
         if new:
@@ -100,21 +108,25 @@ def _predict(sent):
     return run
 
 
-def learn(docs: DataFrame, vocabulary: str, train: Column) -> Model:
-    """A model from ROWS rows a language, those with the least hashes of their ids, of rows where train holds."""
+def learn(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from ROWS rows a language, those with the least hashes of their ids, of rows where train holds.
+
+    Rows without a language, an id or a text are left out. Of rows with the same id and language the one whose text has the
+    least hash counts. A model of an empty table knows no language.
+    """
     spark = prepare(docs.sparkSession)
-    labelled = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().collect()  # a row a language
+    own = docs.where(train).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = own.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.groupBy("lang").count().collect()  # a row a language
     # hashes below this share of their range hold twice as many rows as are needed, so no task reads a whole language
     shares = spark.createDataFrame([(lang, min(1.0, 2 * ROWS / n)) for lang, n in counts], "lang string, share double")
-    known = labelled.where(F.col("text").isNotNull()).join(F.broadcast(shares), "lang")
-    low = known.where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= F.col("share"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = low.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= ROWS)
-    chosen = [r[0] for r in ids.select("doc_id").collect()]  # ROWS a language at most
-    chosen = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    low = known.join(F.broadcast(shares), "lang").where(F.xxhash64("id") / 2.0**64 + 0.5 <= F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = low.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= ROWS).select("id", "lang")
+    chosen = spark.createDataFrame(chosen.collect(), "id long, lang string")  # ROWS a language at most
+    texts = known.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     samples: dict[str, list[str | None]] = {}
-    for lang, text in known.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text").toLocalIterator():
+    for lang, text in texts.orderBy("lang", "id").select("lang", "text").toLocalIterator():
         samples.setdefault(lang, []).append(text)
     return Model(tiktoken_pieces(vocabulary, LONGEST), samples)
 
@@ -130,9 +142,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), _predict(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; those that predict() calls `und` go."""
-    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+def keep_known(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in one of these languages, or in any that the model knows, with all their columns.
+
+    A text is in its likeliest language, unless it has no letter, or pieces weighed by their length alone make it likelier than
+    that language does. Null texts go, and so does all if the model has no languages. Repeated rows are judged each for
+    itself; an empty table stays empty.
+    """
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(model.with_none())
+    wanted = [i for i, name in enumerate(model.languages) if languages is None or name in languages]
 
     def keep():
         scorer = Scorer(sent.value)
@@ -141,7 +159,8 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             out = []
             for lo, hi in chunks(texts):
                 total, n = scorer.totals(texts[lo:hi])
-                out += [bool(k) and total.shape[1] > 0 and bool(np.isfinite(t).any()) for k, t in zip(n, total, strict=True)]
+                best = total.argmax(1)  # of equals, a language comes before none
+                out += [bool(k) and int(b) in wanted for k, b in zip(n, best, strict=True)]
             return out
 
         return judge
