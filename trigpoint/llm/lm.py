@@ -2,8 +2,8 @@
 
 Method: a text is a sequence of words and one end. A word's lattice has the pieces of a fixed public
 vocabulary as arcs, and the whole word as one more arc if training texts have it. Piece weights are learned by
-expectation maximisation over all training words, in rounds over the whole corpus until the likelihood settles; a forward recursion in log space sums all segmentations, and
-the sums multiply to the marginal probability of the text.
+expectation maximisation over all training words, in rounds over the whole corpus until the likelihood settles; a
+forward recursion in log space sums all segmentations, and the sums multiply to the marginal probability of the text.
 
 The corpus is dealt by words. Documents send their distinct words with their frequencies, packed into arrays,
 to blocks of words; a block counts its words over all documents, scores each word once and sends partial sums
@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, lower_words, map_arrow, partitions, prepare, staged
+from .common import batch, blocks_for, lower_words, map_arrow, prepare, staged
 from .lattice import Lattice, log_table, sentencepiece_pieces
 
 #: Words that stay with their documents, and documents of the sample that they are chosen on.
 HOT, SAMPLE = 1024, 2000
 #: Pairs of document and word that a task gathers before it sends them.
 FLUSH = 1_500_000
-#: Bytes of the longest piece; count given to every piece; learning ends when a round gains less (natural logarithm, per training token).
-LONGEST, FLOOR, SETTLED = 12, 0.5, 1e-3
+#: Bytes of the longest piece that takes part, which is more than any piece of the vocabulary has; count given to every piece; learning ends when a round gains less (natural logarithm, per training token).
+LONGEST, FLOOR, SETTLED = 64, 0.5, 1e-3
 #: Bounds of the share that the arc of a whole word has: one less the share of training tokens that occur once.
 WHOLE = (0.05, 0.99)
 _LN10 = np.log(10)
@@ -257,12 +257,16 @@ def lm_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: str =
     """
     spark = prepare(docs.sparkSession)
     send = spark.sparkContext.broadcast
-    buckets = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    buckets = blocks_for(docs)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = docs.where("NOT held_out AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(*order).limit(SAMPLE).collect()
+    ids = F.broadcast(spark.createDataFrame([tuple(r) for r in ids], "doc_id long"))
+    once = docs.where("NOT held_out").join(ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     seen = Counter()
-    for (text,) in docs.where("NOT held_out").select("text").limit(SAMPLE).toLocalIterator():
+    for (text,) in once.select("text").toLocalIterator():
         seen.update(set(lower_words(text)))
-    hot_words = [w for w, k in seen.most_common(HOT) if k >= SAMPLE // 40]
+    hot_words = [w for w, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:HOT] if k >= SAMPLE // 40]
 
     dealt = map_arrow(docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "text"), _deal(hot_words, buckets), _ROW)
     rows = staged(dealt.groupBy("bucket").applyInArrow(_merge, _ROW), "words")
