@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, to_bytes
 
+#: What an id that no token has is decoded to.
+_UNKNOWN = "\ufffd".encode()
 NONE = np.int32(np.iinfo(np.int32).max)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces that a worker remembers, and the cells of a matrix.
@@ -170,7 +172,7 @@ class Merges:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join([self.tokens.get(i, _UNKNOWN) for i in ids])
 
 
 class Coder:
@@ -198,6 +200,41 @@ class Coder:
             yield ",".join(ids), b"".join(decoded)
 
 
+class Counter:
+    """Counts the ids of texts by several vocabularies; remembers each piece's numbers of ids, in one integer."""
+
+    def __init__(self, vocabularies: tuple[str, ...], pattern: str):
+        self.merges = [Merges(read_ranks(v)) for v in vocabularies]
+        self.split = regex.compile(pattern).findall
+        self.known: dict[str, int] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        new = [p for p in pieces if p not in self.known]
+        raw = [to_bytes(p) for p in new]
+        found = [m.encode(raw) for m in self.merges]
+        for i, p in enumerate(new):
+            self.known[p] = sum(len(ids[i]) << 48 * k for k, ids in enumerate(found))
+
+    def count(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text its numbers of ids, by vocabulary."""
+        split = [self.split(t or "") for t in texts]
+        self.learn(set().union(*split))
+        sums = [sum(map(self.known.__getitem__, pieces)) for pieces in split]
+        return [[x >> 48 * k & (1 << 48) - 1 for k in range(len(self.merges))] for x in sums]
+
+
+_counters: dict[tuple[tuple[str, ...], str], Counter] = {}
+
+
+def counter(vocabularies: tuple[str, ...], pattern: str) -> Counter:
+    """A worker reads vocabularies once."""
+    if (vocabularies, pattern) not in _counters:
+        _counters[vocabularies, pattern] = Counter(vocabularies, pattern)
+    return _counters[vocabularies, pattern]
+
+
 _coders: dict[tuple[str, str], Coder] = {}
 
 
@@ -240,7 +277,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of rows of ids; null ids give a null text; bytes that aren't UTF-8 become U+FFFD."""
+    """(doc_id, text) of rows of ids; null ids give a null text; bytes that aren't UTF-8 become U+FFFD, and so does each id that
+    the vocabulary doesn't have, or that is null. Repeated rows are decoded each for itself; an empty table stays empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
@@ -253,7 +291,11 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() gives, without holding a text's ids as a row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() gives, without holding a text's ids as a row.
+
+    A null text counts as an empty one: no ids, and the digests of nothing. Repeated rows are digested each for itself; other
+    columns are ignored; an empty table gives an empty result.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):

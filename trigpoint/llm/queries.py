@@ -11,6 +11,8 @@ from . import bpe, common, decontam, htmltext, jaccard, langid, lm, rollups, rul
 
 #: Where the public vocabularies are; None: the package that comes with them.
 TOKENIZERS: str | None = None
+#: Tokenizer versions of op7.
+VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 #: Rules of op8.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -67,21 +69,24 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tokenizer versions: all rows are inserted for both; the second one's counts, made in code points, are
-    revised to bytes where the two differ; rows of under 20 words are deleted, and that batch is delivered twice."""
-    counts = common.staged(rollups.count_tokens(table(spark, sf_dir, "documents")), "counts")
+    """Two tokenizer versions: all rows are inserted for both; the second one's counts, taken from the first at that time, are
+    revised where the two differ, and merged with what came before; rows of under 20 words are deleted, and that batch is delivered twice."""
+    old, new = VERSIONS
+    counts = rollups.count_tokens(table(spark, sf_dir, "documents"), {v: vocabulary(f"{v}.tiktoken") for v in VERSIONS}, pattern())
+    counts = common.staged(counts.select("source", "lang", "words", *(F.col("tokens")[v].alias(v) for v in VERSIONS)), "counts")
     path = f"{common.shared_dir(spark)}/trigpoint/{uuid.uuid4().hex}-rollup"
     common._written.append((spark, path))
     rollup = rollups.Rollup(spark, path)
 
-    def deltas(rows: DataFrame, kind: str, tokenizer: str, tokens: str, old: str = "CAST(NULL AS BIGINT)") -> DataFrame:
-        return rows.selectExpr(f"'{kind}' AS kind", "source", "lang", f"'{tokenizer}' AS tokenizer", f"{tokens} AS tokens", f"{old} AS old_tokens")
+    def deltas(rows: DataFrame, kind: str, tokenizer: str, tokens: str, before: str = "CAST(NULL AS BIGINT)") -> DataFrame:
+        return rows.selectExpr(f"'{kind}' AS kind", "source", "lang", f"'{tokenizer}' AS tokenizer", f"{tokens} AS tokens", f"{before} AS old_tokens")
 
     short = counts.where("words < 20")
-    removed = deltas(short, "delete", "words-1", "words").unionByName(deltas(short, "delete", "units-1", "bytes"))
-    rollup.commit("0001", deltas(counts, "insert", "words-1", "words"))
-    rollup.commit("0002", deltas(counts, "insert", "units-1", "chars"))
-    rollup.commit("0003", deltas(counts.where("bytes <> chars"), "revise", "units-1", "bytes", "chars"))
+    removed = deltas(short, "delete", old, old).unionByName(deltas(short, "delete", new, new))
+    rollup.commit("0001", deltas(counts, "insert", old, old))
+    rollup.commit("0002", deltas(counts, "insert", new, old))
+    rollup.commit("0003", deltas(counts.where(f"{old} <> {new}"), "revise", new, new, old))
+    rollup.compact()
     rollup.commit("0004", removed)
     rollup.commit("0004", removed)
     return rollup.totals()
@@ -142,12 +147,6 @@ b AS (SELECT *, {" OR ".join(f"({rules.RULES[r]})" for r in rules.BASE)} AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT ({" OR ".join(f"({r})" for r in rules.RULES.values())}) AS kept FROM b"""
 
-_OP7 = f"""
-WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS words, strlen(coalesce(text, '')) AS bytes FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM c WHERE words >= 20 GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'units-1', CAST(count(*) AS BIGINT), CAST(sum(bytes) AS BIGINT) FROM c WHERE words >= 20 GROUP BY ALL"""
-
 _OP8 = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -165,4 +164,4 @@ n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_shared
 FROM d JOIN q ON d.g = q.g JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "op7_token_counts": _OP7, "op8_url_filter": _OP8, "op10_decontaminate": _OP10}
+ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "op8_url_filter": _OP8, "op10_decontaminate": _OP10}
