@@ -1,28 +1,28 @@
 """URL filters: a sorted digest array.
 
-Method: entries become 64-bit xxhash keys in a sorted array that workers map into memory; a batch of urls is
-probed by one vectorised binary search, and the full strings behind equal keys are compared, so a collision
-of digests never decides.
+Method: entries become 64-bit xxhash keys, hashed and sorted by Spark, in files that each executor gets once and its workers map
+into memory; a batch of urls is probed by one vectorised binary search, and the full strings behind equal keys are
+compared, so a collision of digests never decides. Neither the driver nor a worker holds the list in memory; what it takes of
+each executor's disk is its own size and 16 bytes an entry.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, prepare
+from .common import batch, map_arrow, prepare, staged
 
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Entries of an array; longer lists are probed one array after the other.
-MOST = 4_000_000
 #: Words in a host's labels that the default list blocks: gambling, pills, adult pages, adverts, link farms.
 WORDS = ("ads", "adult", "adserver", "bet", "bets", "betting", "casino", "clicks", "escort", "gambling", "jackpot", "lottery", "malware", "phishing", "pills", "poker", "porn", "slots", "spam", "tracker", "viagra", "warez", "xxx")
 
@@ -37,45 +37,64 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_AZ), re.split(r"[?#]", tail, maxsplit=1)[0] if tail.startswith("/") else ""
 
 
+_KINDS = (("keys", np.uint64), ("bounds", np.int64), ("text", np.uint8))
+_KEYED = pa.schema([("key", pa.int64()), ("entry", pa.binary())])
+_SIGN = 1 << 63
+
+
+def _digests(entries: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, entries), np.uint64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw = [e.encode("utf-8", "surrogatepass") for e in b.column(0).to_pylist()]
+        yield batch(_KEYED, (_digests(raw) ^ np.uint64(_SIGN)).view(np.int64), raw)  # signed numbers in the order of the digests
+
+
+def ship(spark: SparkSession, entries: DataFrame) -> str:
+    """Writes a list (one column of strings) as sorted arrays, which every executor gets as files; their name. Nulls and repeats are left out."""
+    prepare(spark)
+    own = entries.toDF("entry").where("entry IS NOT NULL").select(F.col("entry").cast("string")).distinct()
+    rows = staged(map_arrow(own, _keyed, "key long, entry binary"), "entries")
+    name = f"digests-{uuid.uuid4().hex}"
+    paths = [os.path.join(SparkFiles.getRootDirectory(), f"{name}.{kind}") for kind, _ in _KINDS]
+    with open(paths[0], "wb") as keys, open(paths[1], "wb") as bounds, open(paths[2], "wb") as text:
+        at = 0
+        bounds.write(np.int64(0).tobytes())
+        for key, entry in rows.orderBy("key", "entry").toLocalIterator():  # a partition at a time
+            at += len(entry)
+            keys.write(np.uint64(key + _SIGN).tobytes())
+            bounds.write(np.int64(at).tobytes())
+            text.write(entry)
+    for path in paths:
+        spark.sparkContext.addFile(path)
+    return name
+
+
 class DigestArray:
-    """Strings as sorted digests, with the strings themselves for confirmation."""
-
-    def __init__(self, entries: Iterable[str]):
-        own = sorted({e.encode("utf-8", "surrogatepass") for e in entries})
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
-        order = np.argsort(keys, kind="stable")
-        own = [own[i] for i in order]
-        self.parts = (keys[order], np.cumsum([0, *map(len, own)], dtype=np.int64), np.frombuffer(b"".join(own), np.uint8))
-        self.mapped: tuple[np.ndarray, ...] | None = None
-
-    def __getstate__(self):
-        return {"parts": self.parts, "mapped": None}
-
-    def map(self) -> tuple[np.ndarray, ...]:
-        """The arrays as maps of a temporary file, which this process alone reads and which goes with it."""
-        if self.mapped is None:
-            fd, path = tempfile.mkstemp(prefix="digests-")
-            with os.fdopen(fd, "wb") as f:
-                for a in self.parts:
-                    f.write(a.tobytes())
-            at, mapped = 0, []
-            for a in self.parts:
-                mapped.append(np.memmap(path, a.dtype, "r", at, a.shape) if a.size else a)
-                at += a.nbytes
-            os.unlink(path)  # the maps keep the file until they go
-            self.mapped = tuple(mapped)
-        return self.mapped
+    """Strings as sorted digests, with the strings themselves for confirmation: given ones in memory, or shipped ones mapped."""
+
+    def __init__(self, entries: Iterable[str] = (), shipped: str | None = None):
+        if shipped is None:
+            own = sorted({e.encode("utf-8", "surrogatepass") for e in entries})
+            keys = _digests(own)
+            order = np.argsort(keys, kind="stable")
+            own = [own[i] for i in order]
+            self.keys, self.bounds, self.text = keys[order], np.cumsum([0, *map(len, own)], dtype=np.int64), np.frombuffer(b"".join(own), np.uint8)
+        else:
+            paths = [(SparkFiles.get(f"{shipped}.{kind}"), dtype) for kind, dtype in _KINDS]
+            self.keys, self.bounds, self.text = (np.memmap(p, dtype, "r") if os.path.getsize(p) else np.zeros(0, dtype) for p, dtype in paths)
 
     def holds(self, probes: list[str]) -> np.ndarray:
-        keys, bounds, text = self.map()
         raw = [p.encode("utf-8", "surrogatepass") for p in probes]
         found = np.zeros(len(raw), bool)
-        if not len(keys) or not raw:
+        if not len(self.keys) or not raw:
             return found
-        h = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        h = _digests(raw)
+        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
         for i in np.flatnonzero(hi > lo).tolist():
-            found[i] = any(text[bounds[k] : bounds[k + 1]].tobytes() == raw[i] for k in range(lo[i], hi[i]))
+            found[i] = any(self.text[self.bounds[k] : self.bounds[k + 1]].tobytes() == raw[i] for k in range(lo[i], hi[i]))
         return found
 
 
@@ -88,9 +107,9 @@ def suffixes(host: str) -> list[str]:
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("listed", pa.bool_())])
 
 
-def _judge(rules, lists, lengths: list[int]):
+def _judge(rules: list[str], shipped: str, lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule_array, arrays = rules.value, lists.value
+        rule_array, blocked = DigestArray(rules), DigestArray(shipped=shipped)
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             probes, owner = [], []
@@ -113,28 +132,25 @@ def _judge(rules, lists, lengths: list[int]):
                 best = (len(probes[k]), n, probes[k])
                 rule[i] = best if rule[i] is None else max(rule[i], best)
             listed = np.zeros(len(parts), bool)
-            for a in arrays:
-                listed[[word_owner[k] for k in np.flatnonzero(a.holds(words))]] = True
+            listed[[word_owner[k] for k in np.flatnonzero(blocked.holds(words))]] = True
             yield batch(_SCHEMA, b.column(0), [p[0] for p in parts], [p[1] for p in parts], [r and r[2] for r in rule], listed)
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], blocked: Iterable[str] = WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: dict[str, str], blocked: DataFrame | Iterable[str] = WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row.
 
     rules: entries like `example.net/en/` with `allow` or `block`; one fits its host and the hosts below it if
     the url's path starts with the rule's path. The longest wins. A url that no rule fits is blocked if the
     list holds a word of its host (`casino`), or its host or a domain above it (`example.org/`), and is
-    allowed else. Null urls and those without `://` have an empty host and path, no rule, and are allowed.
+    allowed else. The list is a table of one column, of any length, or a few strings. Null urls and those without `://` have an empty host and path, no rule, and are allowed.
     Repeated rows are judged each for itself; other columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(pages.sparkSession)
-    entries = sorted(set(blocked))
-    arrays = [DigestArray(entries[i : i + MOST]) for i in range(0, len(entries), MOST)]
+    entries = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(w,) for w in blocked], "entry string")
     lengths = sorted({len(r) - r.index("/") for r in rules})
-    send = spark.sparkContext.broadcast
-    out = map_arrow(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")), _judge(send(DigestArray(rules)), send(arrays), lengths), "page_id long, host string, path string, rule string, listed boolean")
+    out = map_arrow(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")), _judge(sorted(rules), ship(spark, entries), lengths), "page_id long, host string, path string, rule string, listed boolean")
     verdict = F.lit(None).cast("string")
     for verb in ("allow", "block"):
         verdict = F.when(F.col("rule").isin([r for r, v in rules.items() if v == verb]), verb).otherwise(verdict)
