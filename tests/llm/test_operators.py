@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -121,6 +122,17 @@ def test_bits_of_keys(spark):
     assert not any(r.hit for r in common.maybe_in(rows, F.col("x"), common.bits_of(keys.limit(0), "k"), "hit").collect())
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(2_000_000)).alias("t"))
+    got = [r.n for r in common.map_arrow(long, sizes, "n long").collect()]
+    assert sum(got) == 60 and max(got) <= 20
+    assert max(r.n for r in common.map_arrow(spark.range(0, 9000, 1, 1), sizes, "n long").collect()) == common.BATCH_ROWS
+
+
 def test_linked_blocks():
     r = np.random.default_rng(1)
     base = np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64))
@@ -456,11 +468,25 @@ def test_urls(spark):
     got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge_urls(pages, queries.URL_RULES).collect()}
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
     array = urlfilter.DigestArray([f"host{i}.example/" for i in range(500)])
-    array.parts = (np.sort(np.repeat(array.parts[0][:1], 500)), *array.parts[1:])  # equal digests: strings decide
+    array.keys = np.repeat(array.keys[:1], 500)  # equal digests: strings decide
     assert not array.holds(["other.example/"]).any()
     assert not urlfilter.DigestArray([]).holds(["a"]).any()
 
 
+def test_digest_array_of_a_table(spark):
+    entries = [f"host{i}.example/" for i in range(3000)] + ["é/", "", "host1.example/", None]
+    pages = spark.createDataFrame([(i, f"http://a.host{i * 7}.example/x", "v") for i in range(600)] * 2 + [(None, None, None)], "page_id long, url string, verdict string")
+    table = spark.createDataFrame([(e,) for e in entries], "host string")
+    got = urlfilter.judge_urls(pages, {}, table).collect()
+    assert len(got) == 1201 and all((r.verdict == "block") == (r.page_id is not None and r.page_id * 7 < 3000) for r in got)
+    assert urlfilter.judge_urls(pages.limit(0), {}, table).count() == 0
+    assert {r.verdict for r in urlfilter.judge_urls(pages, {}, table.limit(0)).collect()} == {"allow"}
+    own = urlfilter.DigestArray(["ab", "cd"])
+    own.keys = np.full_like(own.keys, own.keys[0])  # digests that collide
+    first = urlfilter._digests([b"ab", b"cd"]).tolist().index(int(own.keys[0]))
+    assert own.holds([("ab", "cd")[first], "zz"]).tolist() == [True, False]
+
+
 def label_rows(n, seed):
     r = random.Random(seed)
     plain = lambda: " ".join(r.choice(["the", "tree", "is", "green", "and", "we", "walk", "home", "thing"]) for _ in range(30))

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, to_bytes
@@ -245,6 +246,12 @@ def coder(vocabulary: str, pattern: str) -> Coder:
     return _coders[vocabulary, pattern]
 
 
+def ship(spark: SparkSession, vocabulary: str) -> str:
+    """Gives each executor a copy of a vocabulary that the driver can read; its name, for SparkFiles."""
+    spark.sparkContext.addFile(vocabulary)
+    return vocabulary.rsplit("/", 1)[-1]
+
+
 def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters, one text at least."""
     lo = size = 0
@@ -265,8 +272,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
+    name = ship(docs.sparkSession, vocabulary)
+
     def run(batches):
-        c = coder(vocabulary, pattern)
+        c = coder(SparkFiles.get(name), pattern)
         for b in batches:
             doc_id, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in chunks(texts):
@@ -281,8 +290,10 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     the vocabulary doesn't have, or that is null. Repeated rows are decoded each for itself; an empty table stays empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
+    name = ship(encoded.sparkSession, vocabulary)
+
     def run(batches):
-        c = coder(vocabulary, "")
+        c = coder(SparkFiles.get(name), "")
         for b in batches:
             rows = b.column(1).to_pylist()
             yield batch(schema, b.column(0), [None if x is None else c.merges.decode(x).decode("utf-8", "replace") for x in rows])
@@ -298,8 +309,10 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    name = ship(docs.sparkSession, vocabulary)
+
     def run(batches):
-        c = coder(vocabulary, pattern)
+        c = coder(SparkFiles.get(name), pattern)
         for b in batches:
             doc_id, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in chunks(texts):

@@ -19,17 +19,19 @@ from pyspark.sql import functions as F
 #: Lower-cases A-Z and nothing else; bytes above 127 are parts of other characters and stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SHINGLE = 5
-BATCH_ROWS = 2000
+#: Bounds of an Arrow batch; a single row of more bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of this session import the package, and bounds the rows of an Arrow batch."""
+    """Lets Python workers of this session import the package, and bounds an Arrow batch."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [ROOT, *have] if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import chunks, counter
+from .bpe import chunks, counter, ship
 from .common import batch, map_arrow
 
 KEYS = ("source", "lang", "tokenizer")
@@ -114,10 +115,10 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, str], pattern: str, id
     A text is split once for all vocabularies. Null and empty texts count 0. Repeated rows are counted each for itself; other
     columns are ignored; an empty table gives an empty result.
     """
-    versions, paths = list(vocabularies), tuple(vocabularies.values())
+    versions, names = list(vocabularies), [ship(docs.sparkSession, v) for v in vocabularies.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(paths, pattern)
+        own = counter(tuple(map(SparkFiles.get, names)), pattern)
         for b in batches:
             doc_id, source, lang, texts = (c.to_pylist() for c in b.columns)
             for lo, hi in chunks(texts):
