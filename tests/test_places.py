@@ -206,17 +206,36 @@ def test_config():
 
 def test_requests(spark):
     bodies = [
-        (1, '{"points": [{"lat": 1, "lon": 2}, {"lat": 95, "lon": 2}, {"lat": "x", "lon": 2}]}'), (2, '{"points": []}'), (3, '{"points": [{"lat": 1, "lon": 2, "more": 1}]}'), (4, "nonsense"),
+        (1, '{"points": [{"lat": 1, "lon": 2}, {"lat": 95, "lon": 2}, {"lat": null, "lon": 2}]}'), (2, '{"points": []}'), (3, '{"points": [{"lat": 1, "lon": 2, "more": 1}]}'), (4, "nonsense"),
         (5, '{"points": [{"lat": 1, "lon": 2, "rank": "population", "include": "admin"}]}'), (6, '{"points": [{"lat": 1, "lon": 2}], "x": 1}'), (7, None), (8, '{"points": [{"lat": 1}]}'),
     ]
     points = requests.parse_batches(spark.createDataFrame(bodies, "batch_id long, body string"))
     errors = {r.batch_id: (r.idx, r.error) for r in requests.first_errors(points).collect()}
     assert errors[1] == (1, "lat range") and errors[8] == (0, "lon") and 5 not in errors
     assert {b for b, e in errors.items() if e == (-1, "body")} >= {2, 3, 4, 6, 7}
+    good = '{"points":[{"lat":1,"lon":2}]}'
+    wrong = [good + " x", good + good, good + "," + good, good + "],[{}", "[" + good + "]", "", "null", "[]", good[:-1], good.replace('"', "'"), good.replace("1", '"1"'), good.replace("1", "NaN"), good.replace("1", "01"), good.replace("1", "1e999"),
+             good.replace("1", "true"), good.replace("1", "[1]"), good.replace("[", '"').replace("]", '"'), good.replace("2}", '2,"rank":5}'), good.replace("2}", '2,"include":{}}'), good.replace("2}", '2,"ranks":""}'), good.replace("{\"lat", "[{\"lat").replace("2}", "2}]")]
+    right = [" " + good + "\n", good.replace("lat", "LAT"), good.replace("1", "1e0"), good.replace("2}", '2,"rank":null}'), good.replace("1", "100000000000000000000")]
+    got = {(r.batch_id, r.idx): r.error for r in requests.parse_batches(spark.createDataFrame(list(enumerate(wrong + right)), "batch_id long, body string")).collect()}
+    assert [got.get((i, -1)) for i in range(len(wrong))] == ["body"] * len(wrong) and len(got) == len(wrong) + len(right)
+    assert [got[i, 0] for i in range(len(wrong), len(wrong) + len(right))] == [None] * 4 + ["lat range"]
     limits = spark.createDataFrame([("",), ("0",), ("51",), ("7",), ("x",), (None,)], "raw string").select(*(c.alias(n) for c, n in zip(requests.prefix_limit(F.col("raw")), ("k", "e"), strict=True))).collect()
     assert [(r.k if r.e is None else r.e) for r in limits] == [10, "limit", "limit", 7, "limit", 10]
 
 
+def test_fuzzy_names_that_were_added(spark):
+    kind = "row_id long, name string, alt_names array<string>, country string"
+    built = spark.createDataFrame([(1, "Zown", [], "FR"), (2, "Aowns", [], "DE"), (3, "Other", None, "FR")], kind)
+    added = spark.createDataFrame([(10, "Aown", ["Town2", "Bown"], "FR"), (11, "a", [], "FR"), (12, "Aowns", [], "FR"), (13, "Bown", [], "DE")], kind)
+    asked = [("Town", "FR", "Zown"), ("b", "FR", "a"), ("Cown", "FR", "Zown"), ("Cown", "DE", "Bown"), ("Bowns", "FR", "Aowns"), ("Town21", "FR", "Town2"), ("zzzzzz", "FR", None), ("Aown", "FR", "Aown"), ("Bwn", "FR", "Bown")]
+    q = spark.createDataFrame([(i, n, c) for i, (n, c, _) in enumerate(asked)], "qid long, name string, country string")
+    table = names.name_table(built, added)
+    for grams in (None, names.gram_table(table)):
+        got = {r.qid: r.matched for r in names.find(q, table, grams).collect()}
+        assert [got.get(i) for i in range(len(asked))] == [want for *_, want in asked]
+
+
 def test_metrics(spark):
     samples = spark.createDataFrame([(1, "served", i) for i in range(1, 101)] + [(1, "failed", 5), (1, "dropped", 5), (2, "failed", 1)], "step int, outcome string, latency_ns long")
     got = {r.step: r for r in metrics.sweep(samples, 10).collect()}

@@ -34,8 +34,9 @@ def byte_size(n: Column) -> Column:
 
 
 def duration(ns: Column) -> Column:
-    """Nanoseconds in the largest of ns, us, ms and s that gives at least one."""
+    """Nanoseconds as 1.5s, 20.25ms, 7µs or 12ns: in the largest unit that gives at least one, without zeros at the end; 0s for none."""
     out = F.concat(ns.cast("string"), F.lit("ns"))
-    for unit, size in (("us", 1e3), ("ms", 1e6), ("s", 1e9)):
-        out = F.when(ns >= size, F.concat(F.format_string("%.2f", ns / size), F.lit(unit))).otherwise(out)
-    return out
+    for unit, size, digits in (("µs", 1_000, 3), ("ms", 1_000_000, 6), ("s", 1_000_000_000, 9)):
+        rest = F.regexp_replace(F.concat(F.lit("."), F.lpad((ns % size).cast("string"), digits, "0")), r"\.?0+$", "")
+        out = F.when(ns >= size, F.concat(F.floor(ns / size).cast("string"), rest, F.lit(unit))).otherwise(out)
+    return F.when(ns == 0, "0s").otherwise(out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import duration
+
 #: Upper bounds of the latency histogram in seconds.
 BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -24,10 +26,41 @@ def histogram(log: DataFrame, seconds: str = "seconds") -> DataFrame:
     return log.groupBy("path").agg(*(F.count_if(s <= b).alias("le_" + str(b).replace(".", "_")) for b in BOUNDS), F.count(F.lit(1)).alias("le_inf"), F.sum(s).alias("sum_seconds"))
 
 
-def exposition(counts: DataFrame) -> DataFrame:
-    """Lines of the text format, in order."""
-    line = F.format_string('requests_total{path="%s",status="%s"} %d', "path", F.col("status").cast("string"), "requests")
-    return counts.orderBy("path", "status").select(line.alias("line"))
+def _g(x: Column) -> Column:
+    """A number as text without a fraction that is zero."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def exposition(counts: DataFrame, durations: DataFrame | None = None, gauges: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """(line) of the text format, in order: request counts by path and status, then histograms by path, gauges and counters.
+
+    counts: of request_counts(); durations: of histogram(); gauges and counters: (name, value), in the order of their names.
+    """
+    quoted = F.concat(F.lit('"'), F.regexp_replace("path", r'(["\\])', r"\\$1"), F.lit('"'))
+    spark = counts.sparkSession
+    parts: list[DataFrame] = []
+
+    def head(k: int, *lines: str) -> None:
+        parts.append(spark.createDataFrame([(k, "", i, x) for i, x in enumerate(lines)], "part int, key string, i int, line string"))
+
+    head(0, "# HELP http_requests_total Completed HTTP requests.", "# TYPE http_requests_total counter")
+    line = F.concat(F.lit("http_requests_total{path="), quoted, F.lit(',status="'), F.col("status").cast("string"), F.lit('"} '), F.col("requests").cast("string"))
+    parts.append(counts.select(F.lit(1).alias("part"), F.col("path").alias("key"), F.col("status").cast("int").alias("i"), line.alias("line")))
+    if durations is not None:
+        name = "http_request_duration_seconds"
+        head(2, f"# HELP {name} Handler latency by route.", f"# TYPE {name} histogram")
+        rows = [(f'{name}_bucket{{path=%s,le="{b:g}"}} ', F.col("le_" + str(b).replace(".", "_"))) for b in BOUNDS]
+        rows += [(f'{name}_bucket{{path=%s,le="+Inf"}} ', F.col("le_inf")), (f"{name}_sum{{path=%s}} ", F.col("sum_seconds")), (f"{name}_count{{path=%s}} ", F.col("le_inf"))]
+        lines = F.array(*(F.concat(F.format_string(start, quoted), _g(value)) for start, value in rows))
+        parts.append(durations.select(F.lit(3).alias("part"), F.col("path").alias("key"), F.posexplode(lines).alias("i", "line")))
+    for k, kind, own in ((4, "gauge", gauges), (5, "counter", counters)):
+        if own is not None:
+            lines = F.array(F.concat(F.lit("# TYPE "), "name", F.lit(f" {kind}")), F.concat("name", F.lit(" "), _g(F.col("value"))))
+            parts.append(own.select(F.lit(k).alias("part"), F.col("name").alias("key"), F.posexplode(lines).alias("i", "line")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.orderBy("part", "key", "i").select("line")
 
 
 def sweep(samples: DataFrame, window_s: float) -> DataFrame:
@@ -52,6 +85,36 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).select(F.lit("left").alias("side")).unionAll(b.exceptAll(a).select(F.lit("right").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def sweep_table(steps: DataFrame, window_s: float) -> DataFrame:
+    """(step, line): a sweep as lines of a table, a heading first (step null). Columns are as wide as what stands in them."""
+    rounded = lambda c: duration(F.when(F.col(c) >= 1_000_000_000, F.round(F.col(c) / 1e6) * 1e6).when(F.col(c) >= 1_000_000, F.round(F.col(c) / 1e4) * 1e4).otherwise(F.round(F.col(c) / 1e3) * 1e3).cast("long"))
+    cells = {
+        "offered/s": F.format_string("%.0f", F.col("scheduled") / float(window_s)), "achieved/s": F.format_string("%.1f", F.col("achieved")), "err%": F.format_string("%.2f", 100 * F.col("error_share")), "dropped": F.col("dropped").cast("string"),
+        "404s": F.col("not_found").cast("string"), **{name: F.coalesce(rounded(c), F.lit("0s")) for name, c in (("p50", "p50"), ("p90", "p90"), ("p99", "p99"), ("p99.9", "p999"), ("max", "slowest"))},
+    }
+    rows = steps.select("step", F.array(*cells.values()).alias("cells"))
+    head = steps.sparkSession.createDataFrame([(None, list(cells))], "step int, cells array<string>")
+    rows = rows.select(F.col("step").cast("int").alias("step"), "cells").unionByName(head)
+    width = rows.agg(*(F.max(F.length(F.col("cells")[i])) for i in range(len(cells)))).first()
+    return rows.select("step", F.concat(*(F.lpad(F.col("cells")[i], w + 2, " ") for i, w in enumerate(width))).alias("line"))
+
+
+def sweep_json(steps: DataFrame) -> DataFrame:
+    """(step, body): each step of a sweep as a JSON object."""
+    return steps.select("step", F.to_json(F.struct(*steps.columns)).alias("body"))
+
+
+def place_line(name: str = "name", country: str = "country", lat: str = "lat", lon: str = "lon", population: str = "population") -> Column:
+    """A place as a transcript writes it; `nil` where there is none."""
+    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c), r'(["\\])', r"\\$1"), F.lit('"'))
+    return F.when(F.col(name).isNull(), "nil").otherwise(F.concat_ws("|", quote(name), quote(country), F.format_string("%.9f", lat), F.format_string("%.9f", lon), F.col(population).cast("string")))
+
+
 def transcript(answers: DataFrame, key: str, line: Column) -> DataFrame:
     """One line of text a query, in the order of their keys."""
     return answers.orderBy(key).select(line.alias("value"))
+
+
+def lookup_line(kind: str, asked: Column, country: Column) -> Column:
+    """A line of a transcript for a name or a postal code: what was asked, and the place that was found."""
+    return F.concat(F.lit(f'{kind} "'), asked, F.lit('" '), country, F.lit(" -> "), place_line(country="place_country"))

@@ -12,18 +12,29 @@ _KEY = 3
 
 
 def name_table(places: DataFrame, added: DataFrame | None = None) -> DataFrame:
-    """(country, name, tier, row_id): for each name in a country its first place, alternate names included.
+    """(country, name, tier, row_id, added_at): for each name in a country its first place, alternate names included.
 
-    Places that were added later (tier 1) come after all that were there at the build (tier 0).
+    Places that were added later (tier 1) come after all that were there at the build (tier 0). added_at tells names that no place of
+    the build has, in any country: when they were added first, by row and within a row alternate names before the name. Others have null.
     """
 
     def keys(df: DataFrame, tier: int) -> DataFrame:
-        names = F.concat(F.array("name"), F.coalesce("alt_names", F.array().cast("array<string>")))
-        return df.select("country", F.explode(names).alias("name"), F.lit(tier).alias("tier"), "row_id")
+        names = F.concat(F.coalesce("alt_names", F.array().cast("array<string>")), F.array("name"))
+        return df.select("country", F.posexplode(names).alias("pos", "name"), F.lit(tier).alias("tier"), "row_id")
 
-    rows = keys(places, 0) if added is None else keys(places, 0).unionByName(keys(added, 1))
-    first = rows.groupBy("country", "name").agg(F.min(F.struct("tier", "row_id")).alias("f"))
-    return first.select("country", "name", "f.tier", "f.row_id")
+    built = keys(places, 0)
+    rows = built if added is None else built.unionByName(keys(added, 1))
+    first = rows.groupBy("country", "name").agg(F.min(F.struct("tier", "row_id")).alias("f")).select("country", "name", "f.tier", "f.row_id")
+    at = "struct<row_id:bigint,pos:int>"
+    if added is None:
+        return first.withColumn("added_at", F.lit(None).cast(at))
+    new = keys(added, 1).groupBy("name").agg(F.min(F.struct(F.col("row_id").cast("long").alias("row_id"), "pos")).alias("added_at"))
+    return first.join(new.join(built.select("name"), "name", "left_anti"), "name", "left").select("country", "name", "tier", "row_id", F.col("added_at").cast(at).alias("added_at"))
+
+
+def _with_added_at(names: DataFrame) -> DataFrame:
+    """A table of the build alone may come without that column."""
+    return names if "added_at" in names.columns else names.withColumn("added_at", F.lit(None).cast("struct<row_id:bigint,pos:int>"))
 
 
 def exact(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -36,32 +47,50 @@ def gram_counts(names: DataFrame) -> DataFrame:
     return names.select("name").distinct().select(F.explode(trigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("postings"))
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, edits: int) -> DataFrame:
-    """(qid, matched, distance, tier, row_id): the name in the country within so many edits, nearest first, then in byte order.
+def gram_table(names: DataFrame) -> DataFrame:
+    """(country, gram, name, postings) for names of the build: their trigrams, and how many names of the country have each."""
+    keys = _with_added_at(names).where("added_at IS NULL").select("country", "name").withColumn("gram", F.explode(trigrams(F.col("name"))))
+    counts = keys.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("postings"))
+    return keys.join(counts, ["country", "gram"])
+
+
+def fuzzy(queries: DataFrame, names: DataFrame, edits: int, grams: DataFrame | None = None) -> DataFrame:
+    """(qid, matched, distance, tier, row_id): the name in the country within so many edits, nearest first, then names of the
+    build in byte order, then added ones in the order in which they were added.
 
-    A name must share a trigram with the query, which all but the shortest do. Of a query's g trigrams the g - max(1, g - 3 * edits) + 1 rarest are
-    looked up: a name within reach has one of them.
+    A name of the build must share a trigram with the query, which all but the shortest do. Of a query's g trigrams the
+    g - max(1, g - 3 * edits) + 1 rarest are looked up: a name within reach has one of them. Added names, which are few, are compared by
+    country and length. grams: gram_table(names), if it was made before.
     """
+    names = _with_added_at(names)
+    grams = gram_table(names) if grams is None else grams
     q = queries.select("qid", F.col("name").alias("q"), "country").withColumn("grams", trigrams(F.col("q")))
     g = F.size("grams")
     q = q.withColumn("walk", g - F.greatest(F.lit(1), g - 3 * edits) + 1)
-    keys = names.select("country", "name").withColumn("gram", F.explode(trigrams(F.col("name"))))
-    counts = keys.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("postings"))
-    q = q.select("qid", "q", "country", "walk", F.explode("grams").alias("gram")).join(counts, ["country", "gram"], "left")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("postings", F.lit(0)), "gram"))
-    q = q.withColumn("rank", rank).where(F.col("rank") <= F.col("walk")).where("postings IS NOT NULL")
-    pairs = q.join(keys, ["country", "gram"]).where(F.abs(F.length("q") - F.length("name")) <= edits).select("qid", "q", "country", "name").distinct()
+    counts = grams.groupBy("country", "gram").agg(F.first("postings").alias("postings"))
+    walks = q.select("qid", "q", "country", "walk", g.alias("g"), F.explode("grams").alias("gram")).join(counts, ["country", "gram"])
+    # trigrams that no name has cost nothing, so they are walked first: as many fewer of the others are needed
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("postings", "gram"))
+    missing = F.col("g") - F.count(F.lit(1)).over(Window.partitionBy("qid"))
+    walks = walks.withColumn("rank", rank + missing).where(F.col("rank") <= F.col("walk"))
+    near = F.abs(F.length("q") - F.length("name")) <= edits
+    pairs = walks.join(grams.select("country", "gram", "name"), ["country", "gram"]).where(near).select("qid", "q", "country", "name").distinct()
+    added = names.where("added_at IS NOT NULL").select("country", "name", F.length("name").alias("n"))
+    lengths = q.select("qid", "q", "country", F.explode(F.sequence(F.length("q") - edits, F.length("q") + edits)).alias("n"))
+    pairs = pairs.unionByName(lengths.join(added, ["country", "n"]).select("qid", "q", "country", "name"))
     pairs = pairs.withColumn("distance", F.levenshtein("q", "name", edits)).where("distance >= 0")
-    best = pairs.groupBy("qid", "country").agg(F.min(F.struct("distance", "name")).alias("b")).select("qid", "country", F.col("b.name").alias("name"), F.col("b.distance").alias("distance"))
-    return best.join(names, ["country", "name"]).select("qid", F.col("name").alias("matched"), "distance", "tier", "row_id")
+    found = pairs.join(names, ["country", "name"])
+    order = F.struct("distance", F.col("added_at").isNotNull(), "added_at", "name")
+    best = found.groupBy("qid").agg(F.min_by(F.struct("name", "distance", "tier", "row_id"), order).alias("b"))
+    return best.select("qid", F.col("b.name").alias("matched"), F.col("b.distance").alias("distance"), F.col("b.tier").alias("tier"), F.col("b.row_id").alias("row_id"))
 
 
-def find(queries: DataFrame, names: DataFrame) -> DataFrame:
+def find(queries: DataFrame, names: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """(qid, matched, distance, tier, row_id): exact, else within one edit, else within two. Unknown countries find nothing."""
     found = exact(queries, names)
     left = queries.join(found.select("qid"), "qid", "left_anti")
     # one search within two edits: its order puts one edit before two
-    return found.unionByName(fuzzy(left, names, 2))
+    return found.unionByName(fuzzy(left, names, 2, grams))
 
 
 def prefixes(queries: DataFrame, names: DataFrame, default: int = 10, most: int = 50) -> DataFrame:

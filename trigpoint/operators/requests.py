@@ -33,20 +33,62 @@ def prefix_limit(raw: Column, default: int = 10, most: int = 50) -> tuple[Column
     return out, F.when(out.isNull() | ~out.between(1, most), "limit")
 
 
+def postal_request(code: Column, country: Column) -> tuple[Column, Column, Column]:
+    """(code, country, error) as a lookup takes them: trimmed, white space within the code kept, the country in upper case."""
+    k, c = F.trim(F.coalesce(code, F.lit(""))), F.upper(F.trim(F.coalesce(country, F.lit(""))))
+    return k, c, F.when(k == "", "code").when(c == "", "country")
+
+
+#: Fields of a point, and the kinds of JSON values that they take besides null.
+_KINDS = {"lat": r"^(BIGINT|DOUBLE|DECIMAL\(.*)$", "lon": r"^(BIGINT|DOUBLE|DECIMAL\(.*)$", "rank": "^STRING$", "include": "^STRING$"}
+
+
+def _strict(body: Column) -> Column:
+    """The body as a variant if it is one JSON document and nothing else, or null. A parser may stop after the first document,
+    so it has to be one both as the only element of an array and as the only value of an object."""
+    element = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    value = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}"))), "$.b", "variant")
+    return F.when(F.size(element) == 1, value)
+
+
+def _entries(v: Column) -> Column:
+    """(lower-case key, value) of an object; no entries of null; null of anything else. Keys are matched whatever their case."""
+    own = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    own = F.transform(own, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    return F.when(F.schema_of_variant(v) == "VOID", none).when(F.schema_of_variant(v).startswith("OBJECT"), own)
+
+
+def _last(entries: Column, key: str) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
 def parse_batches(batches: DataFrame) -> DataFrame:
     """(batch_id, idx, lat, lon, rank, include, error) of batches (batch_id, body): JSON objects of 1 to 100 points.
 
-    A batch that can't be read, has unknown fields or a wrong number of points is one row with idx -1 and error `body`.
+    A batch is one row with idx -1 and error `body` if it is null, isn't a single JSON document, holds a key twice, an unknown field, a
+    value of a wrong kind or a number without a place among doubles, or has no points or too many. Points that can be read but not used have an error of
+    their own.
     """
-    body = F.from_json("body", f"points array<struct<{POINT.replace('lat double', 'lat:double').replace('lon double', 'lon:double').replace('rank string', 'rank:string').replace('include string', 'include:string')}>>")
-    keys = F.from_json("body", "points array<map<string,string>>")
-    known = F.array(*map(F.lit, ("lat", "lon", "rank", "include")))
-    top = F.json_object_keys("body")
-    rows = batches.select("batch_id", body["points"].alias("points"), F.forall(keys["points"], lambda m: F.size(F.array_except(F.map_keys(m), known)) == 0).alias("plain"), (F.size(F.array_except(top, F.array(F.lit("points")))) == 0).alias("alone"))
-    good = F.coalesce(F.col("plain") & F.col("alone") & F.size("points").between(1, MOST_POINTS), F.lit(False))
-    bad = rows.where(~good).selectExpr("batch_id", "-1 AS idx", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon", "CAST(NULL AS STRING) AS rank", "CAST(NULL AS STRING) AS include", "'body' AS error")
-    points = rows.where(good).select("batch_id", F.posexplode("points").alias("idx", "p")).select("batch_id", "idx", "p.*").withColumn("error", point_error())
-    return points.unionByName(bad)
+    rows = batches.select("batch_id", _entries(_strict(F.col("body"))).alias("top"))
+    rows = rows.select("batch_id", F.forall("top", lambda e: e["key"] == "points").alias("alone"), F.try_variant_get(_last(F.col("top"), "points"), "$", "array<variant>").alias("points"))
+    rows = rows.withColumn("points", F.transform("points", _entries))
+
+    def fits(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        out = F.lit(False)
+        for name, pattern in _KINDS.items():
+            out = out | ((e["key"] == name) & ((kind == "VOID") | kind.rlike(pattern)))
+        return out & ~((kind == "DOUBLE") & (F.abs(F.coalesce(F.try_variant_get(e["value"], "$", "double"), F.lit(0.0))) == float("inf")))
+
+    plain = F.forall("points", lambda p: p.isNotNull() & F.forall(p, fits))
+    good = F.coalesce(F.col("alone") & plain & F.size("points").between(1, MOST_POINTS), F.lit(False))
+    rows = rows.select("batch_id", "points", good.alias("good"))
+    bad = rows.where("NOT good").selectExpr("batch_id", "-1 AS idx", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon", "CAST(NULL AS STRING) AS rank", "CAST(NULL AS STRING) AS include", "'body' AS error")
+    points = rows.where("good").select("batch_id", F.posexplode("points").alias("idx", "p"))
+    kinds = {f.split()[0]: f.split()[1] for f in POINT.split(", ")}
+    points = points.select("batch_id", "idx", *(F.try_variant_get(_last(F.col("p"), name), "$", kind).alias(name) for name, kind in kinds.items()))
+    return points.withColumn("error", point_error()).unionByName(bad)
 
 
 def first_errors(points: DataFrame) -> DataFrame:

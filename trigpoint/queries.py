@@ -91,7 +91,7 @@ def query(sql: str | None, *needs: str):
             own = list(dict.fromkeys(x for n in needs for x in (*_NEEDS.get(n, ()), n)))
             body = sql.strip()
             ctes = ", ".join(f"{n} AS ({_WITH[n]})" for n in own)
-            ORACLE_SQL[f.__name__] = f"WITH {ctes}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
+            ORACLE_SQL[f.__name__] = f"WITH {ctes}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}" if own else body
         return f
 
     return add
@@ -268,7 +268,7 @@ def a12_admin_ids(v: Views) -> DataFrame:
     return keys.select("key", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"))
 
 
-@query("SELECT row_id, population FROM places WHERE population > 0 ORDER BY population DESC, row_id LIMIT 1024", "places")
+@query("SELECT row_id, population FROM places WHERE population > 0 ORDER BY population DESC, row_id LIMIT 4096", "places")
 def o1_top_population(v: Views) -> DataFrame:
     return nearest.top_populations(v.places()).select("row_id", "population")
 
@@ -297,15 +297,62 @@ def k7_transcript(v: Views) -> DataFrame:
     return nearest.nearest(v.points(), v.places()).select("qid", F.concat_ws("|", "name", "country", F.col("row_id").cast("string")).alias("value")).orderBy("qid")
 
 
-@query("WITH g AS (SELECT path, status, count(*) AS n FROM samples GROUP BY ALL) SELECT 'requests_total{path=\"' || path || '\",status=\"' || status || '\"} ' || n AS line FROM g", "samples")
+_Q = "http_request_duration_seconds"
+
+
+@query("WITH g AS (SELECT path, status, count(*) AS n FROM samples GROUP BY ALL), h AS (SELECT path, " + ", ".join(f"count(*) FILTER (seconds <= {b}) AS b{i}" for i, b in enumerate(metrics.BOUNDS)) + """, count(*) AS n, CAST(sum(CAST(seconds * 1000 AS BIGINT)) AS BIGINT) AS s FROM samples GROUP BY path)
+SELECT '# HELP http_requests_total Completed HTTP requests.' AS line UNION ALL SELECT '# TYPE http_requests_total counter' UNION ALL SELECT 'http_requests_total{path="' || path || '",status="' || status || '"} ' || n FROM g
+UNION ALL SELECT '# HELP http_request_duration_seconds Handler latency by route.' UNION ALL SELECT '# TYPE http_request_duration_seconds histogram'
+""" + "".join(f"""UNION ALL SELECT '{_Q}_bucket{{path="' || path || '",le="{b:g}"}} ' || b{i} FROM h """ for i, b in enumerate(metrics.BOUNDS)) + f"""UNION ALL SELECT '{_Q}_bucket{{path="' || path || '",le="+Inf"}} ' || n FROM h
+UNION ALL SELECT '{_Q}_sum{{path="' || path || '"}} ' || s FROM h UNION ALL SELECT '{_Q}_count{{path="' || path || '"}} ' || n FROM h
+UNION ALL SELECT unnest(['# TYPE places gauge', 'places 12', '# TYPE load gauge', 'load 0.5', '# TYPE trips counter', 'trips 3'])""", "samples")
 def k6_exposition(v: Views) -> DataFrame:
-    return metrics.exposition(metrics.request_counts(v.samples()))
+    """Whole milliseconds instead of seconds as sums, which both engines write alike."""
+    rows = v.samples()
+    sums = rows.groupBy("path").agg(F.sum(F.round(F.col("seconds") * 1000).cast("long")).alias("sum_seconds"))
+    durations = metrics.histogram(rows).drop("sum_seconds").join(sums, "path")
+    gauges, counters = v.spark.createDataFrame([("places", 12.0), ("load", 0.5)], "name string, value double"), v.spark.createDataFrame([("trips", 3)], "name string, value long")
+    return metrics.exposition(metrics.request_counts(rows), durations, gauges, counters)
+
+
+@query(_fuzzy(2).replace("SELECT qid, t.name AS matched, CAST(levenshtein(q.name, t.name) AS INT) AS distance, row_id", "SELECT qid, q.name AS asked, q.country AS country, t.name AS t_name, row_id").replace(_TABLE, _TABLE + ", f AS (")
++ """) SELECT 'name "' || asked || '" ' || f.country || ' -> "' || p.name || '"|"' || p.country || '"|' || format('{:.9f}', p.lat) || '|' || format('{:.9f}', p.lon) || '|' || p.population AS value FROM f JOIN places p USING (row_id)
+UNION ALL SELECT 'name "' || q.name || '" ' || q.country || ' -> nil' FROM name_queries q WHERE q.qid NOT IN (SELECT qid FROM f)""", "places", "name_queries")
+def k7_name_transcript(v: Views) -> DataFrame:
+    found = names.find(v.name_queries(), names.name_table(v.places())).select("qid", "row_id")
+    place = v.places().select("row_id", F.col("name").alias("place"), F.col("country").alias("place_country"), "lat", "lon", "population")
+    rows = v.name_queries().join(found, "qid", "left").join(place, "row_id", "left")
+    line = F.concat(F.lit('name "'), F.col("name"), F.lit('" '), F.col("country"), F.lit(" -> "), metrics.place_line("place", "place_country"))
+    return metrics.transcript(rows, "qid", line)
+
+
+_STEPS = "SELECT step, CAST(1000 + step * 38 AS BIGINT) AS scheduled, (1000 + step) / 7.0E0 AS achieved, step / 61.0E0 AS error_share, CAST(step AS BIGINT) AS dropped, CAST(step * 2 AS BIGINT) AS not_found, CAST(500 + step AS BIGINT) AS p50, CAST(1500000 + step * 10000 AS BIGINT) AS p90, CAST(12000 + step * 1000 AS BIGINT) AS p99, CAST(2500000000 + step * 1000000 AS BIGINT) AS p999, CAST(3000000000 AS BIGINT) AS slowest FROM (SELECT DISTINCT CAST(event_id%7 AS INT) AS step FROM events)"
+
 
+@query("""SELECT step, lpad(format('{:.0f}', scheduled / 10.0E0), 11, ' ') || lpad(format('{:.1f}', achieved), 12, ' ') || lpad(format('{:.2f}', 100 * error_share), 6, ' ') || lpad(CAST(dropped AS VARCHAR), 9, ' ') || lpad(CAST(not_found AS VARCHAR), 6, ' ') ||
+ lpad('1µs', 5, ' ') || lpad(rtrim(rtrim(format('{:.2f}', (1500000 + step * 10000) / 1000000.0E0), '0'), '.') || 'ms', 8, ' ') || lpad(CAST(12 + step AS VARCHAR) || 'µs', 6, ' ') || lpad(rtrim(format('{:.3f}', (2500 + step) / 1000.0E0), '0') || 's', 8, ' ') || lpad('3s', 5, ' ') AS line FROM (""" + _STEPS + """)
+UNION ALL SELECT NULL, '  offered/s  achieved/s  err%  dropped  404s  p50     p90   p99   p99.9  max'""")
+def k8_sweep_table(v: Views) -> DataFrame:
+    return metrics.sweep_table(v.sql(_STEPS), 10)
 
-@query(None)
+
+@query("SELECT step, scheduled, achieved, error_share, p50, slowest FROM (" + _STEPS + ")")
+def k8_sweep_json(v: Views) -> DataFrame:
+    """Steps as JSON, read again."""
+    read = metrics.sweep_json(v.sql(_STEPS)).select(F.from_json("body", "step int, scheduled long, achieved double, error_share double, p50 long, slowest long").alias("r"))
+    return read.select("r.*")
+
+
+@query(_won("km, row_id") + """SELECT qid, CAST(lat AS VARCHAR) || '|' || CAST(lon AS VARCHAR) AS place, won.name || '|' || country AS name, round(km*100)/100 AS distance_km, CASE WHEN qid%2=0 THEN population END AS population,
+CASE WHEN qid%3=0 THEN admin1_code || '|' || coalesce(a.name, '') || '|' || admin2_code END AS admin FROM won LEFT JOIN admin1 a ON a.key = won.country || '.' || won.admin1_code""", "places", "points", "admin1")
 def k5_response(v: Views) -> DataFrame:
+    """Responses as JSON, read again: a field that isn't there is null."""
     found = nearest.with_admin(nearest.nearest(v.points(), v.places()), v.admin1())
-    return found.select("qid", requests.response(F.lit(False), F.lit(True)).alias("body"))
+    body = found.select("qid", requests.response(F.col("qid") % 2 == 0, F.col("qid") % 3 == 0).alias("body"))
+    kinds = "Latitude double, Longitude double, Population long, Name string, Country string, distance_km double, admin1_code string, admin1_name string, admin2_code string"
+    read = body.select("qid", F.from_json("body", kinds).alias("r")).select("qid", "r.*")
+    admin = F.when(F.col("admin1_code").isNotNull(), F.concat("admin1_code", F.lit("|"), F.coalesce("admin1_name", F.lit("")), F.lit("|"), "admin2_code"))
+    return read.select("qid", F.concat_ws("|", F.col("Latitude").cast("string"), F.col("Longitude").cast("string")).alias("place"), F.concat_ws("|", "Name", "Country").alias("name"), "distance_km", F.col("Population").cast("int").alias("population"), admin.alias("admin"))
 
 
 @query(_TABLE + """, n1 AS (SELECT country, unnest([s_name, place]) AS name, row_id FROM (SELECT country, place, place AS s_name, row_id FROM postal) UNION ALL SELECT country, name, 100000000 + row_id FROM places),
@@ -350,19 +397,85 @@ def x1_distance_and_score(v: Views) -> DataFrame:
     return j.select("qid", "row_id", geo.round2(F.col("km")).alias("km"), geo.round2(geo.gravity(F.col("population"), F.col("km"))).alias("score"))
 
 
-@query(None)
+@query(f"SELECT row_id, name, country, population FROM places ORDER BY {synthetic.uniform_sql(1, 'sample', 'row_id')}, row_id LIMIT 100", "places")
 def s12_sample(v: Views) -> DataFrame:
-    return synthetic.sample(v.places(), "row_id", 100)
+    return synthetic.sample(v.places(), "row_id", 100).select("row_id", "name", "country", "population")
+
 
+_U = lambda name: synthetic.uniform_sql(1, name)
+_LIST = lambda values, u: f"[{', '.join(map(repr, values))}][CAST(floor({u} * {len(values)}) AS INT) + 1]"
+_WORD = lambda p: "upper(substr(" + "||".join(_LIST(synthetic._SYLLABLES, _U(f"{p}{i}")) for i in range(3)) + ",1,1)) || substr(" + "||".join(_LIST(synthetic._SYLLABLES, _U(f"{p}{i}")) for i in range(3)) + ",2)"
+_GAUSS = lambda a: f"sqrt(-2 * ln(1 - {_U(a + 'r')})) * cos(2 * pi() * {_U(a + 'a')})"
+_CENTRE = lambda k, u: _LIST([float(c[k]) for c in synthetic._CENTRES], u)
 
-@query(None)
+
+@query(f"""SELECT id AS row_id, CASE WHEN {_U('homonym')} < 0.15 THEN 'Santa ' || {_LIST([x.title() for x in synthetic._SYLLABLES], _U('common'))} ELSE {_WORD('name')} END AS name, CASE WHEN {_U('alt')} < 0.25 THEN {_WORD('alt')} ELSE '' END AS alt,
+ chr(CAST(65 + c // 26 AS INT)) || chr(CAST(65 + c % 26 AS INT)) AS country, round(CASE WHEN {_U('anywhere')} < 0.02 THEN degrees(asin(2 * {_U('wlat')} - 1)) ELSE greatest(-89.9, least(89.9, {_CENTRE(0, _U('centre'))} + {_GAUSS('lat')} * ({_CENTRE(2, _U('centre'))} / 3))) END, 6) AS lat,
+ round(CASE WHEN {_U('anywhere')} < 0.02 THEN {_U('wlon')} * 360 - 180 ELSE {_CENTRE(1, _U('centre'))} + {_GAUSS('lon')} * ({_CENTRE(2, _U('centre'))} / 2) END, 6) AS lon, CAST(CASE WHEN {_U('empty')} < 1.0E0 / 3 THEN 0 ELSE trunc(least(3e7, 200 / pow(1 - {_U('pop')}, 1.1))) END AS INT) AS population
+FROM (SELECT range AS id, CAST(floor({_U('country').replace('(id +', '(range +')} * {_U('country2').replace('(id +', '(range +')} * 250) AS INT) AS c FROM range(10000))""")
 def s13_synthetic(v: Views) -> DataFrame:
-    return synthetic.places(v.spark, 10_000)
+    rows = synthetic.places(v.spark, 10_000)
+    return rows.select("row_id", "name", F.coalesce(F.get("alt_names", F.lit(0)), F.lit("")).alias("alt"), "country", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "population")
 
 
-@query(None)
+@query(f"""SELECT range AS id, CASE WHEN u < 0.80 THEN 'nearest' WHEN u < 0.85 THEN 'gravity' WHEN u < 0.95 THEN 'name' ELSE 'postal' END AS kind, round(degrees(asin(2 * a - 1)), 6) AS lat, round(o * 360 - 180, 6) AS lon
+FROM (SELECT range, {_U('kind').replace('(id +', '(range +')} AS u, {_U('lat').replace('(id +', '(range +')} AS a, {_U('lon').replace('(id +', '(range +')} AS o FROM range(10000))""")
 def s14_workload(v: Views) -> DataFrame:
-    return synthetic.workload(v.spark, 10_000)
+    return synthetic.workload(v.spark, 10_000).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+#: Bodies of batches, all but one in nine of them wrong in some way.
+_BODY = """CASE event_id%9 WHEN 0 THEN good WHEN 1 THEN good || ' junk' WHEN 2 THEN good || good WHEN 3 THEN '{"points":[{"lat":"1","lon":2}]}' WHEN 4 THEN '{"points":[{"lat":1,"lon":2,"rank":5}]}' WHEN 5 THEN '{"points":[{"lat":1,"lon":2}],"limit":2}'
+ WHEN 6 THEN '{"points":[]}' WHEN 7 THEN '{"points":[{"lat":1,"lon":2,"rankk":"distance"}]}' ELSE '{"points":[{"lat":1,"lon":2},{"lat":95,"lon":2},null]}' END"""
+
+
+@query("""SELECT event_id AS batch_id, i AS idx, CASE WHEN i >= 0 THEN CASE WHEN event_id%9=0 THEN event_id%90 + 0.5E0 WHEN i=0 THEN 1E0 WHEN i=1 THEN 95E0 END END AS lat, CASE WHEN i < 0 THEN 'body' WHEN event_id%9=8 AND i=1 THEN 'lat range' WHEN event_id%9=8 AND i=2 THEN 'lat' END AS error
+FROM (SELECT event_id, unnest(CASE event_id%9 WHEN 0 THEN [0] WHEN 8 THEN [0, 1, 2] ELSE [-1] END) AS i FROM events)""")
+def s11_batch_bodies(v: Views) -> DataFrame:
+    rows = v.sql("SELECT event_id FROM events").withColumn("good", F.expr("""'{"points":[{"LAT":' || CAST(event_id%90 AS STRING) || '.5,"lon":2,"rank":null}]}'"""))
+    return requests.parse_batches(rows.select(F.col("event_id").alias("batch_id"), F.expr(_BODY).alias("body"))).select("batch_id", "idx", "lat", "error")
+
+
+@query("SELECT qid, CASE WHEN qid%5=0 THEN '' ELSE 'S W' || qid END AS code, upper(country) AS country, CASE WHEN qid%5=0 THEN 'code' END AS error FROM name_queries", "name_queries")
+def f14_postal_request(v: Views) -> DataFrame:
+    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%5=0 THEN '  ' ELSE ' S W' || CAST(qid AS STRING) || ' ' END AS code", "' ' || lower(country) AS country")
+    k, c, e = requests.postal_request(F.col("code"), F.col("country"))
+    return q.select("qid", k.alias("code"), c.alias("country"), e.alias("error"))
+
+
+@query(_TABLE + """, q AS (SELECT p_partkey AS qid, substr(p_name, 1, 2) AS prefix, n_name AS country, p_partkey%5 AS raw FROM part JOIN nation ON n_nationkey=p_partkey%25)
+SELECT qid, CAST(rank AS INT) AS rank, name FROM (SELECT qid, raw, t.name, row_number() OVER (PARTITION BY qid ORDER BY t.name) AS rank FROM q JOIN t ON t.country=q.country AND starts_with(t.name, q.prefix)) WHERE raw <> 0 AND rank <= CASE raw WHEN 1 THEN 10 ELSE raw END""", "places")
+def f13_prefix_limit(v: Views) -> DataFrame:
+    """Limits as text: none, numbers, and ones that a request can't have, which are answered with an error instead of names."""
+    q = v.sql("SELECT p_partkey AS qid, substr(p_name, 1, 2) AS prefix, n_name AS country, CASE p_partkey%5 WHEN 0 THEN '51' WHEN 1 THEN '' ELSE CAST(p_partkey%5 AS STRING) END AS raw FROM part JOIN nation ON n_nationkey=p_partkey%25")
+    k, e = requests.prefix_limit(F.col("raw"))
+    return names.prefixes(q.withColumn("limit", k).where(e.isNull()), names.name_table(v.places())).select("qid", "rank", "name")
+
+
+_ADDED = "SELECT row_id + 100000000 AS row_id, 'q' || substr(name, 2) AS name, 'yy' || substr(name, 3) AS alt, country FROM places WHERE row_id%3=0"
+
+
+@query(_TABLE + f""", a AS ({_ADDED}), an AS (SELECT country, unnest([alt, name]) AS name, row_id, unnest([0, 1]) AS pos FROM a),
+o AS (SELECT name, min(row_id * 2 + pos) AS since FROM an WHERE name NOT IN (SELECT name FROM t) GROUP BY name), u AS (SELECT country, name, 0 AS tier, row_id FROM t UNION ALL SELECT country, name, 1, row_id FROM an),
+n2 AS (SELECT country, name, min(tier) AS tier, min(tier * 1000000000000 + row_id) % 1000000000000 AS row_id FROM u GROUP BY ALL), q AS (SELECT qid, CASE WHEN qid%2=0 THEN 'z' || substr(name, 2) ELSE substr(name, 1, 1) || 'yy' || substr(name, 4) END AS name, country FROM name_queries),
+c AS (SELECT qid, n2.name AS matched, CAST(levenshtein(q.name, n2.name) AS INT) AS distance, CAST(tier AS INT) AS tier, row_id, coalesce(since, 0) AS since FROM q JOIN n2 USING (country) LEFT JOIN o ON o.name = n2.name WHERE levenshtein(q.name, n2.name) <= 2)
+SELECT qid, matched, distance, tier, row_id FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, since, matched) = 1""", "places", "name_queries")
+def u4_fuzzy_added(v: Views) -> DataFrame:
+    """Typos of names of the build and of added ones: of equally near names those of the build come first, then added ones in their order."""
+    added = v.sql(_ADDED, places=v.raw_places()).select("row_id", "name", F.array("alt").alias("alt_names"), "country")
+    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%2=0 THEN 'z' || substr(name, 2) ELSE substr(name, 1, 1) || 'yy' || substr(name, 4) END AS name", "country")
+    return names.find(q, names.name_table(v.places(), added)).select("qid", "matched", "distance", "tier", "row_id")
+
+
+@query("SELECT qid, CASE WHEN n = 0 THEN '0s' WHEN n < 1000 THEN n || 'ns' WHEN n < 1000000 THEN CAST(n // 1000 AS VARCHAR) || '.125µs' ELSE CAST(n // 1000000 AS VARCHAR) || '.5ms' END AS text FROM (SELECT event_id AS qid, CASE event_id%4 WHEN 0 THEN 0 WHEN 1 THEN event_id%999 + 1 WHEN 2 THEN (event_id%999 + 1) * 1000 + 125 ELSE (event_id%999 + 1) * 1000000 + 500000 END AS n FROM events)")
+def x10_durations(v: Views) -> DataFrame:
+    n = v.sql("SELECT event_id AS qid, CASE event_id%4 WHEN 0 THEN 0 WHEN 1 THEN event_id%999 + 1 WHEN 2 THEN (event_id%999 + 1) * 1000 + 125 ELSE (event_id%999 + 1) * 1000000 + 500000 END AS n FROM events")
+    return n.select("qid", text.duration(F.col("n")).alias("text"))
+
+
+@query("SELECT qid, round(2 * sin(least(qid * 20.0E0, pi() * 6371.0E0) / 12742.0E0), 9) AS chord FROM points", "points")
+def x2_chord(v: Views) -> DataFrame:
+    return v.points().select("qid", F.round(geo.chord(F.col("qid") * 20.0), 9).alias("chord"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Made-up places and query mixes, from hashes of row numbers: the same rows on any number of partitions."""
+"""Made-up places and query mixes, from hashes of row numbers: the same rows on any number of partitions.
+
+The hash is arithmetic on 64-bit integers, so that any SQL engine gives the same numbers.
+"""
 
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +16,23 @@ _SYLLABLES = ("ba", "den", "fi", "gor", "hal", "ka", "lun", "mer", "no", "ru", "
 _CENTRES = ((48, 10, 12), (20, 80, 14), (35, 110, 14), (40, -95, 15), (-12, -55, 14), (5, 22, 15), (-27, 140, 10))
 
 
-def uniform(seed: int, name: str) -> Column:
-    """A number in [0, 1) for a row, by its id."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(name), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+#: A prime below 2 ** 31, so that products of two remainders fit into 64 bits.
+PRIME = 2_147_483_647
+
+
+def uniform_sql(seed: int, name: str, key: str = "id") -> str:
+    """SQL of a number in [0, 1) for a row, by its id."""
+    k = [zlib.crc32(f"{name}/{seed}/{i}".encode()) % PRIME for i in range(4)]
+    x = f"(({key} + {k[0]}) % {PRIME})"
+    for a, b in ((48_271, k[1]), (69_621, k[2]), (1_220_703_125, k[3])):
+        # squares in between, so that neighbouring ids don't give neighbouring numbers
+        x = f"(({x} * {a} + {b}) % {PRIME})"
+        x = f"(({x} * ({x} % 65521)) % {PRIME})" if a == 48_271 else x
+    return f"({x} / {PRIME}.0E0)"
+
+
+def uniform(seed: int, name: str, key: str = "id") -> Column:
+    return F.expr(uniform_sql(seed, name, key))
 
 
 def _pick(values: list, u: Column) -> Column:
@@ -56,5 +74,5 @@ def workload(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
-    """k rows by the order of a hash of their key: the same rows each time."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    """k rows by the order of a hash of their key, a whole number from 0: the same rows each time."""
+    return df.orderBy(uniform(seed, "sample", key), key).limit(k)
