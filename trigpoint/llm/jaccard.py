@@ -498,7 +498,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     prepare(docs.sparkSession)
     found = _found(docs, id_col, text_col, percent).withColumn("root", F.coalesce("root", "key"))
     found = staged(found.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("k")), "found")
-    first = found.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    # written first, so that a large group's rows can be split when they meet its first one
+    first = staged(found.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")), "first")
     touched = staged(found.join(first, "root").where("key <> first OR k > 1").select(F.col("key").alias("_key"), (F.col("key") == F.col("first")).alias("_first")), "touched")
     name, flag = free_name(docs.schema, "row_key"), free_name(docs.schema, "row_maybe")
     rows = docs.withColumn(name, _text_key(F.col(id_col), F.col(text_col)))
