@@ -37,22 +37,24 @@ def some_points(spark, n=60, seed=6):
     return points, spark.createDataFrame(points, "qid long, lat double, lon double")
 
 
-@pytest.mark.parametrize("first_km", [None, 50.0])
-def test_nearest_is_brute_force(spark, first_km):
+@pytest.mark.parametrize("crowd", [2, 24])
+def test_nearest_is_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(nearest, "CROWD", crowd)
     rows, places = some_places(spark)
     points, queries = some_points(spark)
-    got = {r.qid: (r.row_id, r.km) for r in nearest.nearest(queries, places, first_km).collect()}
+    got = {r.qid: (r.row_id, r.km) for r in nearest.nearest(queries, places).collect()}
     for qid, lat, lon in points:
         d, row = min((km((lat, lon), (p[4], p[5])), p[0]) for p in rows)
         assert abs(got[qid][1] - d) < 1e-6
         assert got[qid][0] == row or abs(km((lat, lon), rows[got[qid][0]][4:6]) - d) < 1e-6
 
 
-@pytest.mark.parametrize(("zero", "k"), [(0.3, 20), (0.3, 10_000), (1.0, 20), (0.97, 20)])
-def test_gravity_is_brute_force(spark, zero, k):
+@pytest.mark.parametrize(("zero", "crowd"), [(0.3, 3), (1.0, 24), (0.97, 24)])
+def test_gravity_is_brute_force(spark, monkeypatch, zero, crowd):
+    monkeypatch.setattr(nearest, "CROWD", crowd)
     rows, places = some_places(spark, zero=zero)
     points, queries = some_points(spark)
-    got = {r.qid: r.row_id for r in nearest.nearest_by_gravity(queries, places, k).collect()}
+    got = {r.qid: r.row_id for r in nearest.nearest_by_gravity(queries, places).collect()}
     for qid, lat, lon in points:
         want = min((-p[6] / (km((lat, lon), p[4:6]) ** 2 + 1), km((lat, lon), p[4:6]), p[0]) for p in rows)
         own = rows[got[qid]]
@@ -83,6 +85,17 @@ def test_empty_places_and_bad_points(spark):
     assert nearest.nearest_by_gravity(queries, places.limit(0)).count() == 0
 
 
+def test_cubes_of_crowded_places(spark):
+    rows = [(i, 48.0 + i % 50 * 1e-3, 11.0 + i // 50 * 1e-3, i) for i in range(400)] + [(400 + i, 10.0, 10.0, 1) for i in range(40)] + [(500, -80.0, 100.0, 0)]
+    places = spark.createDataFrame(rows, "row_id long, lat double, lon double, population int")
+    cubes, leaves = nearest.cube_tables(places)
+    counts = {r.cube: r["count"] for r in leaves.groupBy("cube").count().collect()}
+    assert sum(counts.values()) == len(rows) and sorted(counts.values())[-1] == 40 and sorted(counts.values())[-2] <= nearest.CROWD
+    q = spark.createDataFrame([(1, 48.0251, 11.0031), (2, 10.0, 10.0), (3, -10.0, -100.0), (4, 48.0, 11.0)], "qid long, lat double, lon double")
+    assert {r.qid: r.row_id for r in nearest.nearest(q, places, (cubes, leaves)).collect()} == {1: 175, 2: 400, 3: 500, 4: 0}
+    assert {r.qid: r.row_id for r in nearest.nearest_by_gravity(q, places, (cubes, leaves)).collect()}[3] == 399
+
+
 def test_admin(spark):
     rows = spark.createDataFrame([(1, "AA", "01"), (2, "AA", ""), (3, "BB", "09")], "qid long, country string, admin1_code string")
     known = spark.createDataFrame([("AA.01", "North")], "key string, name string")
@@ -181,6 +194,11 @@ def test_build_and_open(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"places": "places.txt", "postal": "postal.txt", "admin1": "admin.txt", "output": "out", "other": 1}')
     with pytest.warns(UserWarning, match="other"):
         finder = Finder.build(spark, load_config(str(tmp_path / "c.json")))
+    assert set(finder.prepared) == {"names", "grams", "cubes", "leaves"}
+    asked = spark.createDataFrame([(1, "N", "AA")], "qid long, name string, country string")
+    assert [r.row_id for r in finder.find_by_name(asked).collect()] == [1]
+    plan = finder.find_by_name(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "alt_names" not in plan  # names aren't made from places again
     q = spark.createDataFrame([(1, 2.0, 2.0)], "qid long, lat double, lon double")
     assert [(r.name, r.admin1_name) for r in finder.nearest(q, admin=True).collect()] == [("N", "North")]
     assert [r.name for r in finder.nearest(q, "population").collect()] == ["N"]
@@ -193,6 +211,18 @@ def test_build_and_open(spark, tmp_path):
         tables.load(spark, str(tmp_path / "out"))
 
 
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    path.write_text("\n".join(f"line {i}" for i in range(1, 5001)) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = dumps.read_lines(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 3 and all(r.line == f"line {r.line_no}" for r in rows.collect()) and rows.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_config():
     assert feature_classes(" p, A,,p") == ["P", "A"]
     for bad in ("PA", "x"):

@@ -13,11 +13,27 @@ from .plans.config import Config, feature_classes
 from .sources import dumps
 
 
+#: Tables that are derived from places.
+PREPARED = ("names", "grams", "cubes", "leaves")
+
+
+def prepare(places: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
+    """The tables that lookups use besides places: names, their trigrams, and the tree of cubes; or those that come with one of them."""
+    out: dict[str, DataFrame] = {}
+    if only in (None, "names", "grams"):
+        out["names"] = by_name.name_table(places)
+        out["grams"] = by_name.gram_table(out["names"])
+    if only in (None, "cubes", "leaves"):
+        out["cubes"], out["leaves"] = by_point.cube_tables(places)
+    return out
+
+
 class Finder:
     """Answers tables of queries. Built from places and postal rows; additions are seen by the next query."""
 
-    def __init__(self, places: DataFrame, postal: DataFrame | None = None, admin1: DataFrame | None = None):
-        self.places, self.postal, self.admin1 = places, postal, admin1
+    def __init__(self, places: DataFrame, postal: DataFrame | None = None, admin1: DataFrame | None = None, prepared: dict[str, DataFrame] | None = None):
+        """prepared: tables that are derived from places, by the names that prepare() gives them; without them they are derived when they are needed."""
+        self.places, self.postal, self.admin1, self.prepared = places, postal, admin1, dict(prepared or {})
         self.added_places: DataFrame | None = None
         self.added_postal: DataFrame | None = None
 
@@ -30,16 +46,23 @@ class Finder:
         }
         if config.admin1:
             made["admin1"] = dumps.load_admin1(spark, config.admin1)
-        tables.save(made, config.output)
+        made["places"] = tables.cut(made["places"], "places")
+        tables.save(made | prepare(made["places"]), config.output)
         return cls.open(spark, config.output)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Finder:
         found = tables.load(spark, path)
-        return cls(found["places"], found.get("postal"), found.get("admin1"))
+        return cls(found["places"], found.get("postal"), found.get("admin1"), {k: found[k] for k in PREPARED})
+
+    def _prepared(self, name: str) -> DataFrame:
+        if name not in self.prepared:
+            self.prepared |= {k: v for k, v in prepare(self.places, name).items() if k not in self.prepared}
+        return self.prepared[name]
 
     def names(self) -> DataFrame:
-        return by_name.name_table(self.places, self.added_places)
+        built = self._prepared("names")
+        return built if self.added_places is None else by_name.add_names(built, self.added_places)
 
     def _rows(self, found: DataFrame) -> DataFrame:
         """Adds the place that a found (tier, row_id) stands for."""
@@ -51,11 +74,12 @@ class Finder:
     def nearest(self, queries: DataFrame, rank: str = "distance", admin: bool = False) -> DataFrame:
         if rank not in ("distance", "population"):
             raise ValueError(f"no rank: {rank}")
-        found = (by_point.nearest if rank == "distance" else by_point.nearest_by_gravity)(queries, self.places)
+        search = by_point.nearest if rank == "distance" else by_point.nearest_by_gravity
+        found = search(queries, self.places, (self._prepared("cubes"), self._prepared("leaves")))
         return by_point.with_admin(found, self.admin1) if admin else found
 
     def find_by_name(self, queries: DataFrame) -> DataFrame:
-        return self._rows(by_name.find(queries, self.names()))
+        return self._rows(by_name.find(queries, self.names(), self._prepared("grams")))
 
     def prefixes(self, queries: DataFrame) -> DataFrame:
         return by_name.prefixes(queries, self.names())

@@ -11,25 +11,28 @@ from ..functions.text import trigrams
 _KEY = 3
 
 
+def _keys(df: DataFrame, tier: int) -> DataFrame:
+    names = F.concat(F.coalesce("alt_names", F.array().cast("array<string>")), F.array("name"))
+    return df.select("country", F.posexplode(names).alias("pos", "name"), F.lit(tier).alias("tier"), F.col("row_id").cast("long").alias("row_id"))
+
+
 def name_table(places: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """(country, name, tier, row_id, added_at): for each name in a country its first place, alternate names included.
 
     Places that were added later (tier 1) come after all that were there at the build (tier 0). added_at tells names that no place of
     the build has, in any country: when they were added first, by row and within a row alternate names before the name. Others have null.
     """
+    built = _keys(places, 0).groupBy("country", "name").agg(F.lit(0).alias("tier"), F.min("row_id").alias("row_id"))
+    built = _with_added_at(built)
+    return built if added is None else add_names(built, added)
+
 
-    def keys(df: DataFrame, tier: int) -> DataFrame:
-        names = F.concat(F.coalesce("alt_names", F.array().cast("array<string>")), F.array("name"))
-        return df.select("country", F.posexplode(names).alias("pos", "name"), F.lit(tier).alias("tier"), "row_id")
-
-    built = keys(places, 0)
-    rows = built if added is None else built.unionByName(keys(added, 1))
-    first = rows.groupBy("country", "name").agg(F.min(F.struct("tier", "row_id")).alias("f")).select("country", "name", "f.tier", "f.row_id")
-    at = "struct<row_id:bigint,pos:int>"
-    if added is None:
-        return first.withColumn("added_at", F.lit(None).cast(at))
-    new = keys(added, 1).groupBy("name").agg(F.min(F.struct(F.col("row_id").cast("long").alias("row_id"), "pos")).alias("added_at"))
-    return first.join(new.join(built.select("name"), "name", "left_anti"), "name", "left").select("country", "name", "tier", "row_id", F.col("added_at").cast(at).alias("added_at"))
+def add_names(built: DataFrame, added: DataFrame) -> DataFrame:
+    """A name table of the build with the names of places that were added since. Only these are grouped anew."""
+    rows = _keys(added, 1)
+    new = rows.groupBy("country", "name").agg(F.lit(1).alias("tier"), F.min("row_id").alias("row_id")).join(built.select("country", "name"), ["country", "name"], "left_anti")
+    at = rows.groupBy("name").agg(F.min(F.struct("row_id", "pos")).alias("added_at")).join(built.select("name"), "name", "left_anti")
+    return built.unionByName(new.join(at, "name", "left").select("country", "name", "tier", "row_id", "added_at"))
 
 
 def _with_added_at(names: DataFrame) -> DataFrame:

@@ -1,26 +1,30 @@
 """Nearest places, by distance and by gravity, and places within a radius.
 
-Points are unit vectors in cubes as wide as the chord of a search radius: what lies within the radius is in the
-27 cubes around a query, so a search is an equi-join on cubes and needs no case for poles or the date line.
-Queries are exploded, places aren't, and Spark splits a crowded cube as a skewed join key.
+Points are unit vectors in cubes. A search within a radius uses cubes as wide as its chord: what lies within the radius is in the
+27 cubes around a query, so it is an equi-join on cubes and needs no case for poles or the date line.
+
+Searches for the best place use a tree of cubes, each half as wide as the one around it, down to cubes of few places. A
+cube knows one place of its own, its most populous, and how far from a query it begins. The place gives what a query reaches at least; cubes that
+can't reach it are left out, the others are opened, a level at a time for all queries together. So a query far from all places meets as few of
+them as one in a city, and no cube holds more than CROWD places unless they stand within metres of each other.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, chord, gravity, haversine_km, unit_vector
 from ..plans.tables import cut
 
-#: Places of the table of top populations, and of the part of it that every gravity query is compared with; the latter bounds the broadcast.
-TABLE, TOP = 4096, 1024
+#: Places of the table of top populations.
+TABLE = 4096
 _WIDER = 1 + 1e-9
 _FARTHEST = math.pi * RADIUS
-#: Widths of cubes are chords of 1 km times powers of this.
-_STEP = 4.0
+#: Where radii are a column, widths of cubes are chords of 1 km times powers of this.
+_STEP = 2.0
 
 
 def _cube(lat: Column, lon: Column, width: Column) -> list[Column]:
@@ -58,32 +62,107 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
     return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *places.columns)
 
 
-def _best(pairs: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
-    least = F.min_by(F.struct("km", *columns), F.struct(*order)).alias("_p")
-    return pairs.groupBy("qid").agg(least).select("qid", F.col("_p.km").alias("km"), *(F.col(f"_p.{c}").alias(c) for c in columns))
+#: Places of a cube that isn't divided further, first and last level of the tree (cubes of the last are some 25 m wide), and the
+#: last level whose cubes, of which a sphere meets 100,000 at most, are sent to all executors.
+CROWD, FIRST, LAST, SENT = 24, 1, 19, 6
+_BITS = 19
 
 
-def nearest(queries: DataFrame, places: DataFrame, first_km: float | None = None) -> DataFrame:
-    """(qid, km, columns of places): for each query the place at the least distance; of equals, the one of least row_id.
+def _key(level: int, axes: list[Column]) -> Column:
+    x, y, z = (F.shiftright(c, LAST - level) for c in axes)
+    return F.lit(level << 3 * _BITS).bitwiseOR(F.shiftleft(x, 2 * _BITS)).bitwiseOR(F.shiftleft(y, _BITS)).bitwiseOR(z)
+
+
+def cube_tables(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree as a table of cubes and a table of places.
 
-    Searches a radius in which a few places are expected, and then, for queries that found none, radii four times as large. Queries
-    without a valid point have no row; nor has any if places is empty.
+    cubes: (level, parent, cube, most, lat, lon): below which cube it is, its largest population, and the place that has it. A
+    cube that isn't divided is below itself on all later levels. leaves: (cube, row_id, lat, lon, population).
     """
-    columns = places.columns
-    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", "lat", "lon")
-    if first_km is None:
-        first_km = 4 * RADIUS * math.sqrt(8 / max(places.count(), 1)) / 2
-    km, found = max(1.0, first_km), None
-    places = cut(places.select(*columns), "places")
+    n = places.count()
+    last = min(LAST, FIRST + 4 + math.ceil(math.log(max(n, 1) / CROWD + 1, 4)))  # deep enough for places ten times as dense as on average
     while True:
-        hit = cut(_best(radius_join(q, places, min(km, _FARTHEST + 1)), columns, [F.col("km"), F.col("row_id")]), "nearest")
-        found = hit if found is None else found.unionByName(hit)
-        if km > _FARTHEST:
-            return found
-        q = cut(q.join(hit.select("qid"), "qid", "left_anti"), "open")
-        if q.isEmpty():
-            return found
-        km *= 4
+        cubes, leaves, crowded = _divide(places, last)
+        if not crowded or last == LAST:
+            return cubes, leaves
+        last = min(LAST, last + 4)
+
+
+def _divide(places: DataFrame, last: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Cubes down to a level, and whether more than CROWD places are left in one of the last."""
+    side = float(1 << LAST - 1)
+    axes = [F.least(F.floor((v + 1) * side), F.lit((1 << LAST) - 1)).cast("long") for v in unit_vector(F.col("lat"), F.col("lon"))]
+    own = places.select("row_id", "lat", "lon", F.col("population").cast("long").alias("population"), *(v.alias(f"_{c}") for v, c in zip(axes, "xyz", strict=True)))
+    keys = F.array(*(F.struct(F.lit(k).alias("level"), _key(k, [F.col("_x"), F.col("_y"), F.col("_z")]).alias("cube")) for k in range(FIRST, last + 1)))
+    own = own.select("row_id", "lat", "lon", "population", keys.alias("keys"))
+    each = own.select("lat", "lon", "population", "row_id", F.col("keys"), F.explode("keys").alias("k"))
+    rank = F.struct("population", -F.col("row_id"))
+    above = F.get(F.col("keys"), F.col("k.level") - FIRST - 1)["cube"]
+    all_ = each.groupBy(F.col("k.level").alias("level"), F.col("k.cube").alias("cube")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("population").alias("most"), F.max_by(F.struct("lat", "lon"), rank).alias("p"), F.first(above).alias("parent"))
+    all_ = cut(all_, "cubes")
+    divided = all_.where((F.col("n") > CROWD) & (F.col("level") < last)).select(F.col("cube").alias("parent"))
+    kept = all_.where(F.col("level") == FIRST).unionByName(all_.where(F.col("level") > FIRST).join(divided, "parent").select(*all_.columns))
+    kept = kept.select("level", F.coalesce("parent", F.lit(0)).alias("parent"), "cube", "n", "most", "p.lat", "p.lon")
+    kept = cut(kept.withColumn("leaf", (F.col("n") <= CROWD) | (F.col("level") == last)), "kept")
+    reached = kept.agg(F.max("level")).first()[0] or FIRST  # no cube is divided on later levels
+    later = kept.where("leaf").withColumn("parent", F.col("cube")).withColumn("level", F.explode(F.when(F.col("level") < reached, F.sequence(F.col("level") + 1, F.lit(reached)))))
+    cubes = cut(kept.unionByName(later.select(*kept.columns)).select("level", "parent", "cube", "most", "lat", "lon"), "tree")
+    leaf = kept.where("leaf").select("cube")
+    leaves = each.select(F.col("k.cube").alias("cube"), "row_id", "lat", "lon", "population").join(leaf, "cube")
+    return cubes, cut(leaves, "leaves"), not kept.where((F.col("n") > CROWD) & F.col("leaf")).isEmpty()
+
+
+def _begins(q: list[str], cube: Column) -> Column:
+    """The chord from a query's unit vector to the nearest point of a cube."""
+    level = F.shiftright(cube, 3 * _BITS)
+    width = F.pow(F.lit(2.0), 1 - level)
+    mask, out = (1 << _BITS) - 1, F.lit(0.0)
+    for i, c in enumerate(q):
+        low = F.shiftright(cube, (2 - i) * _BITS).bitwiseAND(mask) * width - 1
+        off = F.greatest(low - F.col(c), F.col(c) - low - width, F.lit(0.0))
+        out = out + off * off
+    return F.sqrt(out)
+
+
+def _chord_km(c: Column) -> Column:
+    return 2 * RADIUS * F.asin(F.least(F.lit(1.0), c / 2))
+
+
+def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, DataFrame], weighed: bool) -> DataFrame:
+    """(qid, km, columns of places) of the best place by distance, or if weighed by gravity."""
+    cubes, leaves = tables
+    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')")
+    q = q.select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *(v.alias(f"_q{c}") for v, c in zip(unit_vector(F.col("lat"), F.col("lon")), "xyz", strict=True)), F.lit(0).cast("long").alias("cube"))
+    if weighed:
+        cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
+    levels = [r[0] for r in cubes.select("level").distinct().orderBy("level").collect()]  # LAST at most
+    cand = q.repartition("qid")
+    for level in levels:
+        own = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), "most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+        own = F.broadcast(own) if level <= SENT else own
+        cand = cand.join(own, F.col("cube") == F.col("parent")).drop("cube", "parent")
+        begins = _chord_km(_begins(["_qx", "_qy", "_qz"], F.col("_cube")) * (1 - 1e-9)) * (1 - 1e-9)
+        km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
+        whole = Window.partitionBy("qid")
+        if weighed:
+            cand = cand.withColumn("_reached", F.max(gravity(F.col("most"), km)).over(whole)).where(gravity(F.col("most"), begins) * (1 + 1e-9) >= F.col("_reached"))
+        else:
+            cand = cand.withColumn("_reached", F.min(km).over(whole)).where(begins <= F.col("_reached") + 1e-6)
+        cand = cand.drop("_reached", "most", "_plat", "_plon").withColumnRenamed("_cube", "cube")
+    hit = cand.select("qid", "_lat", "_lon", "cube").join(leaves, "cube")
+    hit = hit.select("qid", "row_id", "population", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("km"))
+    order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")
+    best = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
+    return best.join(columns, "row_id").select("qid", "km", *columns.columns)
+
+
+def nearest(queries: DataFrame, places: DataFrame, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(qid, km, columns of places): for each query the place at the least distance; of equals, the one of least row_id.
+
+    Queries without a valid point have no row; nor has any if places is empty. tables: cube_tables(places), if they were made before.
+    """
+    return _search(queries, places, cube_tables(places) if tables is None else tables, False)
 
 
 def top_populations(places: DataFrame, k: int = TABLE) -> DataFrame:
@@ -91,36 +170,13 @@ def top_populations(places: DataFrame, k: int = TABLE) -> DataFrame:
     return places.where("population > 0").orderBy(F.desc("population"), "row_id").limit(k)
 
 
-def nearest_by_gravity(queries: DataFrame, places: DataFrame, k: int = TOP) -> DataFrame:
+def nearest_by_gravity(queries: DataFrame, places: DataFrame, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, km, columns of places): for each query the place of highest population / (km * km + 1), over all places.
 
     Ties go to the nearer place, then to the lesser row_id. If no place has inhabitants, the nearest one.
-
-    The k most populous places give each query a score that the winner must reach. All others have at most the population
-    of the least of them, so beyond some distance they can't; only those within it are searched.
     """
-    columns = places.columns
-    top = cut(top_populations(places, k), "top")
-    size, least = top.agg(F.count(F.lit(1)), F.min("population")).first()
-    if size == 0:
-        return nearest(queries, places)
-    least = least if size == k else 0
-    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", "lat", "lon")
-    t = top.select(*(F.col(c).alias(f"_t_{c}") for c in columns))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_t_lat"), F.col("_t_lon"))
-    pairs = q.repartition(q.sparkSession.sparkContext.defaultParallelism, "qid").join(F.broadcast(t)).withColumn("_km", km)  # k rows at most
-    pairs = pairs.select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("_km").alias("km"), *(F.col(f"_t_{c}").alias(c) for c in columns))
-    score = gravity(F.col("population"), F.col("km"))
-    order = [-score, F.col("km"), F.col("row_id")]
-    won = pairs.groupBy("qid").agg(F.min_by(F.struct("km", *columns), F.struct(*order)).alias("_p"), F.max(score).alias("_score"), F.first("_lat").alias("lat"), F.first("_lon").alias("lon"))
-    if least == 0:
-        return won.select("qid", F.col("_p.km").alias("km"), *(F.col(f"_p.{c}").alias(c) for c in columns))
-    won = cut(won, "won")
-    # where the winner may be someone else: within the distance at which `least` people would still reach the score
-    open_ = won.select("qid", "lat", "lon", (F.sqrt(F.greatest(F.lit(0.0), least / F.col("_score") - 1)) * _WIDER).alias("reach"))
-    near = radius_join(open_, places.where("population > 0"), "reach")
-    both = near.select("qid", "km", *columns).unionByName(won.select("qid", F.col("_p.km").alias("km"), *(F.col(f"_p.{c}").alias(c) for c in columns)))
-    return _best(both, columns, order)
+    tables = cube_tables(places) if tables is None else tables
+    return _search(queries, places, tables, not tables[0].where("most > 0").isEmpty())
 
 
 def with_admin(winners: DataFrame, admin1: DataFrame | None) -> DataFrame:

@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Written beside the tables; a reader that finds another version asks for a rebuild.
-FORMAT = 1
+FORMAT = 2
+#: What tables are sorted by.
+SORTED = {"postal": ("country", "code"), "admin1": ("key",), "names": ("country", "name"), "grams": ("country", "gram"), "cubes": ("level", "parent"), "leaves": ("cube",)}
 
 
 _own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a new folder of this machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
+    """spark.checkpoint.dir; only where it is unset and the master is local, as in tests, a new folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again."""
+    """Writes df to the shared folder and reads it again. cleanup() removes what was written, and so does the end of the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/places/{uuid.uuid4().hex}-{name}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup() -> None:
+    """Removes the tables that cut() wrote. Results that still read them can't be computed afterwards."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session or its JVM has ended
+            return
+
+
+atexit.register(cleanup)
+
+
 def save(tables: dict[str, DataFrame], path: str) -> None:
     """Each table by Spark's commit protocol; the list of them last, so that half a set isn't taken for a whole one.
 
-    Names are written sorted, so that row groups cover ranges and lookups by prefix skip the others.
+    Tables are written sorted, so that row groups cover ranges and lookups skip the others.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        keys = [k for k in ("country", "name", "code") if k in df.columns and name != "places"]
+        keys = SORTED.get(name)
         out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
         out.write.mode("overwrite").parquet(f"{path}/{name}")
     meta = [(name, FORMAT, spark.read.parquet(f"{path}/{name}").count()) for name in tables]

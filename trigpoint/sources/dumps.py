@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.config import check_feature_classes
 
@@ -20,11 +19,20 @@ _NUMBER = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a file: split at line feeds alone, without one carriage return at the end and a BOM at the start."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    rows = raw.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))  # only an RDD numbers rows in file order
-    lines = spark.createDataFrame(rows, T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())]))
-    return lines.withColumn("line", F.regexp_replace(F.when(F.col("line_no") == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")), "\r$", ""))
+    """(line_no, line) of a file: split at line feeds alone, without one carriage return at the end and a BOM at the start.
+
+    Lines are numbered within the blocks that the file is read in; how many lines each block has, a row a block, tells what
+    to add.
+    """
+    block = ("_metadata.file_path", "_metadata.file_block_start")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", *(F.col(c).alias(a) for c, a in zip(block, ("_file", "_start"), strict=True)), F.monotonically_increasing_id().alias("_id"))
+    at, offsets = 0, []
+    for file, start, first, n in rows.groupBy("_file", "_start").agg(F.min("_id"), F.count(F.lit(1))).orderBy("_file", "_start").collect():
+        offsets.append((file, start, at - first + 1))
+        at += n
+    offsets = spark.createDataFrame(offsets, "_file string, _start long, _add long")
+    lines = rows.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_id") + F.col("_add")).alias("line_no"), F.col("value").alias("line"))
+    return lines.withColumn("line", F.regexp_replace(F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")), "\r$", ""))
 
 
 def _field(fields: Column, i: int) -> Column:
