@@ -60,6 +60,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed, "kept")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op4's policy fails, and what it fails alone."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")), "web-1")
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), remainder(7) == 2)
 
@@ -107,7 +112,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, rule_ablations)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,7 +134,7 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id"""
 
-_OP4 = rf"""
+_MEASURED = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT doc_id, text, regexp_extract_all(text, {_WORD}) AS w,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM d),
@@ -143,10 +148,16 @@ x AS (SELECT m.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(text) - le
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower,
     length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits
   FROM m LEFT JOIN r ON r.doc_id = m.doc_id),
-b AS (SELECT *, {" OR ".join(f"({rules.RULES[r]})" for r in rules.BASE)} AS base_failed FROM x)
+b AS (SELECT *, {" OR ".join(f"({rules.RULES[r]})" for r in rules.BASE)} AS base_failed FROM x)"""
+
+_OP4 = f"""{_MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT ({" OR ".join(f"({r})" for r in rules.RULES.values())}) AS kept FROM b"""
 
+_COUNTED = " + ".join(f"CAST(({r}) AS INT)" for r in rules.RULES.values())
+_ABLATIONS = f"""{_MEASURED}
+{" UNION ALL ".join(f"SELECT 'web-1' AS policy, '{name}' AS rule, count(*) FILTER ({rule}) AS n_failed, count(*) FILTER (({rule}) AND {_COUNTED} = 1) AS n_only, count(*) AS n_rows FROM x" for name, rule in rules.RULES.items())}"""
+
 _OP8 = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -164,4 +175,4 @@ n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_shared
 FROM d JOIN q ON d.g = q.g JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "op8_url_filter": _OP8, "op10_decontaminate": _OP10}
+ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "rule_ablations": _ABLATIONS, "op8_url_filter": _OP8, "op10_decontaminate": _OP10}
