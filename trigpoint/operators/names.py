@@ -103,7 +103,12 @@ def prefixes(queries: DataFrame, names: DataFrame, default: int = 10, most: int
     """
     k = F.least(F.coalesce("limit", F.lit(default)), F.lit(most))
     q = queries.select("qid", "prefix", "country", k.alias("k")).withColumn("n", F.least(F.length("prefix"), F.lit(_KEY))).withColumn("key", F.substring("prefix", F.lit(1), F.col("n")))
-    keyed = names.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(_KEY)))).where(F.length("name") >= F.col("n")).withColumn("key", F.substring("name", F.lit(1), F.col("n")))
+    # of a prefix that is shorter than the key no more than the first names can be asked for, so that no key has all names of a country
+    keys = lambda n: F.substring("name", F.lit(1), n)
+    short = names.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(_KEY - 1)))).where(F.length("name") >= F.col("n")).withColumn("key", keys(F.col("n")))
+    nth = F.row_number().over(Window.partitionBy("country", "n", "key").orderBy("tier", "name"))
+    short = short.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    keyed = short.unionByName(names.where(F.length("name") >= _KEY).withColumn("n", F.lit(_KEY)).withColumn("key", keys(F.lit(_KEY))))
     hit = q.join(keyed, ["country", "n", "key"]).where(F.startswith("name", "prefix"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("tier", "name"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).select("qid", "rank", "name", "tier", "row_id")

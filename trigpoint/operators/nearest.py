@@ -42,29 +42,32 @@ def _width(level: Column) -> Column:
 def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataFrame:
     """(qid, km, and the columns of places) for places at most so many km from a query's point; km may be a column of queries.
 
-    Queries without a point or with a null or negative radius find nothing.
+    Queries without a point or with a null or negative radius find nothing. One radius for all gives cubes of its own width; radii
+    of a column are dealt to levels of widths, and places are entered on each level that occurs.
     """
-    reach = F.col(km) if isinstance(km, str) else F.lit(float(km))
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(reach, F.lit(1.0))) / math.log(_STEP))).cast("int")
+    if isinstance(km, str):
+        reach = F.col(km)
+        level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(reach, F.lit(1.0))) / math.log(_STEP))).cast("int")
+    else:
+        reach, level = F.lit(float(km)), F.lit(0)
+    width = _width if isinstance(km, str) else lambda _: F.lit(chord(min(max(1.0, float(km)), _FARTHEST)) * _WIDER)
     q = queries.where(reach >= 0).select("qid", F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), (reach * _WIDER).alias("_reach"), level.alias("_level"))
-    levels = [r[0] for r in q.select("_level").distinct().collect()]  # the logarithm of the largest radius at most
-    if not levels:
-        levels = [0]
-    own = dict(zip("xyz", _cube(F.col("_qlat"), F.col("_qlon"), _width(F.col("_level"))), strict=True))
+    levels = [r[0] for r in q.select("_level").distinct().collect()] if isinstance(km, str) else [0]  # the logarithm of the largest radius at most
+    own = dict(zip("xyz", _cube(F.col("_qlat"), F.col("_qlon"), width(F.col("_level"))), strict=True))
     for axis, c in own.items():
         q = q.withColumn(f"_{axis}0", c)
     for axis in own:
         q = q.withColumn(f"_{axis}", F.explode(_around(F.col(f"_{axis}0")))).drop(f"_{axis}0")
-    p = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))) if len(levels) > 1 else places.withColumn("_level", F.lit(levels[0]))
-    for axis, c in zip("xyz", _cube(F.col("lat"), F.col("lon"), _width(F.col("_level"))), strict=True):
+    p = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
+    for axis, c in zip("xyz", _cube(F.col("lat"), F.col("lon"), width(F.col("_level"))), strict=True):
         p = p.withColumn(f"_{axis}", c)
     hit = q.join(p, ["_level", "_x", "_y", "_z"]).withColumn("km", haversine_km(F.col("_qlat"), F.col("_qlon"), F.col("lat"), F.col("lon")))
     return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *places.columns)
 
 
-#: Places of a cube that isn't divided further, first and last level of the tree (cubes of the last are some 25 m wide), and the
-#: last level whose cubes, of which a sphere meets 100,000 at most, are sent to all executors.
-CROWD, FIRST, LAST, SENT = 24, 1, 19, 6
+#: Places of a cube that isn't divided further, first and last level of the tree (cubes of the last are some 25 m wide), and how many cubes
+#: a level may have to be sent to all executors (some 15 MB); levels with more are joined by shuffling.
+CROWD, FIRST, LAST, SENT = 24, 1, 19, 200_000
 _BITS = 19
 
 
@@ -136,11 +139,11 @@ def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, Dat
     q = q.select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *(v.alias(f"_q{c}") for v, c in zip(unit_vector(F.col("lat"), F.col("lon")), "xyz", strict=True)), F.lit(0).cast("long").alias("cube"))
     if weighed:
         cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
-    levels = [r[0] for r in cubes.select("level").distinct().orderBy("level").collect()]  # LAST at most
+    levels = cubes.groupBy("level").count().orderBy("level").collect()  # LAST rows at most
     cand = q.repartition("qid")
-    for level in levels:
+    for level, n in levels:
         own = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), "most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-        own = F.broadcast(own) if level <= SENT else own
+        own = F.broadcast(own) if n <= SENT else own
         cand = cand.join(own, F.col("cube") == F.col("parent")).drop("cube", "parent")
         begins = _chord_km(_begins(["_qx", "_qy", "_qz"], F.col("_cube")) * (1 - 1e-9)) * (1 - 1e-9)
         km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
