@@ -87,7 +87,30 @@ def test_jaccard_keep_one(spark):
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
-def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
+def test_stars_lose_no_link(monkeypatch):
+    """Whatever the number of kinds that are told apart, linked sets are connected."""
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 1 << 62, 80).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) > p], r.integers(0, 1 << 62, int(p * 90)).astype(np.uint64)])) for p in np.linspace(0, 0.5, 60)]
+    h, cls, n, pos = [], [], [], []
+    for i, s in enumerate(sets):
+        k = jaccard.prefix_length(len(s), 75, 100)
+        h.append(s[:k])
+        cls.append(np.full(k, i))
+        n.append(np.full(k, len(s)))
+        pos.append(np.arange(k))
+    columns = [np.concatenate(x) for x in (h, cls, n, pos)]
+    for kinds in (2048, 1):
+        monkeypatch.setattr(jaccard, "KINDS", kinds)
+        parent = list(range(len(sets)))
+        for a, b in zip(*(x.tolist() for x in jaccard._stars(*columns, 75, 100)), strict=True):
+            common.union(parent, a, b)
+        found = jaccard.linked(sets, 75, 100)
+        assert len(set(found)) < len(sets) and all(common.find(parent, i) == common.find(parent, k) for i, k in enumerate(found))
+
+
+@pytest.mark.parametrize("hot", [jaccard.HOT_SLOTS, 0])
+def test_jaccard_large_group_of_near_copies(spark, monkeypatch, hot):
     """One text with copies at all distances, some linked only through others, some with none; a second family beside it."""
     r = random.Random(5)
     base, other = ([f"{c}{r.randint(0, 5000)}" for _ in range(60)] for c in "xy")
@@ -98,6 +121,7 @@ def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
             w[r.randrange(60)] = f"new{r.randint(0, 99)}"
         texts.append(" ".join(w))
     monkeypatch.setattr(jaccard, "TILE", 500)
+    monkeypatch.setattr(jaccard, "HOT_SLOTS", hot)  # no room for levels changes what is compared, and no result
     got = sorted(map(tuple, jaccard.jaccard_join(docs_of(spark, texts)).collect()))
     assert got == brute_components(texts)
 
@@ -178,6 +202,22 @@ def test_bpe_is_the_public_library(spark):
     assert bpe.digests(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_decode_of_odd_ids(spark):
+    rows = spark.createDataFrame([(1, [9_999_999, None]), (2, None), (3, []), (None, [72])], "doc_id long, ids array<int>")
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    got = {r.doc_id: r.text for r in bpe.decode(rows, path).collect()}
+    assert got[1] == "\ufffd\ufffd" and got[2] is None and got[3] == "" and len(got[None]) >= 1
+    assert bpe.decode(rows.limit(0), path).count() == bpe.digests(docs_of(spark, ODD).limit(0), path, queries.pattern()).count() == 0
+
+
+def test_rules_on_empty_tables_and_clashing_names(spark):
+    docs = docs_of(spark, ["a b " * 30, None, "word " * 5]).withColumn("measured", F.lit(1)).withColumn("FAILED", F.lit(2))
+    assert rules.ledger(docs.limit(0)).count() == rules.keep_good(docs.limit(0), "web-1").count() == 0
+    kept = rules.keep_good(docs.union(docs), "base-1")
+    assert kept.columns == docs.columns and kept.count() == 0
+    assert [r.n_rows for r in rules.ablations(rules.ledger(docs), "base-1").collect()] == [3, 3]
+
+
 def test_lattice_sums_all_segmentations():
     pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"abc", b"bc", b"aa", b" a"})
     lattice = Lattice(pieces)

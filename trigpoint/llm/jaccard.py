@@ -40,8 +40,8 @@ RECURS, COUNTED = 3, 0.4
 SENT = 5
 #: Shingles of a tile, and entries that a task gathers before it sends them.
 TILE, FLUSH = 100_000, 1_500_000
-#: Pivots of a large group.
-PIVOTS = 8
+#: Pivots of a large group, and kinds of (size, place) among the classes of a shingle that are told apart; with more, all may be linked.
+PIVOTS, KINDS = 8, 2048
 #: Documents of a dense tile, and columns of it.
 ROWS, COLUMNS = 256, 16_384
 
@@ -202,7 +202,7 @@ def _stars(h: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, num:
     for lo, m in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
         run = slice(lo, lo + m)
         kinds, kind = np.unique(n[run] << 32 | pos[run], return_inverse=True)
-        if len(kinds) <= 2048:
+        if len(kinds) <= KINDS:
             kn, kp = kinds >> 32, kinds & 0xFFFFFFFF
             ok = fits(kn[:, None], kp[:, None], kn[None], kp[None])
             parent = list(range(len(kinds)))

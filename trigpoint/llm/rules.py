@@ -73,7 +73,10 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_good(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass a policy, with all their columns."""
+    """The rows of docs that pass a policy, with all their columns.
+
+    A null or empty text has no words and fails few_words alone. Repeated rows are judged each for itself; an empty table stays empty.
+    """
     schema = docs.schema
     free = next(n for n in (f"measured{'_' * k}" for k in range(len(schema) + 1)) if n.lower() not in {f.name.lower() for f in schema})
     added = T.StructType([*schema.fields, T.StructField(free, T.StructType([T.StructField(m, T.LongType()) for m in _MEASURES]))])
