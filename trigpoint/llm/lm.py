@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +137,15 @@ def _merge(table: pa.Table) -> pa.Table:
 _COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
 
+@lru_cache(2)
+def _lattice(pieces: tuple[bytes, ...]) -> Lattice:
+    """A worker makes it once, as every round and block needs it."""
+    return Lattice(list(pieces))
+
+
 def _expect(pieces, logp):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts, part = Lattice(pieces.value), np.zeros(len(pieces.value) + 1), 0
+        lattice, counts, part = _lattice(pieces.value), np.zeros(len(pieces.value) + 1), 0
         for b in batches:
             for bucket, words, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 c, words, part = np.frombuffer(c, np.int64), words.split(b" "), bucket
@@ -203,7 +210,7 @@ _SUMS = pa.schema([("block", pa.int64()), ("uid", pa.binary()), ("base", pa.bina
 
 def _sum(pieces, weights, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, own = Lattice(pieces.value), weights.value
+        lattice, own = _lattice(pieces.value), weights.value
         for b in batches:
             for words, c, docs, per_doc, w, tf in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 c, docs = np.frombuffer(c, np.int64), np.frombuffer(docs, np.int64)
@@ -276,7 +283,7 @@ def lm_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: str =
     v += ends > 0
 
     own_pieces = sentencepiece_pieces(vocabulary, LONGEST)
-    lattice, pieces = Lattice(own_pieces), send(own_pieces)
+    lattice, pieces = Lattice(own_pieces), send(tuple(own_pieces))
     logp, log_end = _learn(of_words, own_pieces, pieces, n, ends)
     weights = Weights(logp, log_end, n, v, once)
 
