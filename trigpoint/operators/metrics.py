@@ -115,6 +115,12 @@ def transcript(answers: DataFrame, key: str, line: Column) -> DataFrame:
     return answers.orderBy(key).select(line.alias("value"))
 
 
-def lookup_line(kind: str, asked: Column, country: Column) -> Column:
-    """A line of a transcript for a name or a postal code: what was asked, and the place that was found."""
-    return F.concat(F.lit(f'{kind} "'), asked, F.lit('" '), country, F.lit(" -> "), place_line(country="place_country"))
+def lookup_line(kind: str, asked: str, country: str, place: Column) -> Column:
+    """A line of a transcript for a name or a postal code: what was asked, and what was found."""
+    return F.concat(F.lit(f'{kind} "'), F.col(asked), F.lit('" '), F.col(country), F.lit(" -> "), place)
+
+
+def prefix_lines(found: DataFrame) -> DataFrame:
+    """(qid, names) of answers (qid, rank, name, ...): the names of each prefix in their order, as a transcript writes them."""
+    rows = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("own"))  # a prefix has a limited number of names
+    return rows.select("qid", F.concat_ws("", F.transform("own", lambda x: F.concat(F.lit('"'), x["name"], F.lit('";')))).alias("names"))

@@ -322,8 +322,32 @@ def k7_name_transcript(v: Views) -> DataFrame:
     found = names.find(v.name_queries(), names.name_table(v.places())).select("qid", "row_id")
     place = v.places().select("row_id", F.col("name").alias("place"), F.col("country").alias("place_country"), "lat", "lon", "population")
     rows = v.name_queries().join(found, "qid", "left").join(place, "row_id", "left")
-    line = F.concat(F.lit('name "'), F.col("name"), F.lit('" '), F.col("country"), F.lit(" -> "), metrics.place_line("place", "place_country"))
-    return metrics.transcript(rows, "qid", line)
+    return metrics.transcript(rows, "qid", metrics.lookup_line("name", "name", "country", metrics.place_line("place", "place_country")))
+
+
+@query("""WITH t AS (SELECT country, code, arg_max(place, row_id) AS place, arg_max(lat, row_id) AS lat, arg_max(lon, row_id) AS lon FROM postal GROUP BY ALL), q AS (SELECT event_id AS qid, n_name AS country, 'S' || CAST(event_id%50 AS STRING) AS code FROM events JOIN nation ON n_nationkey=event_id%25)
+SELECT 'postal "' || q.code || '" ' || q.country || ' -> ' || coalesce('"' || place || '"|"' || t.country || '"|' || format('{:.9f}', lat) || '|' || format('{:.9f}', lon) || '|0', 'nil') AS value FROM q LEFT JOIN t ON t.country=q.country AND t.code=q.code""", "postal")
+def k7_postal_transcript(v: Views) -> DataFrame:
+    q = v.sql("SELECT event_id AS qid, n_name AS country, 'S' || CAST(event_id%50 AS STRING) AS code FROM events JOIN nation ON n_nationkey=event_id%25")
+    found = postal.by_postal_code(q, postal.postal_table(v.postal())).withColumnRenamed("country", "place_country")
+    rows = q.join(found, "qid", "left")
+    return metrics.transcript(rows, "qid", metrics.lookup_line("postal", "code", "country", metrics.place_line("name", "place_country")))
+
+
+@query(_won("population/(km*km+1) DESC, km, row_id") + """SELECT '"' || name || '"|"' || country || '"|' || format('{:.9f}', lat) || '|' || format('{:.9f}', lon) || '|' || population || ' ' || format('{:.3f}', km) AS value FROM won""", "places", "points")
+def k7_gravity_transcript(v: Views) -> DataFrame:
+    """Kilometres to three places instead of nine, which both engines give alike."""
+    rows = nearest.nearest_by_gravity(v.points(), v.places())
+    return metrics.transcript(rows, "qid", F.concat(metrics.place_line(), F.lit(" "), F.format_string("%.3f", "km")))
+
+
+@query(_TABLE + """, q AS (SELECT p_partkey AS qid, substr(p_name, 1, 2) AS prefix, n_name AS country FROM part JOIN nation ON n_nationkey=p_partkey%25),
+r AS (SELECT qid, t.name, row_number() OVER (PARTITION BY qid ORDER BY t.name) AS rank FROM q JOIN t ON t.country=q.country AND starts_with(t.name, q.prefix))
+SELECT 'prefix "' || prefix || '" ' || country || ' -> ' || coalesce((SELECT string_agg('"' || name || '";', '' ORDER BY rank) FROM r WHERE r.qid = q.qid AND rank <= 10), '') AS value FROM q""", "places")
+def k7_prefix_transcript(v: Views) -> DataFrame:
+    q = v.sql("SELECT p_partkey AS qid, substr(p_name, 1, 2) AS prefix, n_name AS country, CAST(NULL AS INT) AS limit FROM part JOIN nation ON n_nationkey=p_partkey%25")
+    rows = q.join(metrics.prefix_lines(names.prefixes(q, names.name_table(v.places()))), "qid", "left")
+    return metrics.transcript(rows, "qid", metrics.lookup_line("prefix", "prefix", "country", F.coalesce("names", F.lit(""))))
 
 
 _STEPS = "SELECT step, CAST(1000 + step * 38 AS BIGINT) AS scheduled, (1000 + step) / 7.0E0 AS achieved, step / 61.0E0 AS error_share, CAST(step AS BIGINT) AS dropped, CAST(step * 2 AS BIGINT) AS not_found, CAST(500 + step AS BIGINT) AS p50, CAST(1500000 + step * 10000 AS BIGINT) AS p90, CAST(12000 + step * 1000 AS BIGINT) AS p99, CAST(2500000000 + step * 1000000 AS BIGINT) AS p999, CAST(3000000000 AS BIGINT) AS slowest FROM (SELECT DISTINCT CAST(event_id%7 AS INT) AS step FROM events)"
