@@ -277,7 +277,8 @@ def test_language_is_brute_force(spark):
     again = langid.learn(docs.orderBy(F.desc("doc_id")).union(docs.limit(3)), queries.vocabulary("byte_bpe_multi_50k.tiktoken"), F.lit(True))
     assert np.allclose(model.logp, again.logp)
     tables = [dict(zip(model.pieces, np.exp(model.logp[:-1, k]).tolist(), strict=True)) for k in range(len(model.languages))]
-    none = {p: len(p) / sum(map(len, model.pieces)) for p in model.pieces}
+    size = sum(map(len, model.pieces))
+    none = {p: len(p) / size for p in model.pieces}
     texts = ["the of and", "der die das nicht", "los que de la", "Q", "qxzj wvkq zzxq jjjq", "Привет мир как дела", "le une des", "zxqj"]
     got = {r.doc_id: r for r in langid.predict(docs_of(spark, texts), model).collect()}
     kept = {r.doc_id for r in langid.keep_known(docs_of(spark, texts), model).collect()}
