@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, htmltext, jaccard, langid, lm, rollups, rules, toxicity, urlfilter
+from . import bpe, common, decontam, htmltext, jaccard, langid, lexical, lm, rollups, rules, toxicity, urlfilter
 
 #: Where the public vocabularies are; None: the package that comes with them.
 TOKENIZERS: str | None = None
@@ -112,7 +112,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, rule_ablations)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.LexicalIndex.build(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, op11_lexical_search, rule_ablations)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -175,4 +179,16 @@ n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_shared
 FROM d JOIN q ON d.g = q.g JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "rule_ablations": _ABLATIONS, "op8_url_filter": _OP8, "op10_decontaminate": _OP10}
+_OP11 = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM n, total),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "rule_ablations": _ABLATIONS, "op8_url_filter": _OP8, "op10_decontaminate": _OP10, "op11_lexical_search": _OP11}
