@@ -26,7 +26,7 @@ SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 BLOCK_TERMS = 1 << 20
 #: Impacts lie below SCALE; a byte of them has STEPS steps.
 SCALE, STEPS = 1_000_000, 255
-_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_PATTERN = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 

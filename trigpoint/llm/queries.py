@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, htmltext, jaccard, langid, lexical, lm, rollups, rules, toxicity, urlfilter
+from . import bpe, common, decontam, htmltext, jaccard, langid, lexical, lm, packing, rollups, rules, toxicity, urlfilter
 
 #: Where the public vocabularies are; None: the package that comes with them.
 TOKENIZERS: str | None = None
@@ -116,7 +116,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.LexicalIndex.build(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, op11_lexical_search, rule_ablations)}
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, op11_lexical_search, op12_best_fit_packing, rule_ablations)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
