@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, htmltext, jaccard, langid, lexical, lm, packing, rollups, rules, toxicity, urlfilter
+from . import bpe, common, decontam, htmltext, jaccard, langid, lexical, lm, packing, rollups, rules, toxicity, trie, urlfilter
 
 #: Where the public vocabularies are; None: the package that comes with them.
 TOKENIZERS: str | None = None
@@ -120,7 +120,14 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, op11_lexical_search, op12_best_fit_packing, rule_ablations)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first crc32(c) mod 6 turns of conversation c - c mod 100."""
+    keys = trie.turn_keys(table(spark, sf_dir, "conversations"))
+    turns, convs = trie.rebuild(keys, F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100)
+    return trie.prefix_trie(turns, convs)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_lm_score, op6_html_text, op7_token_counts, op8_url_filter, op9_toxicity, op10_decontaminate, op11_lexical_search, op12_best_fit_packing, op13_prefix_trie, rule_ablations)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -195,4 +202,27 @@ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 10"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "rule_ablations": _ABLATIONS, "op8_url_filter": _OP8, "op10_decontaminate": _OP10, "op11_lexical_search": _OP11}
+_CRC_BYTE = "list_reduce(range(8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, xor(c, b))"
+_OP13 = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS size, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda k: CAST(ascii(CAST(conv_id AS VARCHAR)[k]) AS BIGINT)),
+    lambda c, b: {_CRC_BYTE}, CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h FROM o GROUP BY conv_id),
+r AS (SELECT c.conv_id, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, o.i - c.h + least(c.h, coalesce(b.size, 0)), o.role, o.text
+    FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h LEFT JOIN c b ON b.conv_id = c.base),
+p AS (SELECT conv_id, i AS depth, list(sha256(role || chr(0) || text)) OVER (PARTITION BY conv_id ORDER BY i) AS key, length(text) AS n FROM r
+  UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[]), 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+v AS (SELECT key, depth, count(*) AS n_convs, min(p.conv_id) AS conv_id, any_value(n) AS n,
+    sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (depth = size), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY key, depth),
+k AS (SELECT key[:depth - 1] AS key, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+u AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (key)),
+s AS (SELECT key[:j] AS key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM u) GROUP BY 1)
+SELECT u.conv_id, u.depth, t.conv_id AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens, u.ends_sha256
+FROM u JOIN s USING (key) LEFT JOIN u t ON u.depth > 0 AND t.key = u.key[:u.depth - 1]"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op4_quality_rules": _OP4, "rule_ablations": _ABLATIONS, "op8_url_filter": _OP8, "op10_decontaminate": _OP10, "op11_lexical_search": _OP11, "op13_prefix_trie": _OP13}
