@@ -10,6 +10,7 @@ from trigpoint.finder import Finder
 from trigpoint.operators import metrics, names, nearest, postal, requests
 from trigpoint.plans import tables
 from trigpoint.plans.config import Config, feature_classes, load_config
+from trigpoint.plans.log import Log
 from trigpoint.sources import dumps, synthetic
 from trigpoint.streaming import live
 
@@ -194,7 +195,7 @@ def test_build_and_open(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"places": "places.txt", "postal": "postal.txt", "admin1": "admin.txt", "output": "out", "other": 1}')
     with pytest.warns(UserWarning, match="other"):
         finder = Finder.build(spark, load_config(str(tmp_path / "c.json")))
-    assert set(finder.prepared) == {"names", "grams", "cubes", "leaves"}
+    assert set(finder.prepared) == {"names", "grams", "gram_counts", "prefixes", "cubes", "leaves"}
     asked = spark.createDataFrame([(1, "N", "AA")], "qid long, name string, country string")
     assert [r.row_id for r in finder.find_by_name(asked).collect()] == [1]
     plan = finder.find_by_name(asked)._jdf.queryExecution().executedPlan().toString()
@@ -206,7 +207,8 @@ def test_build_and_open(spark, tmp_path):
         finder.nearest(q, "size")
     codes = spark.createDataFrame([(1, "1", "AA")], "qid long, code string, country string")
     assert [r.name for r in finder.find_by_postal_code(codes).collect()] == ["Last"]
-    spark.createDataFrame([("places", 0, 2)], "name string, format int, rows long").write.mode("overwrite").parquet(str(tmp_path / "out/_tables"))
+    log = Log(spark, str(tmp_path / "out/_log"))
+    log.commit(log.read()[0], {"format": 0, "folder": "", "tables": {}})
     with pytest.raises(ValueError, match="format"):
         tables.load(spark, str(tmp_path / "out"))
 
@@ -290,8 +292,10 @@ def test_streams(spark, tmp_path):
     q = live.answer_names(stream, table).writeStream.format("memory").queryName("answers").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.row_id for r in spark.sql("SELECT * FROM answers").collect()] == [4]
-    live.append_additions(spark.readStream.schema("qid long, name string, country string").parquet(str(tmp_path / "in")), str(tmp_path / "added"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "added")).count() == 2
+    batches = []
+    stream = spark.readStream.schema("qid long, name string, country string").parquet(str(tmp_path / "in"))
+    live.add_each_batch(stream, lambda rows, source, batch: batches.append((rows.count(), source, batch)), str(tmp_path / "cp"), "here").awaitTermination()
+    assert batches == [(2, "here", 0)]
 
 
 def test_queries_have_sql():

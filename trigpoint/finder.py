@@ -10,19 +10,24 @@ from .operators import nearest as by_point
 from .operators import postal as by_code
 from .plans import tables
 from .plans.config import Config, feature_classes
+from .plans.runs import Runs
 from .sources import dumps
 
 
 #: Tables that are derived from places.
-PREPARED = ("names", "grams", "cubes", "leaves")
+PREPARED = ("names", "grams", "gram_counts", "prefixes", "cubes", "leaves")
 
 
 def prepare(places: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
     """The tables that lookups use besides places: names, their trigrams, and the tree of cubes; or those that come with one of them."""
     out: dict[str, DataFrame] = {}
-    if only in (None, "names", "grams"):
-        out["names"] = by_name.name_table(places)
-        out["grams"] = by_name.gram_table(out["names"])
+    if only not in ("cubes", "leaves"):
+        out["names"] = by_name.name_table(places).drop("added_at")
+        if only != "prefixes":
+            out["grams"] = by_name.gram_table(out["names"])
+            out["gram_counts"] = by_name.country_gram_counts(out["grams"])
+        if only in (None, "prefixes"):
+            out["prefixes"] = by_name.prefix_table(out["names"])
     if only in (None, "cubes", "leaves"):
         out["cubes"], out["leaves"] = by_point.cube_tables(places)
     return out
@@ -31,11 +36,15 @@ def prepare(places: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
 class Finder:
     """Answers tables of queries. Built from places and postal rows; additions are seen by the next query."""
 
-    def __init__(self, places: DataFrame, postal: DataFrame | None = None, admin1: DataFrame | None = None, prepared: dict[str, DataFrame] | None = None):
-        """prepared: tables that are derived from places, by the names that prepare() gives them; without them they are derived when they are needed."""
+    def __init__(self, places: DataFrame, postal: DataFrame | None = None, admin1: DataFrame | None = None, prepared: dict[str, DataFrame] | None = None, additions: str | None = None):
+        """prepared: tables that are derived from places, by the names that prepare() gives them; without them they are derived when they are needed.
+        additions: a folder for rows that are added, which a later Finder over the same build may open again; None: a new one, for this driver."""
         self.places, self.postal, self.admin1, self.prepared = places, postal, admin1, dict(prepared or {})
-        self.added_places: DataFrame | None = None
-        self.added_postal: DataFrame | None = None
+        spark, path = places.sparkSession, additions or tables.scratch(places.sparkSession, "added")
+        self._names_added = Runs(spark, f"{path}/names", by_name.merge_names, ("country", "name"))
+        self._places_added = Runs(spark, f"{path}/places", DataFrame.distinct, ("row_id",))
+        self._postal_added = Runs(spark, f"{path}/postal", by_code.merge_postal, ("country", "code"))
+        self._prefixes_added: tuple[int, DataFrame] | None = None
 
     @classmethod
     def build(cls, spark: SparkSession, config: Config) -> Finder:
@@ -51,9 +60,9 @@ class Finder:
         return cls.open(spark, config.output)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Finder:
-        found = tables.load(spark, path)
-        return cls(found["places"], found.get("postal"), found.get("admin1"), {k: found[k] for k in PREPARED})
+    def open(cls, spark: SparkSession, path: str, additions: str | None = None, verify: bool = True) -> Finder:
+        found = tables.load(spark, path, verify)
+        return cls(found["places"], found.get("postal"), found.get("admin1"), {k: found[k] for k in PREPARED}, additions)
 
     def _prepared(self, name: str) -> DataFrame:
         if name not in self.prepared:
@@ -61,15 +70,16 @@ class Finder:
         return self.prepared[name]
 
     def names(self) -> DataFrame:
-        built = self._prepared("names")
-        return built if self.added_places is None else by_name.add_names(built, self.added_places)
+        built, added = self._prepared("names"), self._names_added.read()
+        return built if added is None else by_name.with_runs(built, added)
 
     def _rows(self, found: DataFrame) -> DataFrame:
         """Adds the place that a found (tier, row_id) stands for."""
-        rows = self.places.withColumn("tier", F.lit(0))
-        if self.added_places is not None:
-            rows = rows.unionByName(self.added_places.withColumn("tier", F.lit(1)), allowMissingColumns=True)
-        return found.join(rows.select("tier", "row_id", "name", "country", "lat", "lon", "population"), ["tier", "row_id"])
+        columns = ["row_id", "name", "country", "lat", "lon", "population"]
+        rows, added = self.places.select(F.lit(0).alias("tier"), *columns), self._places_added.read()
+        if added is not None:
+            rows = rows.unionByName(added.select(F.lit(1).alias("tier"), *columns))
+        return found.join(rows, ["tier", "row_id"])
 
     def nearest(self, queries: DataFrame, rank: str = "distance", admin: bool = False) -> DataFrame:
         if rank not in ("distance", "population"):
@@ -79,18 +89,40 @@ class Finder:
         return by_point.with_admin(found, self.admin1) if admin else found
 
     def find_by_name(self, queries: DataFrame) -> DataFrame:
-        return self._rows(by_name.find(queries, self.names(), self._prepared("grams")))
+        return self._rows(by_name.find(queries, self.names(), self._prepared("grams"), self._prepared("gram_counts")))
 
     def prefixes(self, queries: DataFrame) -> DataFrame:
-        return by_name.prefixes(queries, self.names())
+        """(qid, rank, name, tier, row_id) with the place that each name stands for, as place, country, lat, lon and population."""
+        names, table = self.names(), self._prepared("prefixes")
+        version = self._names_added.log.read()[0]
+        if version:
+            if self._prefixes_added is None or self._prefixes_added[0] != version:  # additions alone are looked through again
+                self._prefixes_added = version, by_name.prefix_table(names.where("tier = 1"))
+            table = table.unionByName(self._prefixes_added[1])
+        found = by_name.prefixes(queries, names, table=table).withColumnRenamed("name", "_name")
+        return self._rows(found).withColumnsRenamed({"name": "place", "_name": "name"})
 
     def find_by_postal_code(self, queries: DataFrame) -> DataFrame:
         if self.postal is None:
             raise ValueError("this build has no postal codes")
-        return by_code.by_postal_code(queries, by_code.postal_table(self.postal, self.added_postal))
-
-    def add_places(self, rows: DataFrame) -> None:
-        self.added_places = rows if self.added_places is None else self.added_places.unionByName(rows)
-
-    def add_postal(self, rows: DataFrame) -> None:
-        self.added_postal = rows if self.added_postal is None else self.added_postal.unionByName(rows)
+        return by_code.by_postal_code(queries, by_code.postal_table(self.postal, self._postal_added.read()))
+
+    def add_places(self, rows: DataFrame, source: str = "calls", batch: int | None = None) -> bool:
+        """Adds places (row_id, name, alt_names, country, lat, lon, population). A batch of a source that was added before changes nothing and gives False.
+
+        Names are compared with those of the build once, here; lookups meet a few sorted runs of them.
+        """
+        rows = tables.cut(rows, "added")
+        batch = self._next(self._names_added, source) if batch is None else batch
+        # places first: a name whose place isn't there yet would find nothing
+        self._places_added.add(rows.select("row_id", "name", "country", "lat", "lon", "population"), source, batch)
+        return self._names_added.add(by_name.new_names(self._prepared("names"), rows), source, batch)
+
+    def add_postal(self, rows: DataFrame, source: str = "calls", batch: int | None = None) -> bool:
+        """Adds postal rows (row_id, country, code, place, lat, lon); of each key the row with the largest row_id holds, however late others come."""
+        batch = self._next(self._postal_added, source) if batch is None else batch
+        return self._postal_added.add(rows.select("row_id", "country", "code", "place", "lat", "lon"), source, batch)
+
+    @staticmethod
+    def _next(runs: Runs, source: str) -> int:
+        return runs.log.read()[1].get("batches", {}).get(source, -1) + 1

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import duration
+from ..plans.ranges import places_among_equals
+from ..plans.tables import cut
 
 #: Upper bounds of the latency histogram in seconds.
 BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -85,6 +92,88 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).select(F.lit("left").alias("side")).unionAll(b.exceptAll(a).select(F.lit("right").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def remap(old: DataFrame, new: DataFrame, values: list[str], id_col: str = "row_id") -> DataFrame:
+    """(old_id, new_id): which row of a new table is a row of an old one, by their values; equal rows in the order of their ids.
+
+    Null is a value like others. Raises ValueError, with one differing row, if a row of either table has none in the other. Equal rows are
+    numbered on both sides by ranges, so that no task has all of a value that a third of all rows share, and values and numbers are joined one to one.
+    """
+    a = places_among_equals(old.select(id_col, *values), values, id_col, name="_nth").withColumnRenamed(id_col, "old_id")
+    b = places_among_equals(new.select(id_col, *values), values, id_col, name="_nth")
+    b = b.select(F.col(id_col).alias("new_id"), *(F.col(c).alias(f"_new_{c}") for c in values), F.col("_nth").alias("_new_nth"))
+    same = [a[c].eqNullSafe(b[f"_new_{c}"]) for c in values]
+    both = cut(a.join(b, [*same, a["_nth"] == b["_new_nth"]], "full").withColumn("_side", F.when(F.col("_new_nth").isNull(), "old").when(F.col("_nth").isNull(), "new")), "remap")
+    odd = both.where(F.col("_side").isNotNull()).first()
+    if odd is not None:
+        row = {c: odd[c] if odd["_side"] == "old" else odd[f"_new_{c}"] for c in values}
+        raise ValueError(f"the {odd['_side']} table alone has {row}")
+    return both.select("old_id", "new_id")
+
+
+#: Fixed value: the CRC-64 polynomial of ECMA-182, its highest term left out.
+POLYNOMIAL = 0x42F0E1EBA9EA3693
+
+
+def _times(x: int, y: int) -> int:
+    """The product of polynomials over GF(2), modulo the CRC's."""
+    out = 0
+    while y:
+        out ^= x if y & 1 else 0
+        x = (x << 1 ^ (POLYNOMIAL | 1 << 64)) if x >> 63 else x << 1
+        y >>= 1
+    return out
+
+
+def _shift(rows: int) -> int:
+    """x to the power of 64 for each row."""
+    out, power = 1, _times(1 << 32, 1 << 32)
+    while rows:
+        out = _times(out, power) if rows & 1 else out
+        power, rows = _times(power, power), rows >> 1
+    return out
+
+
+def _crc(words: np.ndarray) -> int:
+    """The CRC of 64-bit numbers: neighbours are put together, then pairs of them, and so on."""
+    if not len(words):
+        return 0
+    factor = _shift(1)
+    while len(words) > 1:
+        words = np.concatenate([np.zeros(len(words) % 2, np.uint64), words])  # zeros in front change nothing
+        left, right = words[::2], words[1::2].copy()
+        for bit in range(64):  # left times factor, a bit of left at a time
+            term = np.uint64(_times(1 << bit, factor))
+            right ^= np.where(left >> np.uint64(bit) & np.uint64(1), term, np.uint64(0))
+        words, factor = right, _times(factor, factor)
+    return int(words[0])
+
+
+def ordered_fingerprint(rows: DataFrame, order: list[str], values: list[str]) -> tuple[int, int]:
+    """(rows, CRC-64) of a table in an order: the same on any number of partitions, another one if two different rows change places.
+
+    Each partition of the ordered table gives the CRC of the hashes of its rows; these are put together by multiplication of polynomials: what
+    comes before n rows is multiplied by x to the power of 64 n. Null values count. Rows that are equal in `order` stand by their values. An empty table has (0, 0).
+    """
+    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("crc", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = crc = 0
+        for b in batches:
+            words = b.column(0).to_numpy().view(np.uint64)
+            n, crc = n + len(words), _times(crc, _shift(len(words))) ^ _crc(words)
+        if n:
+            out = TaskContext.get().partitionId(), n, crc - (1 << 64) if crc >> 63 else crc
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in out], schema=schema)
+
+    hashed = F.xxhash64(*(x for c in values for x in (F.col(c).isNull(), F.col(c)))).alias("h")
+    keys = list(dict.fromkeys([*order, *values]))
+    parts = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).select(hashed).mapInArrow(run, "part long, n long, crc long")
+    total = crc = 0
+    for _, n, own in sorted(parts.collect()):  # a row for each partition
+        total, crc = total + n, _times(crc, _shift(n)) ^ (own % (1 << 64))
+    return total, crc
+
+
 def sweep_table(steps: DataFrame, window_s: float) -> DataFrame:
     """(step, line): a sweep as lines of a table, a heading first (step null). Columns are as wide as what stands in them."""
     rounded = lambda c: duration(F.when(F.col(c) >= 1_000_000_000, F.round(F.col(c) / 1e6) * 1e6).when(F.col(c) >= 1_000_000, F.round(F.col(c) / 1e4) * 1e4).otherwise(F.round(F.col(c) / 1e3) * 1e3).cast("long"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
+from ..plans.ranges import numbered
 
-#: Characters of a prefix that are matched by an equi-join; the rest is compared afterwards.
-_KEY = 3
+#: Names that can be asked for by a prefix at most, and characters of the prefixes that have a list of their own.
+MOST, LONG = 50, 400
+#: Names, in order, that are looked through together for those that come before them.
+_BLOCK = 20_000
 
 
 def _keys(df: DataFrame, tier: int) -> DataFrame:
@@ -29,10 +32,27 @@ def name_table(places: DataFrame, added: DataFrame | None = None) -> DataFrame:
 
 def add_names(built: DataFrame, added: DataFrame) -> DataFrame:
     """A name table of the build with the names of places that were added since. Only these are grouped anew."""
-    rows = _keys(added, 1)
-    new = rows.groupBy("country", "name").agg(F.lit(1).alias("tier"), F.min("row_id").alias("row_id")).join(built.select("country", "name"), ["country", "name"], "left_anti")
-    at = rows.groupBy("name").agg(F.min(F.struct("row_id", "pos")).alias("added_at")).join(built.select("name"), "name", "left_anti")
-    return built.unionByName(new.join(at, "name", "left").select("country", "name", "tier", "row_id", "added_at"))
+    return with_runs(built, merge_names(new_names(built, added)))
+
+
+def new_names(built: DataFrame, added: DataFrame) -> DataFrame:
+    """(country, name, row_id, at) of added places whose name the build doesn't have in that country. at: when it was added, by row and within a
+    row alternate names before the name; null if the build has the name in some country."""
+    known = built.select("country", "name")
+    rows = _keys(added, 1).join(known, ["country", "name"], "left_anti")
+    elsewhere = known.select("name").distinct().withColumn("_known", F.lit(True))
+    return rows.join(elsewhere, "name", "left").select("country", "name", "row_id", F.when(F.col("_known").isNull(), F.struct("row_id", "pos")).alias("at"))
+
+
+def merge_names(rows: DataFrame) -> DataFrame:
+    """What holds for each name in a country over all rows of new_names(), in whatever order and however often they come."""
+    return rows.groupBy("country", "name").agg(F.min("row_id").alias("row_id"), F.min("at").alias("at"))
+
+
+def with_runs(built: DataFrame, added: DataFrame) -> DataFrame:
+    """A name table of the build with what merge_names() gives of additions."""
+    first = added.groupBy("name").agg(F.min("at").alias("added_at"))
+    return _with_added_at(built).unionByName(added.join(first, "name").select("country", "name", F.lit(1).alias("tier"), "row_id", "added_at"))
 
 
 def _with_added_at(names: DataFrame) -> DataFrame:
@@ -57,20 +77,25 @@ def gram_table(names: DataFrame) -> DataFrame:
     return keys.join(counts, ["country", "gram"])
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, edits: int, grams: DataFrame | None = None) -> DataFrame:
+def country_gram_counts(grams: DataFrame) -> DataFrame:
+    """(country, gram, postings) of a gram table, each once."""
+    return grams.groupBy("country", "gram").agg(F.first("postings").alias("postings"))
+
+
+def fuzzy(queries: DataFrame, names: DataFrame, edits: int, grams: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(qid, matched, distance, tier, row_id): the name in the country within so many edits, nearest first, then names of the
     build in byte order, then added ones in the order in which they were added.
 
     A name of the build must share a trigram with the query, which all but the shortest do. Of a query's g trigrams the
     g - max(1, g - 3 * edits) + 1 rarest are looked up: a name within reach has one of them. Added names, which are few, are compared by
-    country and length. grams: gram_table(names), if it was made before.
+    country and length. grams, counts: gram_table(names) and country_gram_counts() of it, if they were made before.
     """
     names = _with_added_at(names)
     grams = gram_table(names) if grams is None else grams
     q = queries.select("qid", F.col("name").alias("q"), "country").withColumn("grams", trigrams(F.col("q")))
     g = F.size("grams")
     q = q.withColumn("walk", g - F.greatest(F.lit(1), g - 3 * edits) + 1)
-    counts = grams.groupBy("country", "gram").agg(F.first("postings").alias("postings"))
+    counts = country_gram_counts(grams) if counts is None else counts
     walks = q.select("qid", "q", "country", "walk", g.alias("g"), F.explode("grams").alias("gram")).join(counts, ["country", "gram"])
     # trigrams that no name has cost nothing, so they are walked first: as many fewer of the others are needed
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("postings", "gram"))
@@ -88,27 +113,47 @@ def fuzzy(queries: DataFrame, names: DataFrame, edits: int, grams: DataFrame | N
     return best.select("qid", F.col("b.name").alias("matched"), F.col("b.distance").alias("distance"), F.col("b.tier").alias("tier"), F.col("b.row_id").alias("row_id"))
 
 
-def find(queries: DataFrame, names: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+def find(queries: DataFrame, names: DataFrame, grams: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(qid, matched, distance, tier, row_id): exact, else within one edit, else within two. Unknown countries find nothing."""
     found = exact(queries, names)
     left = queries.join(found.select("qid"), "qid", "left_anti")
     # one search within two edits: its order puts one edit before two
-    return found.unionByName(fuzzy(left, names, 2, grams))
+    return found.unionByName(fuzzy(left, names, 2, grams, counts))
 
 
-def prefixes(queries: DataFrame, names: DataFrame, default: int = 10, most: int = 50) -> DataFrame:
+def prefix_table(names: DataFrame, most: int = MOST) -> DataFrame:
+    """(country, prefix, tier, names): for each prefix of up to LONG characters its first names in byte order, `most` at most, as an array of (name, row_id).
+
+    Names that begin alike stand next to each other in byte order, so a name is among the first of a prefix unless the name that
+    stands `most` places before it begins so too. Names are numbered by ranges and looked through in blocks, each with the last names
+    of the one before it: a prefix that a third of all names share is spread over tasks, and no name is written for a prefix that doesn't list it.
+    """
+    rows = numbered(names.select("tier", "country", "name", "row_id"), "tier", "country", "name")
+    block = F.floor(F.col("pos") / _BLOCK)
+    own = rows.withColumn("block", block).withColumn("own", F.lit(True))
+    last = rows.where(F.col("pos") % _BLOCK >= _BLOCK - most).withColumn("block", block + 1).withColumn("own", F.lit(False))
+    before = F.lag(F.struct("tier", "country", "name"), most).over(Window.partitionBy("block").orderBy("pos"))
+    rows = own.unionByName(last).withColumn("before", before).where("own")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.length("name"), F.lit(LONG))))).withColumn("prefix", F.substring("name", F.lit(1), F.col("n")))
+    full = (F.col("before.tier") == F.col("tier")) & (F.col("before.country") == F.col("country")) & F.startswith("before.name", "prefix")
+    rows = rows.where(~F.coalesce(full, F.lit(False)))
+    return rows.groupBy("country", "prefix", "tier").agg(F.sort_array(F.collect_list(F.struct("name", "row_id"))).alias("names"))
+
+
+def prefixes(queries: DataFrame, names: DataFrame, default: int = 10, most: int = MOST, table: DataFrame | None = None) -> DataFrame:
     """(qid, rank, name, tier, row_id) for queries (qid, prefix, country, limit): names in byte order, build-time names first.
 
-    A null limit is the default one, a larger one than `most` is `most`. An empty prefix matches all names.
+    A null limit is the default one, a larger one than `most` is `most`. An empty prefix matches all names. table: prefix_table(names) or, with
+    the same columns, that of the build and that of additions together; without it, it is derived. A query meets no more names than it can list.
+    Prefixes of more than LONG characters are compared with names that are as long.
     """
+    table = prefix_table(names, most) if table is None else table
     k = F.least(F.coalesce("limit", F.lit(default)), F.lit(most))
-    q = queries.select("qid", "prefix", "country", k.alias("k")).withColumn("n", F.least(F.length("prefix"), F.lit(_KEY))).withColumn("key", F.substring("prefix", F.lit(1), F.col("n")))
-    # of a prefix that is shorter than the key no more than the first names can be asked for, so that no key has all names of a country
-    keys = lambda n: F.substring("name", F.lit(1), n)
-    short = names.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(_KEY - 1)))).where(F.length("name") >= F.col("n")).withColumn("key", keys(F.col("n")))
-    nth = F.row_number().over(Window.partitionBy("country", "n", "key").orderBy("tier", "name"))
-    short = short.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
-    keyed = short.unionByName(names.where(F.length("name") >= _KEY).withColumn("n", F.lit(_KEY)).withColumn("key", keys(F.lit(_KEY))))
-    hit = q.join(keyed, ["country", "n", "key"]).where(F.startswith("name", "prefix"))
+    q = queries.select("qid", "prefix", "country", k.alias("k"))
+    hit = q.join(table, ["country", "prefix"]).where("k > 0").select("qid", "k", "tier", F.inline(F.slice("names", F.lit(1), F.col("k"))))
+    start = lambda c: F.substring(c, F.lit(1), F.lit(LONG))
+    long = q.where(F.length("prefix") > LONG).withColumn("start", start("prefix"))
+    names = names.where(F.length("name") > LONG).select("country", "name", "tier", "row_id", start("name").alias("start"))
+    hit = hit.unionByName(long.join(names, ["country", "start"]).where(F.startswith("name", "prefix")).select("qid", "k", "tier", "name", "row_id"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("tier", "name"))
-    return hit.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).select("qid", "rank", "name", "tier", "row_id")
+    return hit.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("qid", "rank", "name", "tier", "row_id")

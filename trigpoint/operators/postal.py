@@ -16,6 +16,12 @@ def postal_table(rows: DataFrame, added: DataFrame | None = None) -> DataFrame:
     return keep_last(base, "country", "code").drop("row_id")
 
 
+def merge_postal(rows: DataFrame) -> DataFrame:
+    """The row with the largest row_id of each key, over rows in any order and however often they come; of equal row_ids the largest row."""
+    last = rows.groupBy("country", "code").agg(F.max(F.struct("row_id", "place", "lat", "lon")).alias("last"))
+    return last.select("last.row_id", "country", "code", "last.place", "last.lat", "last.lon")
+
+
 def by_postal_code(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(qid, name, country, lat, lon, population) for queries (qid, code, country); population is always 0."""
     hit = queries.select("qid", "code", "country").join(table, ["country", "code"])

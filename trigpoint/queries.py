@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import geo, text
 from .operators import metrics, names, nearest, postal, requests
+from .finder import Finder
+from .plans import ranges, tables
 from .sources import dumps, synthetic
+from .streaming import live
 
 _PLACES = """SELECT c_custkey AS row_id, p_name AS name, n_name AS country, ((c_custkey*7919)%180001)/1000.0E0-90 AS lat,
  ((c_custkey*104729)%360001)/1000.0E0-180 AS lon, CAST(CASE WHEN c_custkey%3=0 THEN 0 ELSE (c_custkey*15485863)%3000000 END AS INT) AS population,
@@ -185,6 +188,15 @@ def j17_difference(v: Views) -> DataFrame:
     return metrics.difference(p.select("name", "country", "population"), p.select("name", "country", (F.col("population") + (F.col("row_id") % 5 == 0).cast("int")).alias("population")))
 
 
+@query("""WITH p AS (SELECT *, CASE WHEN row_id%7 = 0 THEN NULL ELSE population // 1000000 END AS size FROM places),
+a AS (SELECT row_id, row_number() OVER (PARTITION BY country, size ORDER BY row_id) AS nth, country, size FROM p), b AS (SELECT row_id * 3 % 1000003 AS row_id, row_number() OVER (PARTITION BY country, size ORDER BY row_id * 3 % 1000003) AS nth, country, size FROM p)
+SELECT a.row_id AS old_id, b.row_id AS new_id FROM a JOIN b ON a.country = b.country AND a.size IS NOT DISTINCT FROM b.size AND a.nth = b.nth""", "places")
+def j17_remap(v: Views) -> DataFrame:
+    """Rows of which many are alike, with new ids in another order."""
+    rows = v.places().select("row_id", "country", F.expr("CASE WHEN row_id%7 = 0 THEN NULL ELSE population DIV 1000000 END").alias("size"))
+    return metrics.remap(rows, rows.withColumn("row_id", F.col("row_id") * 3 % 1_000_003), ["country", "size"])
+
+
 _PARSED = """WITH f AS (SELECT line_no, string_split(line, chr(9)) AS f FROM lines), g AS (SELECT line_no, f[2] AS name, f[4] AS alts, f[5] AS lat, f[6] AS lon, f[7] AS fc, f[9] AS country, coalesce(f[15], '') AS pop FROM f),
 r AS (SELECT *, CASE WHEN fc NOT IN ('P', 'A', 'H', 'T', 'V') OR fc IS NULL THEN 'feature class' WHEN fc = 'A' THEN 'feature class' WHEN coalesce(name,'')='' OR coalesce(lat,'')='' OR coalesce(lon,'')='' OR coalesce(country,'')='' THEN 'field missing'
  WHEN try_cast(lat AS DOUBLE) IS NULL THEN 'coordinate can''t be read' WHEN abs(try_cast(lat AS DOUBLE)) > 90 THEN 'coordinate out of range' WHEN try_cast(pop AS INT) < 0 THEN 'population negative' END AS reason FROM g)
@@ -261,11 +273,9 @@ def a11_outcomes(v: Views) -> DataFrame:
 
 @query("SELECT key, row_number() OVER (ORDER BY first) - 1 AS id FROM (SELECT country || '.' || admin1_code AS key, min(row_id) AS first FROM places GROUP BY 1)", "places")
 def a12_admin_ids(v: Views) -> DataFrame:
-    """Ids by first encounter; there are a few thousand divisions in the world, so one task numbers them."""
-    from pyspark.sql import Window
-
+    """Ids by first encounter."""
     keys = v.places().groupBy(F.concat_ws(".", "country", "admin1_code").alias("key")).agg(F.min("row_id").alias("first"))
-    return keys.select("key", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"))
+    return ranges.dense_ids(keys, "first").select("key", "id")
 
 
 @query("SELECT row_id, population FROM places WHERE population > 0 ORDER BY population DESC, row_id LIMIT 4096", "places")
@@ -397,6 +407,38 @@ def t2_postal_upsert(v: Views) -> DataFrame:
     return postal.postal_table(v.postal(), added).select("country", "code", "place")
 
 
+@query(_TABLE + """, n1 AS (SELECT country, unnest([s_name, place]) AS name, row_id FROM (SELECT country, place, place AS s_name, row_id FROM postal) UNION ALL SELECT country, name, 100000000 + row_id FROM places),
+u AS (SELECT country, name, 0 AS tier, row_id FROM t UNION ALL SELECT country, name, 1, row_id FROM n1)
+SELECT country, name, CAST(min(tier) AS INT) AS tier, arg_min(row_id, tier * 1000000000000 + row_id) AS row_id FROM u GROUP BY ALL""", "places", "postal")
+def u3_runs(v: Views) -> DataFrame:
+    """The same additions in five batches, one of them twice, over runs that have been merged and one that hasn't."""
+    none = F.array().cast("array<string>")
+    more = v.postal().select("country", F.col("place").alias("name"), none.alias("alt_names"), "row_id", "lat", "lon", F.lit(0).alias("population"))
+    again = v.places().select("country", "name", none.alias("alt_names"), (F.col("row_id") + 100_000_000).alias("row_id"), "lat", "lon", "population")
+    finder, added = Finder(v.places()), more.unionByName(again)
+    for batch in (0, 1, 2, 2, 3, 4):
+        finder.add_places(added.where(F.col("row_id") % 5 == batch), "batches", batch)
+    return finder.names().select("country", "name", "tier", "row_id")
+
+
+@query("""WITH u AS (SELECT n_name AS country, 'S' || CAST(s_suppkey%40 AS STRING) AS code, s_name AS place, s_suppkey AS version FROM supplier JOIN nation ON n_nationkey=s_nationkey
+UNION ALL SELECT country, code, 'built', -1 FROM (SELECT DISTINCT country, code FROM postal WHERE row_id%2=0)), t AS (SELECT country, code, arg_max(place, version) AS place FROM u GROUP BY ALL)
+SELECT event_id AS qid, place AS name FROM events JOIN nation ON n_nationkey=event_id%25 JOIN t ON t.country=n_name AND t.code='S' || CAST(event_id%50 AS STRING)""", "postal")
+def t2_postal_stream(v: Views) -> DataFrame:
+    """Postal rows come as a stream, their batch once more, then rows that are late; lookups see the last row of each key."""
+    built = v.postal().where("row_id%2=0").withColumn("place", F.lit("built"))
+    finder = Finder(v.places(), built)
+    rows = v.spark.readStream.schema("s_suppkey long, s_name string, s_nationkey int").parquet(f"{v.dir}/supplier*.parquet")  # a stream takes a single file by a pattern alone
+    nation = v.spark.read.parquet(f"{v.dir}/nation.parquet")
+    code = F.concat(F.lit("S"), (F.col("s_suppkey") % 40).cast("string"))
+    rows = rows.join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("row_id"), F.col("n_name").alias("country"), code.alias("code"), F.col("s_name").alias("place"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    live.stream_postal(rows, finder, tables.scratch(v.spark, "checkpoint")).awaitTermination()
+    finder.add_postal(v.postal().withColumn("place", F.lit("repeated")), "postal", 0)
+    finder.add_postal(v.postal().where("row_id < 40").withColumn("place", F.lit("late")).withColumn("row_id", F.col("row_id") - 1000), "late", 0)
+    q = v.sql("SELECT event_id AS qid, n_name AS country, 'S' || CAST(event_id%50 AS STRING) AS code FROM events JOIN nation ON n_nationkey=event_id%25")
+    return finder.find_by_postal_code(q).select("qid", "name")
+
+
 @query(_TABLE + "SELECT DISTINCT name FROM t", "places")
 def u1_distinct_names(v: Views) -> DataFrame:
     return names.name_table(v.places()).select("name").distinct()
