@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import names as by_name
 from .operators import nearest as by_point
 from .operators import postal as by_code
+from .operators import requests
 from .plans import tables
 from .plans.config import Config, feature_classes
 from .plans.runs import Runs
@@ -88,6 +89,30 @@ class Finder:
         found = search(queries, self.places, (self._prepared("cubes"), self._prepared("leaves")))
         return by_point.with_admin(found, self.admin1) if admin else found
 
+    def batch(self, batches: DataFrame) -> DataFrame:
+        """(batch_id, idx, error, body) of batches (batch_id, body): the answers of its points, each by its own rank and with what it asks to include, in their
+        order, null for a point without one; or, if a point can't be used, which one is the first (idx; -1 for the body itself) and why, and no body.
+
+        Points are read once; those of each rank are looked up together, and carry their batch and place along.
+        """
+        points = tables.cut(requests.parse_batches(batches), "points")
+        errors = requests.first_errors(points)
+        asked = points.join(errors.select("batch_id"), "batch_id", "left_anti").withColumn("qid", F.struct("batch_id", "idx"))
+        asked = tables.cut(asked.withColumn("weighed", F.coalesce(F.col("rank") == "population", F.lit(False))), "asked")
+        found = None
+        for weighed in (False, True):
+            own = asked.where(F.col("weighed") == weighed)
+            if not own.isEmpty():
+                part = self.nearest(own, "population" if weighed else "distance", admin=True).withColumn("weighed", F.lit(weighed))
+                found = part if found is None else found.unionByName(part)
+        if found is None:
+            return errors.select("batch_id", "idx", "error", F.lit(None).cast("string").alias("body"))
+        rows = found.join(asked.select("qid", "include"), "qid")
+        answers = rows.select("qid", requests.response(F.col("weighed"), F.coalesce(F.col("include") == "admin", F.lit(False))).alias("answer"))
+        results = requests.gather(asked.join(answers, "qid", "left"), "answer")
+        whole = results.select("batch_id", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("error"), requests.batch_body(F.col("results")).alias("body"))
+        return whole.unionByName(errors.select("batch_id", F.col("idx").cast("int").alias("idx"), "error", F.lit(None).cast("string").alias("body")))
+
     def find_by_name(self, queries: DataFrame) -> DataFrame:
         return self._rows(by_name.find(queries, self.names(), self._prepared("grams"), self._prepared("gram_counts")))
 

@@ -14,10 +14,19 @@ def trigrams(name: Column) -> Column:
 
 
 def typo(name: Column, kind: Column, at: Column) -> Column:
-    """kind 0: the character at a place (from 1) becomes x; 1: it goes; else a q is put before it. Empty names stay."""
+    """kind 0: the character at a place (from 1) becomes x; 1: it goes; else a q is put before it. Names of less than two characters get an a."""
     left, right = F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name))
     changed = F.when(kind == 0, F.concat(left, F.lit("x"), right)).when(kind == 1, F.concat(left, right)).otherwise(F.concat(left, F.lit("q"), F.substring(name, at, F.length(name))))
-    return F.when(F.length(name) == 0, name).otherwise(changed)
+    return F.when(F.length(name) < 2, F.concat(name, F.lit("a"))).otherwise(changed)
+
+
+#: Fixed value: the white space of Unicode, which requests may have around their parts.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def trimmed(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def thousands(n: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duration
@@ -70,15 +70,40 @@ def exposition(counts: DataFrame, durations: DataFrame | None = None, gauges: Da
     return out.orderBy("part", "key", "i").select("line")
 
 
+def nearest_ranks(values: DataFrame, key: str, value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """(key, and a column for each share): of the whole numbers of each key the least one that is at least as large as the share of them, a fraction of two
+    whole numbers. Null values and keys don't count.
+
+    Selected by passes over 16 bits each, the leading ones first: counts by these bits tell which of them the rank has, and the next pass reads those values alone.
+    No more than 65,536 counts a key and share are together at once, however many different values there are.
+    """
+    rows = values.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).where("v IS NOT NULL AND k IS NOT NULL")
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    rows = rows.withColumn("v", F.col("v") - F.lit(low or 0))
+    bits = max(1, ((high or 0) - (low or 0)).bit_length())
+    share = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, (a, b) in shares.items())))
+    asked = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("k", "n", share.alias("s"))
+    asked = asked.select("k", "s.name", F.lit(0).cast("long").alias("prefix"), F.greatest(F.lit(1), F.floor((F.col("n") * F.col("s.a") + F.col("s.b") - 1) / F.col("s.b"))).cast("long").alias("rank"))
+    for shift in range((bits - 1) // 16 * 16, -1, -16):
+        left = rows.select("k", F.shiftright("v", shift + 16).alias("prefix") if shift < 48 else F.lit(0).cast("long").alias("prefix"), F.shiftright("v", shift).bitwiseAND(0xFFFF).alias("digit"))
+        left = left.join(asked.select("k", "prefix").distinct(), ["k", "prefix"], "left_semi").groupBy("k", "prefix", "digit").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("k", "name").orderBy("digit"))
+        hit = asked.join(left, ["k", "prefix"]).withColumn("upto", upto).where("rank <= upto AND rank > upto - n")
+        asked = cut(hit.select("k", "name", (F.shiftleft("prefix", 16) + F.col("digit")).alias("prefix"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "ranks")
+    return asked.groupBy(F.col("k").alias(key)).agg(*(F.max(F.when(F.col("name") == name, F.col("prefix") + F.lit(low or 0))).alias(name) for name in shares))
+
+
 def sweep(samples: DataFrame, window_s: float) -> DataFrame:
     """Per step: outcomes, achieved rate, share of errors, and percentiles by nearest rank over served requests."""
     served = F.col("outcome") == "served"
     n = lambda o: F.count_if(F.col("outcome") == o)
-    ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ns) FILTER (WHERE outcome = 'served')").alias(name) for name, p in PERCENTILES.items()]
-    return samples.groupBy("step").agg(
+    counts = samples.groupBy("step").agg(
         F.count(F.lit(1)).alias("scheduled"), n("served").alias("served"), n("not_found").alias("not_found"), n("failed").alias("failed"), n("dropped").alias("dropped"),
-        (n("served") / F.lit(float(window_s))).alias("achieved"), ((n("failed") + n("dropped")) / F.count(F.lit(1))).alias("error_share"), *ranks, F.max(F.when(served, F.col("latency_ns"))).alias("slowest"),
+        (n("served") / F.lit(float(window_s))).alias("achieved"), ((n("failed") + n("dropped")) / F.count(F.lit(1))).alias("error_share"), F.max(F.when(served, F.col("latency_ns"))).alias("slowest"),
     )
+    ranks = nearest_ranks(samples.where(served), "step", "latency_ns", {name: (round(1000 * p), 1000) for name, p in PERCENTILES.items()})
+    same = counts["step"].eqNullSafe(ranks["step"])
+    return counts.join(ranks, same, "left").select(*(counts[c] for c in counts.columns[:-1]), *(ranks[c] for c in PERCENTILES), counts["slowest"])
 
 
 def fingerprint(places: DataFrame) -> DataFrame:

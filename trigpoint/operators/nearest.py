@@ -58,11 +58,12 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
         q = q.withColumn(f"_{axis}0", c)
     for axis in own:
         q = q.withColumn(f"_{axis}", F.explode(_around(F.col(f"_{axis}0")))).drop(f"_{axis}0")
-    p = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
+    own_columns = _own_columns(places)
+    p = places.select(own_columns).withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
     for axis, c in zip("xyz", _cube(F.col("lat"), F.col("lon"), width(F.col("_level"))), strict=True):
         p = p.withColumn(f"_{axis}", c)
     hit = q.join(p, ["_level", "_x", "_y", "_z"]).withColumn("km", haversine_km(F.col("_qlat"), F.col("_qlon"), F.col("lat"), F.col("lon")))
-    return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *places.columns)
+    return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *own_columns)
 
 
 #: Places of a cube that isn't divided further, first and last level of the tree (cubes of the last are some 25 m wide), and how many cubes
@@ -157,13 +158,26 @@ def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, Dat
     hit = hit.select("qid", "row_id", "population", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("km"))
     order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")
     best = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
-    return best.join(columns, "row_id").select("qid", "km", *columns.columns)
+    own = _own_columns(columns)
+    return best.join(columns.select(own), "row_id").select("qid", "km", *own)
+
+
+def _own_columns(places: DataFrame) -> list[str]:
+    """Columns of places but for those that are called as a result's own are."""
+    return [c for c in places.columns if c.lower() not in ("qid", "km")]
+
+
+def invalid_points(queries: DataFrame) -> DataFrame:
+    """(qid, error) of queries whose point can't be looked up: latitude or longitude missing or not finite, or a latitude beyond the poles. Any finite
+    longitude is a place, as it wraps."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return queries.where(bad("lat") | bad("lon") | (F.abs(F.col("lat")) > 90)).select("qid", F.lit("invalid coordinate").alias("error"))
 
 
 def nearest(queries: DataFrame, places: DataFrame, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, km, columns of places): for each query the place at the least distance; of equals, the one of least row_id.
 
-    Queries without a valid point have no row; nor has any if places is empty. tables: cube_tables(places), if they were made before.
+    Queries without a valid point have no row, see invalid_points(); nor has any if places is empty. Columns of places that are called qid or km go. tables: cube_tables(places), if they were made before.
     """
     return _search(queries, places, cube_tables(places) if tables is None else tables, False)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import round2
+from ..functions.text import trimmed
 
 LONGEST_NAME, MOST_POINTS = 200, 100
 POINT = "lat double, lon double, rank string, include string"
@@ -22,7 +23,7 @@ def point_error() -> Column:
 
 def name_request(name: Column, country: Column) -> tuple[Column, Column, Column]:
     """(name, country, error) as a lookup takes them: trimmed, the country in upper case."""
-    n, c = F.trim(F.coalesce(name, F.lit(""))), F.upper(F.trim(F.coalesce(country, F.lit(""))))
+    n, c = trimmed(F.coalesce(name, F.lit(""))), F.upper(trimmed(F.coalesce(country, F.lit(""))))
     return n, c, F.when(n == "", "name").when(F.length(n) > LONGEST_NAME, "name length").when(c == "", "country")
 
 
@@ -35,7 +36,7 @@ def prefix_limit(raw: Column, default: int = 10, most: int = 50) -> tuple[Column
 
 def postal_request(code: Column, country: Column) -> tuple[Column, Column, Column]:
     """(code, country, error) as a lookup takes them: trimmed, white space within the code kept, the country in upper case."""
-    k, c = F.trim(F.coalesce(code, F.lit(""))), F.upper(F.trim(F.coalesce(country, F.lit(""))))
+    k, c = trimmed(F.coalesce(code, F.lit(""))), F.upper(trimmed(F.coalesce(country, F.lit(""))))
     return k, c, F.when(k == "", "code").when(c == "", "country")
 
 
@@ -108,3 +109,8 @@ def response(with_population: Column, with_admin: Column) -> Column:
 def gather(rows: DataFrame, value: str) -> DataFrame:
     """(batch_id, results): values of each batch in the order of its points, of which there are at most MOST_POINTS."""
     return rows.groupBy("batch_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", value))), lambda x: x[value]).alias("results"))
+
+
+def batch_body(results: Column) -> Column:
+    """The answer to a batch: its points' answers in their order, as JSON texts; null for a point without one."""
+    return F.concat(F.lit('{"results":['), F.array_join(F.transform(results, lambda x: F.coalesce(x, F.lit("null"))), ","), F.lit("]}"))

@@ -6,12 +6,14 @@ that both engines do alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, text
-from .operators import metrics, names, nearest, postal, requests
 from .finder import Finder
+from .functions import geo, http, text
+from .operators import metrics, names, nearest, postal, requests
 from .plans import ranges, tables
 from .sources import dumps, synthetic
 from .streaming import live
@@ -47,8 +49,6 @@ class Views:
         """Runs SQL over the tables that it names, as temporary arguments rather than views of the session."""
         tables = {t: self.spark.read.parquet(f"{self.dir}/{t}.parquet") for t in ("customer", "part", "nation", "region", "supplier", "events") if f" {t}" in text_} | more
         named = {t: "{" + t + "}" for t in tables}
-        import re
-
         out = text_
         for t in tables:
             out = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {named[t]}", out)
@@ -295,9 +295,9 @@ def f11_validate(v: Views) -> DataFrame:
     return q.select("qid", requests.point_error().alias("error"))
 
 
-@query("SELECT qid, trim(name) AS name, upper(country) AS country, CASE WHEN qid%7=0 THEN 'name' END AS error FROM (SELECT qid, CASE WHEN qid%7=0 THEN '  ' ELSE ' ' || name END AS name, lower(country) AS country FROM name_queries)", "name_queries")
+@query("SELECT qid, CASE WHEN qid%7=0 THEN '' ELSE name END AS name, upper(country) AS country, CASE WHEN qid%7=0 THEN 'name' END AS error FROM name_queries", "name_queries")
 def f13_name_request(v: Views) -> DataFrame:
-    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%7=0 THEN '  ' ELSE ' ' || name END AS name", "lower(country) || ' ' AS country")
+    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%7=0 THEN ' \t\u3000' ELSE '\t\u00a0 ' || name || '\u2003' END AS name", "lower(country) || '\r\u3000 ' AS country")
     n, c, e = requests.name_request(F.col("name"), F.col("country"))
     return q.select("qid", n.alias("name"), c.alias("country"), e.alias("error"))
 
@@ -439,6 +439,62 @@ def t2_postal_stream(v: Views) -> DataFrame:
     return finder.find_by_postal_code(q).select("qid", "name")
 
 
+@query("""WITH b AS (SELECT event_id//20 AS batch_id, event_id%20 AS idx, event_id AS qid, event_id%503=0 AS bad FROM events), e AS (SELECT batch_id, min(idx) AS bad FROM b WHERE bad GROUP BY 1),
+pairs AS (SELECT q.qid, """ + _KM + """ AS km, p.* FROM points q CROSS JOIN places p),
+won AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN qid%2=0 THEN -population/(km*km+1) ELSE 0 END, km, row_id) = 1),
+a AS (SELECT qid, name || '|' || CASE WHEN qid%2=0 THEN CAST(population AS VARCHAR) ELSE '' END || '|' || CASE WHEN qid%3=0 THEN admin1_code ELSE '' END AS answer FROM won)
+SELECT b.batch_id, CAST(min(e.bad) AS INT) AS idx, CASE WHEN min(e.bad) IS NOT NULL THEN 'lat range' END AS error, CASE WHEN min(e.bad) IS NULL THEN string_agg(answer, ',' ORDER BY idx) END AS answers FROM b LEFT JOIN e USING (batch_id) LEFT JOIN a USING (qid) GROUP BY b.batch_id""", "places", "points")
+def j16_mixed_batch(v: Views) -> DataFrame:
+    """Batches whose points have ranks and includes of their own."""
+    rows = v.sql("SELECT event_id DIV 20 AS batch_id, event_id%20 AS idx, CASE WHEN event_id%503=0 THEN 95.5E0 ELSE ((event_id*48611)%180001)/1000.0E0-90 END AS lat, ((event_id*15486719)%360001)/1000.0E0-180 AS lon, CASE WHEN event_id%2=0 THEN 'population' WHEN event_id%5=0 THEN 'distance' END AS rank, CASE WHEN event_id%3=0 THEN 'admin' END AS include FROM events")
+    fields = ("lat", "lon", "rank", "include")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", *fields))), lambda p: F.struct(*(p[f].alias(f) for f in fields)))
+    bodies = rows.groupBy("batch_id").agg(F.to_json(F.struct(ordered.alias("points"))).alias("body"))
+    answers = Finder(v.places(), admin1=v.admin1()).batch(bodies)
+    read = F.from_json("body", "results array<struct<Name string, Population long, admin1_code string>>")["results"]
+    line = lambda x: F.concat(x["Name"], F.lit("|"), F.coalesce(x["Population"].cast("string"), F.lit("")), F.lit("|"), F.coalesce(x["admin1_code"], F.lit("")))
+    return answers.select("batch_id", "idx", "error", F.array_join(F.transform(read, line), ",").alias("answers"))
+
+
+@query("SELECT reason, count(*) AS skipped, array_to_string(list_sort(list(line_no))[1:5], ',') AS first_lines FROM (SELECT line_no, CASE WHEN len(string_split(line, chr(9))) < 12 THEN 'too few fields' WHEN abs(try_cast(string_split(line, chr(9))[11] AS DOUBLE)) > 180 THEN 'coordinate out of range' END AS reason FROM (SELECT line_no, CASE WHEN line = '' AND line_no%2=0 THEN '   ' ELSE line END AS line FROM postal_lines) WHERE line <> '') WHERE reason IS NOT NULL GROUP BY reason", "postal_lines")
+def a4_postal_skips(v: Views) -> DataFrame:
+    """Empty lines are no rows; lines of spaces are short ones."""
+    lines = tables.cut(v.postal_lines().withColumn("line", F.expr("CASE WHEN line = '' AND line_no%2=0 THEN '   ' ELSE line END")), "lines")
+    return dumps.skip_report(dumps.parse_postal(lines)).withColumn("first_lines", F.array_join(F.col("first_lines").cast("array<string>"), ","))
+
+
+@query("SELECT country || '.' || admin1_code AS key, arg_max(c_name, row_id) AS name FROM places WHERE row_id%7 <> 3 GROUP BY 1", "places")
+def s6_admin1_last(v: Views) -> DataFrame:
+    """Keys that come many times: the last line of each holds; lines without a name, or of spaces, are none."""
+    lines = v.raw_places().select(F.col("row_id").alias("line_no"), F.when(F.col("row_id") % 7 == 3, F.when(F.col("row_id") % 2 == 0, "  ").otherwise(F.concat("country", F.lit("."), "admin1_code"))).otherwise(F.concat_ws("\t", F.concat_ws(".", "country", "admin1_code"), "c_name", "c_name", F.lit("1"))).alias("line"))
+    return dumps.keep_last(dumps.kept(dumps.parse_admin1(lines)), "key").select("key", "name")
+
+
+@query("SELECT qid, 'invalid coordinate' AS error FROM points WHERE qid%11=0 OR qid%13=0 OR abs(lat*1.2E0) > 90", "points")
+def f12_invalid_points(v: Views) -> DataFrame:
+    q = v.points().selectExpr("qid", "CASE WHEN qid%11=0 THEN NULL ELSE lat*1.2E0 END AS lat", "CASE WHEN qid%13=0 THEN CASE WHEN qid%2=0 THEN double('NaN') ELSE double('-Infinity') END ELSE lon*3 END AS lon")
+    return nearest.invalid_points(q)
+
+
+@query("SELECT p_partkey AS qid, CASE WHEN p_partkey%3 < 2 THEN substr(p_name, 1, p_partkey%3) || 'a' ELSE 'x' || substr(p_name, 2, 1) END AS mutated FROM part")
+def x9_short_typo(v: Views) -> DataFrame:
+    """Names of no, one and two characters."""
+    rows = v.sql("SELECT p_partkey AS qid, substr(p_name, 1, CAST(p_partkey%3 AS INT)) AS name FROM part")
+    return rows.select("qid", text.typo(F.col("name"), F.lit(0), F.lit(1)).alias("mutated"))
+
+
+@query("""WITH b AS (SELECT event_id, props, list_reduce(list_transform(range(0, CAST(octet_length(encode(props)) AS BIGINT)), lambda i: CAST(('0x' || substr(hex(encode(props)), 2 * i + 1, 2)) AS BIGINT)),
+  lambda c, b: list_reduce(range(8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3582100097) ELSE r // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)) AS crc FROM events),
+t AS (SELECT *, '"' || octet_length(encode(props)) || '-' || xor(crc, 4294967295) || '"' AS tag FROM b)
+SELECT event_id AS qid, tag AS etag, event_id%4 IN (0, 1) AS unchanged FROM t""")
+def x12_etag(v: Views) -> DataFrame:
+    """Tags of JSON bodies, and whether clients that have them, weak or among others, or that have another one, need the body."""
+    tag = http.etag(F.col("props"), F.lit(200), F.lit("GET"))
+    rows = v.sql("SELECT event_id AS qid, props FROM events").withColumn("etag", tag)
+    sent = F.when(F.col("qid") % 4 == 0, F.concat(F.lit("W/"), "etag")).when(F.col("qid") % 4 == 1, F.concat(F.lit('"x", '), "etag")).when(F.col("qid") % 4 == 2, F.lit('"1-2"'))
+    return rows.select("qid", "etag", http.not_modified(F.col("etag"), sent).alias("unchanged"))
+
+
 @query(_TABLE + "SELECT DISTINCT name FROM t", "places")
 def u1_distinct_names(v: Views) -> DataFrame:
     return names.name_table(v.places()).select("name").distinct()
@@ -504,7 +560,7 @@ def s11_batch_bodies(v: Views) -> DataFrame:
 
 @query("SELECT qid, CASE WHEN qid%5=0 THEN '' ELSE 'S W' || qid END AS code, upper(country) AS country, CASE WHEN qid%5=0 THEN 'code' END AS error FROM name_queries", "name_queries")
 def f14_postal_request(v: Views) -> DataFrame:
-    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%5=0 THEN '  ' ELSE ' S W' || CAST(qid AS STRING) || ' ' END AS code", "' ' || lower(country) AS country")
+    q = v.name_queries().selectExpr("qid", "CASE WHEN qid%5=0 THEN '\u2028 ' ELSE '\u3000S W' || CAST(qid AS STRING) || '\t' END AS code", "'\t' || lower(country) AS country")
     k, c, e = requests.postal_request(F.col("code"), F.col("country"))
     return q.select("qid", k.alias("code"), c.alias("country"), e.alias("error"))
 

@@ -6,7 +6,7 @@ a reason. Loaders keep the rows without one; skip_report() counts the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import check_feature_classes
@@ -85,21 +85,21 @@ def parse_places(lines: DataFrame, include: list[str] | None = None, exclude_adm
 
 
 def parse_postal(lines: DataFrame) -> DataFrame:
-    """Rows of a postal dump with reason; blank lines have the reason `blank`, which reports leave out."""
+    """Rows of a postal dump with reason; empty lines have the reason `blank`, which reports leave out; lines of white space are malformed like others."""
     f = F.split("line", "\t")
     names = ("country", "code", "place", "admin_name1", "admin_code1", "admin_name2", "admin_code2", "admin_name3", "admin_code3")
     rows = lines.select(
         F.col("line_no").alias("row_id"), F.octet_length("line").alias("_bytes"), F.col("line").alias("_line"), F.size(f).alias("_n"), *(_field(f, i).alias(n) for i, n in enumerate(names)),
         _double(_field(f, 9)).alias("lat"), _double(_field(f, 10)).alias("lon"), F.coalesce(F.when(_field(f, 11).rlike(r"^[+-]?\d+$"), _field(f, 11).try_cast("int")), F.lit(0)).alias("accuracy"),
     )
-    drop = [(F.col("_bytes") > LONGEST_LINE, "line too long"), (F.trim("_line") == "", "blank"), (F.col("_n") < 12, "too few fields"), *_coordinates("lat", "lon")]
+    drop = [(F.col("_bytes") > LONGEST_LINE, "line too long"), (F.col("_line") == "", "blank"), (F.col("_n") < 12, "too few fields"), *_coordinates("lat", "lon")]
     return rows.withColumn("reason", _first(drop)).drop("_bytes", "_line", "_n")
 
 
 def parse_admin1(lines: DataFrame) -> DataFrame:
     f = F.split("line", "\t")
     rows = lines.select(F.col("line_no").alias("row_id"), F.octet_length("line").alias("_bytes"), F.col("line").alias("_line"), _field(f, 0).alias("key"), _field(f, 1).alias("name"))
-    drop = [(F.col("_bytes") > LONGEST_LINE, "line too long"), (F.trim("_line") == "", "blank"), ((F.col("key") == "") | (F.col("name") == ""), "malformed")]
+    drop = [(F.col("_bytes") > LONGEST_LINE, "line too long"), (F.col("_line") == "", "blank"), ((F.col("key") == "") | (F.col("name") == ""), "malformed")]
     return rows.withColumn("reason", _first(drop)).drop("_bytes", "_line")
 
 
@@ -119,8 +119,6 @@ def skip_report(parsed: DataFrame) -> DataFrame:
     """(reason, skipped, first_lines): reasons in the order in which they come up first."""
     bad = parsed.where("reason IS NOT NULL AND reason NOT IN ('blank', 'feature class')")
     # the first few of each reason are found before anything is gathered
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("reason").orderBy("row_id"))
     first = bad.select("reason", "row_id").withColumn("nth", nth).where(F.col("nth") <= NAMED).groupBy("reason").agg(F.sort_array(F.collect_list("row_id")).alias("first_lines"))
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("skipped")).join(first, "reason").orderBy(F.col("first_lines")[0])
