@@ -440,6 +440,71 @@ def test_html_by_ratios_without_names():
         htmltext.THRESHOLD = kept
 
 
+def test_html_weights_are_brute_force():
+    """Sums of paths, smoothing, fusing and threshold by plain loops."""
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randint(1, 30)
+        path, holder = [], []
+        for i in range(n):  # blocks of a holder mostly stand together, and a path has one holder
+            holder.append(holder[-1] if i and r.random() < 0.6 else r.randint(0, 4))
+            path.append(holder[-1] * 3 + r.randint(0, 2))
+        path = [sorted(set(path)).index(p) for p in path]
+        length = [r.randint(1, 400) for _ in range(n)]
+        marks, linked = [r.randint(0, x // 8) for x in length], [r.choice([0, 0, r.randint(0, x), x]) for x in length]
+        chars, points, share = [], [], []
+        for p in path:
+            own = [i for i in range(n) if path[i] == p]
+            chars.append(sum(length[i] for i in own) / len(own))
+            points.append(sum(marks[i] for i in own) / len(own))
+            share.append(sum(linked[i] for i in own) / sum(length[i] for i in own))
+
+        def smooth(x):
+            at = lambda i, j: x[j] if 0 <= j < n and holder[j] == holder[i] else x[i]
+            return [0.25 * at(i, i - 1) + 0.5 * x[i] + 0.25 * at(i, i + 1) for i in range(n)]
+
+        want = [c * (1 + p) * (1 - d) for c, p, d in zip(smooth(chars), smooth(points), share, strict=True)]
+        weight, density = htmltext.path_weights(*(np.array(x, int) for x in (path, holder)), *(np.array(x, float) for x in (length, marks, linked)))
+        assert np.allclose(weight, want) and np.allclose(density, share)
+        total = sum(w * x for w, x in zip(want, length, strict=True))
+        if total:
+            assert math.isclose(htmltext.threshold(weight, np.array(length, float)), 0.3 * sum(w * w * x for w, x in zip(want, length, strict=True)) / total)
+
+
+def test_html_weights_decide_on_pages_as_they_are(monkeypatch):
+    """With other weights, other text, on pages that have an article and parts with telling names."""
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    texts = lambda: [htmltext.main_text(h) for h in pages]
+    own = texts()
+    changed = lambda: sum(a != b for a, b in zip(own, texts(), strict=True)) / len(pages)
+    r = np.random.default_rng(3)
+    with monkeypatch.context() as m:  # weights by chance instead of ratios and names
+        m.setattr(htmltext, "NOISE_PRIOR", 1.0)
+        m.setattr(htmltext, "ARTICLE_PRIOR", 1.0)
+        m.setattr(htmltext, "path_weights", lambda path, *_: (r.random(path.max() + 1)[path], np.zeros(len(path))))
+        assert changed() > 0.9
+    with monkeypatch.context() as m:
+        m.setattr(htmltext, "THRESHOLD", 1e9)
+        assert changed() == 1
+    with monkeypatch.context() as m:  # ratios without the weight of names
+        m.setattr(htmltext, "NOISE_PRIOR", 1.0)
+        m.setattr(htmltext, "ARTICLE_PRIOR", 1.0)
+        assert 0.3 < changed() < 0.7
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_html_does_not_depend_on_length(copies):
+    """However long comments, notices and teasers are, and however short the article."""
+    para = "A sentence of the article, with a comma in it. And one more, to end it."
+    noise = "A comment by a reader, who has much to say, and says it. " * 8
+    page = f"<body><nav><a href=x>Home</a></nav><div class='cookie-notice'><p>{noise * copies}</p></div><article><h1>T</h1><p>{para}</p><div class=ad><p>{noise}</p></div><p>{para}</p></article><section id=comments>{f'<p>{noise}</p>' * copies}</section></body>"
+    assert htmltext.main_text(page) == f"T\n\n{para}\n\n{para}"
+    long = f"<article><h1>T</h1>{f'<p>{para * 3}</p>' * 5 * copies}</article>"
+    assert htmltext.main_text(f"<body>{long}<article><h2>More</h2><p>Read on.</p></article></body>").endswith(para)
+
+
 def test_html_takes_time_in_proportion():
     import time
 

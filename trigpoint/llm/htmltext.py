@@ -2,13 +2,12 @@
 
 Method: a page is a sequence of text blocks, each below a path of elements from the root; blocks of one tag in the same
 element share a path. For each path the length of its text, its punctuation and its text in links are summed. The
-ratios are smoothed over neighbours within an element and fused to the path's weight; paths above a share of the page's mean weight are
+ratios are smoothed over neighbours within an element and fused to the path's weight, by which `article` and `main` have a share more and parts that
+say what they are (`nav`, `footer`, a class `ad` and so on) have none; paths above a share of the page's mean weight are
 content. Text of content paths counts for the elements around it, other text against them, and the element with the
-highest sum holds the article. Blocks at its edges that are no content go, those between content stay.
+highest sum holds the article. Blocks at its edges that are no content go, those between content stay if they have any weight.
 
-`article` and `main` are a prior: text outside of them counts against an element unless content outside is PRIOR times as
-long as inside. Parts that say what they are (`nav`, `footer`, a class `ad` and so on) never take part. All steps take time in
-proportion to the page, however deep it is nested.
+Nothing depends on how long a page or an article is. All steps take time in proportion to the page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter nobr output picture q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video title".split())
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas audio video select button textarea dialog menu title".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline-ad comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription teaser toc toolbar tracking widget".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
@@ -41,45 +41,51 @@ _ATTRS = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\
 _MARKS = re.compile(r"[.,;:!?…。，、؟]")
 
 
-def _noise(tag: str, attrs: str, in_article: bool) -> bool:
+def _noise(tag: str, attrs: str, in_article: bool) -> int:
+    """2 for what no reader sees, 1 for what says that it isn't the article, else 0."""
+    if tag in HIDDEN:
+        return 2
     if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+        return 1
     if not attrs or tag in ("html", "body") or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTRS.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" and tag not in INLINE or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         if name == "role" and value in NOISE_ROLES:
-            return True
+            found = 1
         if name in ("class", "id") and tag not in ("main",):
             words = set(re.split(r"[^a-z0-9]+", value))
             if words & NOISE_WORDS and not (tag == "article" and not words & {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "related", "teaser"}) or words & HEADER_WORDS and not in_article:
-                return True
-    return False
+                found = 1
+    # what stands within a block can't be weighed for itself
+    return 2 if found and tag in INLINE else found
 
 
 class Page:
-    """Elements in document order, and text blocks without the parts that are noise by name."""
+    """Elements in document order, and text blocks, with those that are noise by name marked."""
 
     def __init__(self, page: str):
         self.tags, self.parents, self.in_article = [""], [0], [False]
-        #: (element, text, characters in links)
-        self.blocks: list[tuple[int, str, int]] = []
+        #: (element, text, characters in links, whether it's noise by name)
+        self.blocks: list[tuple[int, str, int, bool]] = []
         self._read(page)
 
     def _read(self, page: str) -> None:
-        stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is noise, element
+        stack: list[tuple[str, int, int]] = []  # tag, the noise that it or one around it is, element
         open_at: dict[str, list[int]] = {}  # places of a tag's open elements in the stack
         solid: list[int] = []  # places of those that aren't inline
         held: list[str] = []
         element = links = 0
+        named = False
 
         def end() -> None:
             nonlocal links
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                self.blocks.append((element, text, links))
+                self.blocks.append((element, text, links, named))
             held.clear()
             links = 0
 
@@ -93,13 +99,14 @@ class Page:
                     solid.pop()
 
         def text(piece: str) -> None:
-            nonlocal element, links
-            if not piece or stack and stack[-1][1]:
+            nonlocal element, links, named
+            if not piece or stack and stack[-1][1] == 2:
                 return
             if not held:
                 if piece.isspace():
                     return
                 element = stack[solid[-1]][2] if solid else 0
+                named = bool(stack and stack[-1][1])
             held.append(piece)
             if open_at.get("a"):
                 links += len(piece.strip())
@@ -143,7 +150,7 @@ class Page:
             if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use"):
                 continue
             inside = self.in_article[stack[solid[-1]][2]] if solid else False
-            noise = bool(stack and stack[-1][1]) or _noise(tag, attrs, inside)
+            noise = max(stack[-1][1] if stack else 0, _noise(tag, attrs, inside))
             if tag in RAW:  # ends at its own end tag only
                 e = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
                 at = size if e is None else e.end()
@@ -162,10 +169,8 @@ class Page:
 
 #: Share of a page's mean weight above which a path is content, and share of text in links above which it isn't.
 THRESHOLD, LINKS = 0.3, 0.5
-#: How many times as long as inside of `article` and `main`, and how long at least, content outside must be to count.
-PRIOR, LEAST = 10, 500
-#: Blocks of links alone that make a menu, and the share of the longest article above which another one isn't a teaser.
-MENU, TEASER = 3, 0.5
+#: How many times a path's weight is what its ratios say: in `article` and `main`, and in parts that are noise by name.
+ARTICLE_PRIOR, NOISE_PRIOR = 4.0, 0.0
 
 
 def _smooth(x: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -175,37 +180,46 @@ def _smooth(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return 0.25 * before + 0.5 * x + 0.25 * after
 
 
+def path_weights(path: np.ndarray, holder: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, share in links) of each block's path. path: the blocks' paths, as numbers from 0; holder: the elements around these.
+
+    A path's characters and marks a block are smoothed, over blocks, and fused: characters times one more than marks times the share outside of links."""
+    total, chars, points, link = (np.bincount(path, weights=x) for x in (np.ones(len(path)), length, marks, linked))
+    density = (link / chars)[path]
+    return _smooth((chars / total)[path], holder) * (1 + _smooth((points / total)[path], holder)) * (1 - density), density
+
+
+def threshold(weight: np.ndarray, length: np.ndarray) -> float:
+    """THRESHOLD times the mean weight, each character counted by its weight, so that text without weight doesn't lower it however long it is."""
+    return THRESHOLD * (weight * weight) @ length / max(weight @ length, 1e-300)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; empty if there is none."""
     own = Page(page or "")
     if not own.blocks:
         return ""
-    element = np.array([e for e, _, _ in own.blocks])
-    length = np.array([len(t) for _, t, _ in own.blocks], float)
-    marks = np.array([len(_MARKS.findall(t)) for _, t, _ in own.blocks], float)
-    linked = np.array([min(n, len(t)) for _, t, n in own.blocks], float)
+    element = np.array([b[0] for b in own.blocks])
+    length = np.array([len(b[1]) for b in own.blocks], float)
+    marks = np.array([len(_MARKS.findall(b[1])) for b in own.blocks], float)
+    linked = np.array([min(b[2], len(b[1])) for b in own.blocks], float)
+    named = np.array([b[3] for b in own.blocks])
     parent, tag = np.array(own.parents), [own.tags[e] for e in element]
-    holder = parent[element]
+    holder, inside = parent[element], np.array(own.in_article)[element]
     names = {t: i for i, t in enumerate(sorted(set(tag)))}
-    _, path = np.unique(holder * len(names) + np.array([names[t] for t in tag]), return_inverse=True)
-    total, chars, points, link = (np.bincount(path, weights=x) for x in (np.ones(len(path)), length, marks, linked))
-    density = (link / chars)[path]
-    weight = _smooth((chars / total)[path], holder) * (1 + _smooth((points / total)[path], holder)) * (1 - density)
+    _, path = np.unique((holder * len(names) + np.array([names[t] for t in tag])) * 2 + named, return_inverse=True)
+    weight, density = path_weights(path, holder, length, marks, linked)
+    weight = weight * np.where(named, NOISE_PRIOR, np.where(inside, ARTICLE_PRIOR, 1.0))
     heading = np.array([re.fullmatch("h[1-6]", t) is not None for t in tag])
-    title = np.array([t in ("h1", "h2") for t in tag]) & (density <= LINKS)
-    inside = np.array(own.in_article)[element]
     only_links = linked > LINKS * length
-    text = (density <= LINKS) & ~only_links
-
-    content = text & (weight >= THRESHOLD * (weight @ length) / length.sum())
-    outside = (length * (content & ~inside)).sum()
-    prior = inside.any() and not (outside >= LEAST and outside >= PRIOR * (length * inside).sum())
-    if prior:
-        content = inside & (text | heading)
-    elif not content.any():
-        content = text if text.any() else np.ones(len(path), bool)
-    # what elements hold: content for them, links and other text against them; headings, and what is in an article, neither
-    gain = np.where(content, length, np.where(inside if prior else heading & (density <= LINKS), 0.0, -length))
+    text = (weight > 0) & (density <= LINKS) & ~only_links
+    title = np.array([t in ("h1", "h2") for t in tag]) & (weight > 0) & (density <= LINKS)
+    links = (density > LINKS) & only_links & ~heading
+
+    # a page of links alone has no weights to choose by
+    content = text & (weight >= threshold(weight[text], length[text])) if text.any() else ~named
+    # what elements hold: content for them, other text against them; headings, what is in an article, and what has no weight by its name, neither
+    gain = np.where(content, length, np.where(inside | named | heading & (density <= LINKS), 0.0, -length))
     sums = np.bincount(element, weights=gain, minlength=len(parent))
     for e in range(len(parent) - 1, 0, -1):  # children come after their parents
         sums[parent[e]] += sums[e]
@@ -219,49 +233,22 @@ def main_text(page: str | None) -> str:
     below[root] = True
     for e in range(root + 1, len(parent)):
         below[e] = below[parent[e]]
-    keep = below[element]
-    if prior:
-        keep &= ~_teasers(own, element, np.where(content, length, 0.0))[element]
+    keep = below[element] & ((weight > 0) | ~named)
     where = np.flatnonzero(keep & content)
     if not len(where):
         return ""
-    first, last = where[0], where[-1]
     here = np.arange(len(path))
-    edge = (here < first) | (here > last)
+    edge = (here < where[0]) | (here > where[-1])
     beside = np.isin(holder, holder[where]) & text
-    keep &= ~edge | beside | heading & text | inside & (text | prior) | title
-    alone = np.bincount(path, weights=only_links.astype(float))[path]  # blocks of links alone of the same path
-    keep &= ~(edge & only_links & ~title & (alone >= MENU) | _menus(only_links & (alone >= MENU), content & ~heading))
-    if not prior:  # titles that stand before the article's element, and text between them and it
+    keep &= ~edge | beside | heading & text | inside | title
+    seen, to_come = np.cumsum(content & ~heading), np.cumsum((content & ~heading)[::-1])[::-1]
+    keep &= ~(links & (edge | (seen == 0) | (to_come == 0)))  # links stay between content
+    if not own.in_article[root]:  # titles that stand before the article's element, and text between them and it
         before = here < np.flatnonzero(below[element])[0]
         start = np.flatnonzero(title & before)
         if len(start):
-            keep |= before & (here >= start[0]) & text & ((weight > 0) | title)
-    return "\n\n".join(t for (_, t, _), k in zip(own.blocks, keep, strict=True) if k)
-
-
-def _menus(links: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Runs of blocks of links that no content stands before, or none after."""
-    seen, to_come = np.cumsum(content), np.cumsum(content[::-1])[::-1]
-    return links & ((seen == 0) | (to_come == 0))
-
-
-def _teasers(own: Page, element: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """For each element whether it is, or is below, an `article` beside a much longer one."""
-    sums = np.bincount(element, weights=length, minlength=len(own.parents))
-    for e in range(len(sums) - 1, 0, -1):
-        sums[own.parents[e]] += sums[e]
-    outer = [e for e in range(1, len(sums)) if own.tags[e] == "article" and not _within_article(own, e)]
-    most = max((sums[e] for e in outer), default=0.0)
-    out = np.zeros(len(sums), bool)
-    out[[e for e in outer if sums[e] < TEASER * most]] = True
-    for e in range(1, len(sums)):
-        out[e] |= out[own.parents[e]]
-    return out
-
-
-def _within_article(own: Page, element: int) -> bool:
-    return own.tags[element] == "article" and any(own.tags[e] == "article" for e in _up(own.parents[element], own.parents)) if own.in_article[own.parents[element]] else False
+            keep |= before & (here >= start[0]) & (text | title)
+    return "\n\n".join(b[1] for b, k in zip(own.blocks, keep, strict=True) if k)
 
 
 def _up(element: int, parents) -> Iterator[int]:
