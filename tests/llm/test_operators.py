@@ -440,6 +440,58 @@ def test_html_by_ratios_without_names():
         htmltext.THRESHOLD = kept
 
 
+CLASH = ("_key", "_first", "_bits", "_bit_row", "row_key", "row_maybe", "near_key", "near_first", "measured", "bit_row", "key", "root", "first")
+
+
+def clashing(spark, rows, text="text"):
+    return spark.createDataFrame([(i, t, "en", *(str(k) for k in range(len(CLASH)))) for i, t in rows], f"doc_id long, `{text}` string, lang string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_stages_on_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = clashing(spark, [(1, base), (2, base + " more"), (3, base), (4, None), (5, "other words here " * 9)])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert {r.near_key for r in kept.collect()} == {"6"}
+    items = spark.createDataFrame([(1, base)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [4, 5]
+
+
+def test_columns_by_their_names_in_any_case(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    docs = clashing(spark, [(1, good), (2, "few words"), (3, None)], "Text")
+    assert [r.doc_id for r in rules.keep_good(docs, "web-1").collect()] == [1]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, spark.createDataFrame([(1, good)], "item_id long, text string")).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 2, 3]
+    model = langid.learn(docs, queries.vocabulary("byte_bpe_multi_50k.tiktoken"), F.lit(True))
+    assert {r.doc_id for r in langid.keep_known(docs, model).collect()} <= {1, 2}
+    with pytest.raises(ValueError, match="none of the columns"):
+        rules.keep_good(docs.drop("Text"), "web-1")
+
+
+def test_repeated_rows_teach_the_same_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 30)
+    rows = [(i, f"{w} {w}{i % 17} {'abcdefghij'[i % 10] * 3}", lang) for i in range(400) for lang, w in (("en", "the"), ("fr", "les"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    once = langid.learn(docs, path, F.lit(True))
+    often = langid.learn(docs.crossJoin(spark.range(20)).drop("id"), path, F.lit(True))
+    assert once.languages == often.languages == ["en", "fr"] and np.array_equal(once.logp, often.logp)
+
+
+def test_two_vocabularies_of_one_name(spark, tmp_path):
+    made = []
+    for k, name in enumerate(("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")):
+        (tmp_path / str(k)).mkdir()
+        made.append(tmp_path / str(k) / "own.tiktoken")
+        made[k].write_bytes(open(public_tokenizers.path(name), "rb").read())
+    docs = docs_of(spark, ["Grüße, 日本語 and words", "more"])
+    ids = [[r.ids for r in bpe.encode(docs, str(p), public_tokenizers.PATTERN).orderBy("doc_id").collect()] for p in made]
+    for own, name in zip(ids, ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"), strict=True):
+        known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+        assert own == [known.encode_ordinary("Grüße, 日本語 and words"), known.encode_ordinary("more")]
+
+
 def test_html_weights_are_brute_force():
     """Sums of paths, smoothing, fusing and threshold by plain loops."""
     r = random.Random(8)

@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,10 +250,19 @@ def coder(vocabulary: str, pattern: str) -> Coder:
     return _coders[vocabulary, pattern]
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def ship(spark: SparkSession, vocabulary: str) -> str:
-    """Gives each executor a copy of a vocabulary that the driver can read; its name, for SparkFiles."""
-    spark.sparkContext.addFile(vocabulary)
-    return vocabulary.rsplit("/", 1)[-1]
+    """Gives each executor a copy of a vocabulary that the driver can read; its name, for SparkFiles: one of its own for each content."""
+    data = Path(vocabulary).read_bytes()
+    name = f"{xxhash.xxh3_64_hexdigest(data)}-{Path(vocabulary).name}"
+    if (spark.sparkContext.applicationId, name) not in _shipped:
+        copy = Path(os.path.realpath(tempfile.mkdtemp(prefix="ship-"))) / name  # the driver alone reads it there, and sends it
+        copy.write_bytes(data)
+        spark.sparkContext.addFile(str(copy))
+        _shipped.add((spark.sparkContext.applicationId, name))
+    return name
 
 
 def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:

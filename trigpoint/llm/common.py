@@ -131,14 +131,26 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def place_of(df: DataFrame, column: str) -> int:
+    """The place of a column, whatever the case of its name's letters, as Spark resolves it; one that is written alike comes first."""
+    if column in df.columns:
+        return df.columns.index(column)
+    found = [i for i, c in enumerate(df.columns) if c.lower() == column.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{column} is {'none' if not found else 'more than one'} of the columns {df.columns}")
+    return found[0]
+
+
 def filter_rows(docs: DataFrame, keep: Callable[[], Callable[[list], list]], column: str) -> DataFrame:
     """The rows of docs that pass, with all their columns as they are; keep() makes, in each task, a function from the
     values of a column to booleans."""
 
+    at = place_of(docs, column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = keep()
         for b in batches:
-            yield b.filter(pa.array(judge(b.column(b.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+            yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
 
     prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
@@ -167,10 +179,11 @@ def maybe_in(rows: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFr
     """Rows with one more column: false if the key is surely not among those that the bits were made from. A null key is in none."""
     bit = F.coalesce(_bit(key), F.lit(0))
     row, byte = F.floor(bit / ROW_BITS), (F.floor(bit / 8) % (ROW_BITS // 8) + 1).cast("int")
-    hit = F.conv(F.hex(F.substring("_bits", byte, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
-    table = F.broadcast(bits.select(F.col("bit_row").alias("_bit_row"), F.col("bits").alias("_bits")))  # BITS / ROW_BITS rows at most
-    joined = rows.join(table, row == F.col("_bit_row"), "left")
-    return joined.withColumn(flag, key.isNotNull() & F.coalesce(hit, F.lit(False))).drop("_bit_row", "_bits")
+    own, held = free_name(rows.schema, "_bit_row"), free_name(rows.schema, "_bits")
+    hit = F.conv(F.hex(F.substring(held, byte, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    table = F.broadcast(bits.select(F.col("bit_row").alias(own), F.col("bits").alias(held)))  # BITS / ROW_BITS rows at most
+    joined = rows.join(table, row == F.col(own), "left")
+    return joined.withColumn(flag, key.isNotNull() & F.coalesce(hit, F.lit(False))).drop(own, held)
 
 
 def blocks_for(df: DataFrame, megabytes: int = 16) -> int:

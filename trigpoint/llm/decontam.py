@@ -1,11 +1,11 @@
 """Benchmark decontamination: short test items inside long documents.
 
-Method: MinHash containment search in partitions of items by size. An item's sketch is its least hashes, as
-many of them as its size partition needs: a document that holds at least `percent` of the n shingles of an
+Method: MinHash containment search in partitions of items by size, a factor of two each. An item's sketch is its least hashes, as
+many of them as the largest item of its partition needs: a document that holds at least `percent` of the n shingles of an
 item misses n - ceil(percent n) of them at most, so it holds one of the n - ceil(percent n) + 1 least. The
-size of the sketch thus follows from the size of the item alone and no long document lowers the recall, as it
-would with bands over signatures of the same length. Pairs that share a hash of a sketch are verified by
-exact shingle containment.
+size of the sketch thus follows from the sizes of items alone and no long document lowers the recall, as it
+would with bands over signatures of the same length. Each partition is searched by itself, and only in documents that are long
+enough for its smallest item. Pairs that share a hash of a sketch are verified by exact shingle containment.
 """
 
 from __future__ import annotations
@@ -21,57 +21,67 @@ from .common import SHINGLE, WordHash, batch, filter_rows, lower_words, map_arro
 
 #: Characters of items that are sent to the executors at a time.
 BLOCK_CHARS = 16_000_000
-_BITS = 22
+
+
+class Partition:
+    """Items of similar sizes: sketches of one length, and where they lead."""
+
+    def __init__(self, items: Items, members: list[int]):
+        sizes = [len(items.sets[i]) for i in members]
+        self.width, self.least = items.widths[members[0]], min(-(-n * items.percent // 100) for n in sizes)
+        sketch = max(n + (-n * items.percent // 100) + 1 for n in sizes)
+        keys = [items.sets[i][:sketch] for i in members]
+        owner = np.repeat(members, [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        bits = max(10, (8 * len(keys)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(self.keys & self.mask).astype(np.int64)] = True
+
+    def near(self, s: np.ndarray) -> set[int]:
+        """Items one of whose least hashes is among s."""
+        hit = s[self.filter[(s & self.mask).astype(np.int64)]]
+        if not len(hit):
+            return set()
+        lo, hi = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
+        return {int(o) for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for o in self.owner[a:b]}
 
 
 class Items:
-    """A block of items: their shingles, and sketches in partitions by size."""
+    """A block of items: their shingles, and partitions of them by size."""
 
     def __init__(self, items: list[tuple[int, str | None]], percent: int):
         words = WordHash()
-        self.percent, self.ids, self.sets, self.lengths = percent, [], [], []
+        self.percent, self.ids, self.sets, self.widths = percent, [], [], []
         for item_id, text in items:
             h = words.of(lower_words(text))
             if len(h):
                 self.ids.append(item_id)
                 self.sets.append(np.unique(shingle_hashes(h)))
-                self.lengths.append(min(len(h), SHINGLE))
-        keys, owner = [], []
-        self.partitions: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            self.partitions.setdefault(len(s).bit_length(), []).append(i)
-        for members in self.partitions.values():
-            for i in members:
-                n = len(self.sets[i])
-                keys.append(self.sets[i][: n + (-n * percent // 100) + 1])
-                owner.append(np.full(len(keys[-1]), i))
-        keys, owner = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        self.widths = sorted(set(self.lengths))
+                self.widths.append(min(len(h), SHINGLE))
+        members: dict[tuple[int, int], list[int]] = {}
+        for i, own in enumerate(self.sets):
+            members.setdefault((self.widths[i], len(own).bit_length()), []).append(i)
+        self.partitions = [Partition(self, members[k]) for k in sorted(members)]
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, its shingles, those that the document has) for a document's word hashes."""
-        found = []
-        for k in self.widths:
-            if len(h) < k:
-                continue
-            s = shingle_hashes(h, k)
-            hit = s[self.filter[(s & np.uint64((1 << _BITS) - 1)).astype(np.int64)]]
-            if not len(hit):
-                continue
-            hit = np.unique(hit)
-            lo, hi = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
-            near = {int(o) for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for o in self.owner[a:b] if self.lengths[o] == k}
-            if not near:
+        """(item, its shingles, those that the document has) for a document's word hashes. Partitions whose items ask for more shingles than
+        the document has words aren't looked at."""
+        found, width, s = [], 0, h
+        for p in self.partitions:
+            if len(h) - p.width + 1 < p.least:
                 continue
-            s = np.unique(s)
+            if p.width != width:
+                width, s, distinct = p.width, shingle_hashes(h, p.width), None
+            near = p.near(s)
+            if near and distinct is None:
+                distinct = np.unique(s)
             for i in sorted(near):
                 own = self.sets[i]
-                at = np.minimum(np.searchsorted(s, own), len(s) - 1)
-                shared = int((s[at] == own).sum())
+                at = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
+                shared = int((distinct[at] == own).sum())
                 if 100 * shared >= self.percent * len(own):
                     found.append((self.ids[i], len(own), shared))
         return found
@@ -119,7 +129,8 @@ def item_blocks(items: DataFrame, percent: int = 75, item_col: str = "item_id",
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. Null and empty texts stay."""
+    """The rows of docs that hold no item, with all their columns. Null and empty texts stay, and so do all rows if there are no items with words. Repeated
+    rows stay or go together; texts of any length are searched whole; an empty table stays empty."""
     for block in item_blocks(items, percent):
 
         def keep(block=block):

@@ -500,11 +500,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     found = staged(found.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("k")), "found")
     # written first, so that a large group's rows can be split when they meet its first one
     first = staged(found.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")), "first")
-    touched = staged(found.join(first, "root").where("key <> first OR k > 1").select(F.col("key").alias("_key"), (F.col("key") == F.col("first")).alias("_first")), "touched")
-    name, flag = free_name(docs.schema, "row_key"), free_name(docs.schema, "row_maybe")
+    key, head, name, flag = (free_name(docs.schema, n) for n in ("near_key", "near_first", "row_key", "row_maybe"))
+    touched = staged(found.join(first, "root").where("key <> first OR k > 1").select(F.col("key").alias(key), (F.col("key") == F.col("first")).alias(head)), "touched")
     rows = docs.withColumn(name, _text_key(F.col(id_col), F.col(text_col)))
-    rows = maybe_in(rows, F.col(name), bits_of(touched, "_key"), flag)
+    rows = maybe_in(rows, F.col(name), bits_of(touched, key), flag)
     # rows whose bit isn't set stay where they are; the others are looked up exactly
-    looked = rows.where(F.col(flag)).join(touched, F.col(name) == F.col("_key"), "left")
-    once = looked.where("_first").dropDuplicates([name])
-    return rows.where(~F.col(flag)).select(*docs.columns).unionByName(looked.where("_first IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))
+    looked = rows.where(F.col(flag)).join(touched, F.col(name) == F.col(key), "left")
+    once = looked.where(F.col(head)).dropDuplicates([name])
+    return rows.where(~F.col(flag)).select(*docs.columns).unionByName(looked.where(F.col(head).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))

@@ -25,8 +25,8 @@ from .lattice import Lattice, log_table, tiktoken_pieces
 
 #: Labelled rows per language, and rounds of learning.
 ROWS, ROUNDS = 300, 3
-#: Bytes of the longest piece, and the count that every piece is given besides its own.
-LONGEST, FLOOR = 10, 0.05
+#: The count that every piece is given besides its own.
+FLOOR = 0.05
 #: Words and log-probabilities (words x languages) that a worker remembers, and languages that are scored at a time.
 REMEMBERED, CELLS, BLOCK = 250_000, 1_000_000, 16
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_id
     spark = prepare(docs.sparkSession)
     own = docs.where(train).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = own.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().collect()  # a row a language
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("id", 0.02)).collect()  # a row a language
     # hashes below this share of their range hold twice as many rows as are needed, so no task reads a whole language
     shares = spark.createDataFrame([(lang, min(1.0, 2 * ROWS / n)) for lang, n in counts], "lang string, share double")
     low = known.join(F.broadcast(shares), "lang").where(F.xxhash64("id") / 2.0**64 + 0.5 <= F.col("share"))
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_id
     samples: dict[str, list[str | None]] = {}
     for lang, text in texts.orderBy("lang", "id").select("lang", "text").toLocalIterator():
         samples.setdefault(lang, []).append(text)
-    return Model(tiktoken_pieces(vocabulary, LONGEST), samples)
+    return Model(tiktoken_pieces(vocabulary), samples)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

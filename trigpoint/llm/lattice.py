@@ -13,9 +13,9 @@ CELLS = 1_500_000
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def tiktoken_pieces(path: str, longest: int) -> list[bytes]:
-    """Tokens of a rank file of at most so many bytes; all single bytes are among them."""
-    return sorted(t for t in read_ranks(path) if len(t) <= longest)
+def tiktoken_pieces(path: str) -> list[bytes]:
+    """Tokens of a rank file; all single bytes are among them."""
+    return sorted(read_ranks(path))
 
 
 def sentencepiece_pieces(path: str, longest: int) -> list[bytes]:

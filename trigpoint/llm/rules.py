@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, batch, fold, map_arrow, prepare, to_bytes
+from .common import WordHash, batch, fold, map_arrow, place_of, prepare, to_bytes
 
 WINDOW = 8
 #: Rules in the order of their bits; a rule is an SQL condition on the measurements that holds for rows that fail it.
@@ -77,14 +77,14 @@ def keep_good(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame
 
     A null or empty text has no words and fails few_words alone. Repeated rows are judged each for itself; an empty table stays empty.
     """
-    schema = docs.schema
+    schema, at = docs.schema, place_of(docs, text_col)
     free = next(n for n in (f"measured{'_' * k}" for k in range(len(schema) + 1)) if n.lower() not in {f.name.lower() for f in schema})
     added = T.StructType([*schema.fields, T.StructField(free, T.StructType([T.StructField(m, T.LongType()) for m in _MEASURES]))])
 
     def run(batches):
         words = WordHash()
         for b in batches:
-            rows = [measure(t, words) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            rows = [measure(t, words) for t in b.column(at).to_pylist()]
             own = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_MEASURES))], list(_MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, free])
 
@@ -118,12 +118,14 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
-    """Adds kept: whether a row of a ledger passes all rules of a policy."""
+    """Adds kept: whether a row of a ledger passes all rules of a policy. Repeated rows are judged each for itself, a column kept is replaced,
+    an empty ledger stays empty."""
     return rows.withColumn("kept", F.col("failed").bitwiseAND(mask(POLICIES[policy])) == 0)
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
-    """(policy, rule, n_failed, n_only, n_rows): how many fail a rule, and how many a policy without it would keep too."""
+    """(policy, rule, n_failed, n_only, n_rows): how many fail a rule, and how many a policy without it would keep too.
+    Repeated rows count each; other columns are ignored; of an empty ledger all numbers are 0."""
     own = POLICIES[policy]
     hit = F.col("failed").bitwiseAND(mask(own))
     sums = [F.count(F.lit(1)).alias("n_rows")]
