@@ -10,6 +10,7 @@ than the capacity. Pieces are then numbered within their length by Spark, and th
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,10 @@ CAPACITY, END = 4096, 1
 WORDS, LONGEST = 300_000, 40
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """Token ids of words, as packed 32-bit numbers; a word has no ASCII white space, at which no token, and nothing that precedes tokens, spans.
 
@@ -48,12 +53,12 @@ class Words(dict):
         signs = dict.fromkeys(seen) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(seen))}
         self.signs = {b: c for b, c in signs.items() if c is not None}  # bytes that aren't written as the character of the same number
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self._ids(word.decode("utf-8", "replace")), np.uint32).astype("<u4").tobytes()
+            ids = self._ids(word.decode("utf-8", "replace"))
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.older = dict(self)
@@ -61,18 +66,17 @@ class Words(dict):
             self[word] = ids
         return ids
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
         if not self._PLAIN.fullmatch(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self._PART.findall(word.lower()):
-            out += self._part(part)
-        return out
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        parts = self._PART.findall(word.lower())
+        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = [t.id for t in self.merges.tokenize(part.encode().decode("latin-1").translate(self.signs))]
+            signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+            ids = _packed([t.id for t in self.merges.tokenize(signs)])
             if len(part) <= LONGEST:
                 if len(self.parts) >= WORDS:
                     self.parts.clear()
