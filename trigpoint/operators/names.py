@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
 from ..plans.ranges import numbered
+from ..plans.tables import cut
 
 #: Names that can be asked for by a prefix at most, and characters of the prefixes that have a list of their own.
 MOST, LONG = 50, 400
@@ -147,7 +148,9 @@ def prefixes(queries: DataFrame, names: DataFrame, default: int = 10, most: int
     the same columns, that of the build and that of additions together; without it, it is derived. A query meets no more names than it can list.
     Prefixes of more than LONG characters are compared with names that are as long.
     """
-    table = prefix_table(names, most) if table is None else table
+    if table is None:
+        names = cut(names.select("country", "name", "tier", "row_id"), "names")  # read several times
+        table = prefix_table(names, most)
     k = F.least(F.coalesce("limit", F.lit(default)), F.lit(most))
     q = queries.select("qid", "prefix", "country", k.alias("k"))
     hit = q.join(table, ["country", "prefix"]).where("k > 0").select("qid", "k", "tier", F.inline(F.slice("names", F.lit(1), F.col("k"))))
