@@ -3,10 +3,10 @@
 Points are unit vectors in cubes. A search within a radius uses cubes as wide as its chord: what lies within the radius is in the
 27 cubes around a query, so it is an equi-join on cubes and needs no case for poles or the date line.
 
-Searches for the best place use a tree of cubes, each half as wide as the one around it, down to cubes of few places. A
-cube knows one place of its own, its most populous, and how far from a query it begins. The place gives what a query reaches at least; cubes that
-can't reach it are left out, the others are opened, a level at a time for all queries together. So a query far from all places meets as few of
-them as one in a city, and no cube holds more than CROWD places unless they stand within metres of each other.
+Searches for the best place use a tree of cubes, each a quarter as wide as the one around it, down to cubes of few places. A
+cube knows one place of its own, its most populous, and how far from a query it begins. The place gives what a query reaches at least, first those
+of the cubes around the query itself; cubes that can't reach it are left out, the others are opened, a level at a time for all queries together. So a
+query far from all places meets as few of them as one in a city, and no cube holds more than CROWD places unless they stand within metres of each other.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, chord, gravity, haversine_km, unit_vector
+from ..plans.ranges import numbered
 from ..plans.tables import cut
 
 #: Places of the table of top populations.
@@ -66,67 +67,102 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
     return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *own_columns)
 
 
-#: Places of a cube that isn't divided further, first and last level of the tree (cubes of the last are some 25 m wide), and how many cubes
+#: Places of a cube that isn't divided further, last level of the tree (cubes of the last are some 50 m wide), and how many cubes
 #: a level may have to be sent to all executors (some 15 MB); levels with more are joined by shuffling.
-CROWD, FIRST, LAST, SENT = 24, 1, 19, 200_000
-_BITS = 19
+CROWD, LAST, SENT = 24, 9, 200_000
+#: A cube is divided in four along each axis, so an axis of the last level has so many bits.
+_SPLIT, _BITS = 2, 2 * 9
+#: Places, in the order of their cubes, that are looked through together.
+_BLOCK = 20_000
 
 
-def _key(level: int, axes: list[Column]) -> Column:
-    x, y, z = (F.shiftright(c, LAST - level) for c in axes)
-    return F.lit(level << 3 * _BITS).bitwiseOR(F.shiftleft(x, 2 * _BITS)).bitwiseOR(F.shiftleft(y, _BITS)).bitwiseOR(z)
+def _axes(lat: Column, lon: Column) -> list[Column]:
+    """Where a point is along each axis, as numbers of cubes of the last level."""
+    side = float(1 << _BITS - 1)
+    return [F.least(F.floor((v + 1) * side), F.lit((1 << _BITS) - 1)).cast("long") for v in unit_vector(lat, lon)]
+
+
+def _key(level: Column, axes: list[Column], of: Column) -> Column:
+    """The number of a cube from its place along the axes at a level that is as deep or deeper."""
+    x, y, z = (F.call_function("shiftright", c, _SPLIT * (of - level)) for c in axes)
+    return F.shiftleft(level.cast("long"), 3 * _BITS).bitwiseOR(F.shiftleft(x, 2 * _BITS)).bitwiseOR(F.shiftleft(y, _BITS)).bitwiseOR(z)
+
+
+def _level(cube: Column) -> Column:
+    return F.shiftright(cube, 3 * _BITS).cast("int")
+
+
+def _along(cube: Column) -> list[Column]:
+    """Where a cube is along each axis, at its own level."""
+    return [F.shiftright(cube, k * _BITS).bitwiseAND((1 << _BITS) - 1) for k in (2, 1, 0)]
+
+
+def _around_it(cube: Column, level: Column) -> Column:
+    """The cube around a cube at a level, 0 at level 0."""
+    return F.when(level > 0, _key(level, _along(cube), _level(cube))).otherwise(F.lit(0).cast("long"))
 
 
 def cube_tables(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tree as a table of cubes and a table of places.
 
-    cubes: (level, parent, cube, most, lat, lon): below which cube it is, its largest population, and the place that has it. A
+    cubes: (level, parent, cube, most, lat, lon): below which cube it is, its largest population, and a place that has it. A
     cube that isn't divided is below itself on all later levels. leaves: (cube, row_id, lat, lon, population).
+
+    Places are put in an order in which each cube's stand together and are numbered by ranges. A cube has more than CROWD of them if two
+    that stand CROWD apart are in it, so one pass finds each place's undivided cube, whatever share of the places one city has; the
+    cubes around these come from them, not from places.
     """
-    n = places.count()
-    last = min(LAST, FIRST + 4 + math.ceil(math.log(max(n, 1) / CROWD + 1, 4)))  # deep enough for places ten times as dense as on average
-    while True:
-        cubes, leaves, crowded = _divide(places, last)
-        if not crowded or last == LAST:
-            return cubes, leaves
-        last = min(LAST, last + 4)
-
-
-def _divide(places: DataFrame, last: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Cubes down to a level, and whether more than CROWD places are left in one of the last."""
-    side = float(1 << LAST - 1)
-    axes = [F.least(F.floor((v + 1) * side), F.lit((1 << LAST) - 1)).cast("long") for v in unit_vector(F.col("lat"), F.col("lon"))]
-    own = places.select("row_id", "lat", "lon", F.col("population").cast("long").alias("population"), *(v.alias(f"_{c}") for v, c in zip(axes, "xyz", strict=True)))
-    keys = F.array(*(F.struct(F.lit(k).alias("level"), _key(k, [F.col("_x"), F.col("_y"), F.col("_z")]).alias("cube")) for k in range(FIRST, last + 1)))
-    own = own.select("row_id", "lat", "lon", "population", keys.alias("keys"))
-    each = own.select("lat", "lon", "population", "row_id", F.col("keys"), F.explode("keys").alias("k"))
-    rank = F.struct("population", -F.col("row_id"))
-    above = F.get(F.col("keys"), F.col("k.level") - FIRST - 1)["cube"]
-    all_ = each.groupBy(F.col("k.level").alias("level"), F.col("k.cube").alias("cube")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("population").alias("most"), F.max_by(F.struct("lat", "lon"), rank).alias("p"), F.first(above).alias("parent"))
-    all_ = cut(all_, "cubes")
-    divided = all_.where((F.col("n") > CROWD) & (F.col("level") < last)).select(F.col("cube").alias("parent"))
-    kept = all_.where(F.col("level") == FIRST).unionByName(all_.where(F.col("level") > FIRST).join(divided, "parent").select(*all_.columns))
-    kept = kept.select("level", F.coalesce("parent", F.lit(0)).alias("parent"), "cube", "n", "most", "p.lat", "p.lon")
-    kept = cut(kept.withColumn("leaf", (F.col("n") <= CROWD) | (F.col("level") == last)), "kept")
-    reached = kept.agg(F.max("level")).first()[0] or FIRST  # no cube is divided on later levels
-    later = kept.where("leaf").withColumn("parent", F.col("cube")).withColumn("level", F.explode(F.when(F.col("level") < reached, F.sequence(F.col("level") + 1, F.lit(reached)))))
-    cubes = cut(kept.unionByName(later.select(*kept.columns)).select("level", "parent", "cube", "most", "lat", "lon"), "tree")
-    leaf = kept.where("leaf").select("cube")
-    leaves = each.select(F.col("k.cube").alias("cube"), "row_id", "lat", "lon", "population").join(leaf, "cube")
-    return cubes, cut(leaves, "leaves"), not kept.where((F.col("n") > CROWD) & F.col("leaf")).isEmpty()
-
-
-def _begins(q: list[str], cube: Column) -> Column:
-    """The chord from a query's unit vector to the nearest point of a cube."""
-    level = F.shiftright(cube, 3 * _BITS)
-    width = F.pow(F.lit(2.0), 1 - level)
-    mask, out = (1 << _BITS) - 1, F.lit(0.0)
-    for i, c in enumerate(q):
-        low = F.shiftright(cube, (2 - i) * _BITS).bitwiseAND(mask) * width - 1
-        off = F.greatest(low - F.col(c), F.col(c) - low - width, F.lit(0.0))
-        out = out + off * off
-    return F.sqrt(out)
+    leaves = _leaves(places)
+    ends = leaves.groupBy("cube").agg(*_most())  # longs and doubles alone, so that groups are hashed
+    ends = cut(ends.withColumn("level", _level(F.col("cube"))), "ends")
+    reached = ends.agg(F.max("level")).first()[0] or 1
+    above = ends.withColumn("to", F.explode(F.when(F.col("level") > 1, F.sequence(F.lit(1), F.col("level") - 1))))
+    above = above.withColumn("cube", _around_it(F.col("cube"), F.col("to"))).groupBy(F.col("to").alias("level"), "cube").agg(*_most("most"))
+    above = above.withColumn("parent", _around_it(F.col("cube"), F.col("level") - 1))
+    later = ends.withColumn("to", F.explode(F.sequence(F.col("level"), F.lit(reached))))
+    later = later.withColumn("parent", F.when(F.col("to") > F.col("level"), F.col("cube")).otherwise(_around_it(F.col("cube"), F.col("level") - 1))).withColumn("level", F.col("to"))
+    columns = ["level", "parent", "cube", "most", "lat", "lon"]
+    return cut(above.select(columns).unionByName(later.select(columns)), "tree"), leaves
+
+
+def _most(population: str = "population") -> list[Column]:
+    """The largest population and a place that has it: both coordinates come from the same row, as equals are met in the same order."""
+    own = F.coalesce(population, F.lit(0))
+    return [F.max(population).alias("most"), F.max_by("lat", own).alias("lat"), F.max_by("lon", own).alias("lon")]
+
+
+def _leaves(places: DataFrame) -> DataFrame:
+    """(cube, row_id, lat, lon, population): each place and the largest cube around it that has at most CROWD, or the one of the last level."""
+    axes = ["_x", "_y", "_z"]
+    own = places.where("lat IS NOT NULL AND lon IS NOT NULL").select("row_id", "lat", "lon", F.col("population").cast("long").alias("population"), *(v.alias(c) for v, c in zip(_axes(F.col("lat"), F.col("lon")), axes, strict=True)))
+    code = F.lit(0).cast("long")
+    for level in range(1, LAST + 1):  # the cube's number within the one around it, level by level
+        for c in axes:
+            code = F.shiftleft(code, _SPLIT).bitwiseOR(F.shiftright(c, _SPLIT * (LAST - level)).bitwiseAND((1 << _SPLIT) - 1))
+    rows = numbered(own.withColumn("_code", code), "_code").drop("_code")
+    near = F.sequence(F.floor((F.col("pos") - CROWD) / _BLOCK), F.floor((F.col("pos") + CROWD) / _BLOCK))  # its block, and one that it stands next to
+    rows = rows.withColumn("block", F.explode(near))
+    order = Window.partitionBy("block").orderBy("pos")
+    apart = F.lit(0)
+    for c in axes:
+        apart = apart.bitwiseOR(F.col(c).bitwiseXOR(F.lead(c, CROWD).over(order)))
+    rows = rows.withColumn("apart", apart)
+    common = sum((F.col("apart") < 1 << _SPLIT * (LAST - level)).cast("int") for level in range(1, LAST + 1))  # levels on which both are in one cube
+    rows = rows.withColumn("crowded", F.max(common).over(order.rowsBetween(-CROWD, 0))).where(F.col("block") == F.floor(F.col("pos") / _BLOCK))
+    level = F.least(F.lit(LAST), F.coalesce("crowded", F.lit(0)) + 1)
+    return cut(rows.select(_key(level, [F.col(c) for c in axes], F.lit(LAST)).alias("cube"), "row_id", "lat", "lon", "population"), "leaves")
+
+
+def _corner(cube: Column) -> list[Column]:
+    """A cube's least coordinates, and how wide it is."""
+    width = F.pow(F.lit(2.0), 1 - _SPLIT * _level(cube))
+    return [*(at * width - 1 for at in _along(cube)), width]
+
+
+def _begins() -> Column:
+    """The chord from a query's unit vector to the nearest point of a cube, from its corner."""
+    off = [F.greatest(F.col(f"_l{c}") - F.col(f"_q{c}"), F.col(f"_q{c}") - F.col(f"_l{c}") - F.col("_width"), F.lit(0.0)) for c in "xyz"]
+    return F.sqrt(sum((o * o for o in off[1:]), off[0] * off[0]))
 
 
 def _chord_km(c: Column) -> Column:
@@ -136,30 +172,38 @@ def _chord_km(c: Column) -> Column:
 def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, DataFrame], weighed: bool) -> DataFrame:
     """(qid, km, columns of places) of the best place by distance, or if weighed by gravity."""
     cubes, leaves = tables
-    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')")
-    q = q.select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *(v.alias(f"_q{c}") for v, c in zip(unit_vector(F.col("lat"), F.col("lon")), "xyz", strict=True)), F.lit(0).cast("long").alias("cube"))
     if weighed:
         cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
     levels = cubes.groupBy("level").count().orderBy("level").collect()  # LAST rows at most
-    cand = q.repartition("qid")
+    lat, lon, vector, corners = F.col("_lat"), F.col("_lon"), ["_qx", "_qy", "_qz"], ["_lx", "_ly", "_lz", "_width"]
+    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).repartition("qid")
+    # what a query reaches at least is seen first from the cubes around itself, on the levels that can be sent together
+    sent = [r for i, r in enumerate(levels) if sum(n for _, n in levels[: i + 1]) <= SENT]
+    worth = (lambda most, km: gravity(most, km)) if weighed else (lambda most, km: -km)
+    best = worth(F.col("most"), haversine_km(lat, lon, F.col("_plat"), F.col("_plon")))
+    place = ["most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")]
+    around = F.array(*(_key(F.lit(level), [F.col(c) for c in ("_x", "_y", "_z")], F.lit(LAST)) for level, _ in sent)).cast("array<long>")
+    own = cubes.where((F.col("level") == _level(F.col("cube"))) & F.col("level").isin([level for level, _ in sent])).select("cube", *place)
+    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), ("_x", "_y", "_z"), strict=True))).withColumn("cube", F.explode_outer(around))
+    cand = cand.join(F.broadcast(own), "cube", "left").groupBy("qid", "_lat", "_lon").agg(F.max(best).alias("_reached"))
+    cand = cand.withColumn("_reached", F.coalesce("_reached", F.lit(float("-inf"))))
+    cand = cand.select("*", *(v.alias(c) for v, c in zip(unit_vector(lat, lon), vector, strict=True)), F.lit(0).cast("long").alias("cube"))
+    begins = _chord_km(_begins() * (1 - 1e-9)) * (1 - 1e-9)
+    enough = (worth(F.col("most"), begins) * (1 + 1e-9) if weighed else 1e-6 - begins) >= F.col("_reached")
     for level, n in levels:
-        own = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), "most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-        own = F.broadcast(own) if n <= SENT else own
-        cand = cand.join(own, F.col("cube") == F.col("parent")).drop("cube", "parent")
-        begins = _chord_km(_begins(["_qx", "_qy", "_qz"], F.col("_cube")) * (1 - 1e-9)) * (1 - 1e-9)
-        km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
-        whole = Window.partitionBy("qid")
-        if weighed:
-            cand = cand.withColumn("_reached", F.max(gravity(F.col("most"), km)).over(whole)).where(gravity(F.col("most"), begins) * (1 + 1e-9) >= F.col("_reached"))
-        else:
-            cand = cand.withColumn("_reached", F.min(km).over(whole)).where(begins <= F.col("_reached") + 1e-6)
-        cand = cand.drop("_reached", "most", "_plat", "_plon").withColumnRenamed("_cube", "cube")
-    hit = cand.select("qid", "_lat", "_lon", "cube").join(leaves, "cube")
-    hit = hit.select("qid", "row_id", "population", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("km"))
+        corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), corners, strict=True)]  # once for a cube, not for each query
+        below = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
+        cand = cand.join(F.broadcast(below) if n <= SENT else below, F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
+        reached = F.max(best).over(Window.partitionBy("qid"))
+        cand = cand.withColumn("_reached", F.greatest("_reached", reached)).where(enough).drop("most", "_plat", "_plon", *corners)
+    hit = cand.select("qid", "_lat", "_lon", "cube", "_reached").join(leaves, "cube")
+    hit = hit.withColumn("km", haversine_km(lat, lon, F.col("lat"), F.col("lon")))
+    score = worth(F.col("population"), F.col("km"))
+    hit = hit.where((score * (1 + 1e-9) if weighed else score + 1e-6) >= F.col("_reached")).select("qid", "row_id", "population", "km")
     order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")
-    best = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
+    found = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
     own = _own_columns(columns)
-    return best.join(columns.select(own), "row_id").select("qid", "km", *own)
+    return found.join(columns.select(own), "row_id").select("qid", "km", *own)
 
 
 def _own_columns(places: DataFrame) -> list[str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .log import Log
 
 #: Written beside the tables; a reader that finds another version asks for a rebuild.
-FORMAT = 3
+FORMAT = 4
 #: What tables are sorted by.
 SORTED = {"postal": ("country", "code"), "admin1": ("key",), "names": ("country", "name"), "grams": ("country", "gram"), "cubes": ("level", "parent"), "leaves": ("cube",), "prefixes": ("country", "prefix"), "gram_counts": ("country", "gram")}
 
