@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -68,6 +69,20 @@ def test_search_in_blocks_and_of_empty_tables(spark, monkeypatch):
     assert lexical.LexicalIndex.build(docs_of(spark, [(1, None), (2, "...")])).search(asked).collect() == []
 
 
+def test_index_has_small_row_groups(spark, monkeypatch):
+    """A task's shards aren't held together by the writer, nor by a reader."""
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 60_000)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(120)]
+    index = lexical.LexicalIndex.build(docs_of(spark, docs).coalesce(1))
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    groups = [m.row_group(i) for m in sizes for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 10
+    assert max(g.total_byte_size for g in groups) < 120_000
+    asked = spark.createDataFrame([(1, "w7x5 w9x2")], "item_id long, text string")
+    assert Counter(map(tuple, index.search(asked).collect())) == brute_search(docs, [(1, "w7x5 w9x2")])
+
+
 def test_bounds_enclose_impacts():
     tf, m = np.arange(1, 500).repeat(50), np.tile(np.arange(10, 5010, 100), 499)
     exact = lexical.impacts(tf, m)

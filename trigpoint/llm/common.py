@@ -67,12 +67,12 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: a cut in the lineage that survives lost executors."""
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet, with options for its writer, to the shared folder and reads it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trigpoint/{uuid.uuid4().hex}-{name}"
     _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import WordHash, batch, map_arrow, prepare, staged, to_bytes
 
 #: What a shard holds at most: bytes of text (a longer text is a shard of its own), and documents, as their places in it are 16-bit numbers.
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 16
+#: Bytes of a row group of the index, or one shard. Parquet's writer looks at its size after 100 rows unless told otherwise, and so
+#: keeps, as a reader does later, as many whole shards in memory as a task makes.
+GROUP_BYTES = 4 << 20
 #: Terms of queries that are looked up at a time.
 BLOCK_TERMS = 1 << 20
 #: Impacts lie below SCALE; a byte of them has STEPS steps.
@@ -59,7 +62,7 @@ def _shard(ids: list, found: list[tuple[np.ndarray, np.ndarray]], lengths: list[
     own, starts = np.unique(term, return_index=True)
     exact = impacts(tf, length_factors(n, n_docs, n_terms)[doc])
     upper = -((-exact * STEPS) // SCALE)
-    parts = (n, own, np.append(starts, len(term)).astype(np.int64), doc.astype(np.uint16), upper.astype(np.uint8), tf.astype(np.int64))
+    parts = (n, own, np.append(starts, len(term)).astype(np.int64), doc.astype(np.uint16), upper.astype(np.uint8), tf.astype(np.uint32))  # a text has less than 2 GB
     return batch(_SCHEMA, [ids], *([x.tobytes()] for x in parts))
 
 
@@ -108,7 +111,8 @@ class LexicalIndex:
             if ids:
                 yield _shard(ids, found, lengths, n_docs, n_terms)
 
-        return cls(staged(map_arrow(docs, run, _SHARDS), "shards"), n_docs, n_terms)
+        groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+        return cls(staged(map_arrow(docs, run, _SHARDS), "shards", **groups), n_docs, n_terms)
 
     def blocks(self, queries: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
         """Queries with their terms, about BLOCK_TERMS at a time. Rows of the same id are one query; queries without terms are left out."""
@@ -192,7 +196,7 @@ class Shard:
         ids = b.column(0)[row].values
         self.no_id = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
-        kinds = (np.int64, np.uint64, np.int64, np.uint16, np.uint8, np.int64)
+        kinds = (np.int64, np.uint64, np.int64, np.uint16, np.uint8, np.uint32)
         self.lengths, self.terms, self.starts, self.docs, self.bytes, self.counts = (np.frombuffer(b.column(c + 1)[row].as_buffer(), kind) for c, kind in enumerate(kinds))
         self.m = length_factors(self.lengths, *counts)
 
@@ -225,7 +229,7 @@ class Shard:
             docs = self.docs[s]
             p = np.minimum(np.searchsorted(docs, near), len(docs) - 1)
             hit = docs[p] == near
-            score[hit] += w * impacts(self.counts[s][p[hit]], self.m[near[hit]])
+            score[hit] += w * impacts(self.counts[s][p[hit]].astype(np.int64), self.m[near[hit]])
         order = np.lexsort((self.ids[near], self.no_id[near], -score))[:k]
         found = [(int(score[j]), None if self.no_id[near[j]] else int(self.ids[near[j]])) for j in order.tolist() if score[j] > 0]
         return sorted(so_far + found, key=lambda r: (-r[0], r[1] is None, r[1] or 0))[:k]
