@@ -71,6 +71,16 @@ def test_radius_is_brute_force(spark):
     assert got == want
 
 
+def test_radius_sends_no_exploded_queries(spark):
+    """Queries that Spark takes for small ones aren't small once they stand in the cubes around them."""
+    rows, places = some_places(spark)
+    points, queries = some_points(spark)
+    for km_ in (0.5, 700.0, 19000.0):
+        found = nearest.radius_join(queries, places, km_)
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.qid, r.row_id) for r in found.collect()} == {(q, p[0]) for q, lat, lon in points for p in rows if km((lat, lon), p[4:6]) <= km_}
+
+
 def test_top_populations_has_the_whole_table(spark):
     rows, places = some_places(spark, 7000)
     want = sorted((-p[6], p[0]) for p in rows if p[6] > 0)[:4096]

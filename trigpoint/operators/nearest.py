@@ -54,16 +54,24 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
     width = _width if isinstance(km, str) else lambda _: F.lit(chord(min(max(1.0, float(km)), _FARTHEST)) * _WIDER)
     q = queries.where(reach >= 0).select("qid", F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), (reach * _WIDER).alias("_reach"), level.alias("_level"))
     levels = [r[0] for r in q.select("_level").distinct().collect()] if isinstance(km, str) else [0]  # the logarithm of the largest radius at most
-    own = dict(zip("xyz", _cube(F.col("_qlat"), F.col("_qlon"), width(F.col("_level"))), strict=True))
-    for axis, c in own.items():
-        q = q.withColumn(f"_{axis}0", c)
-    for axis in own:
-        q = q.withColumn(f"_{axis}", F.explode(_around(F.col(f"_{axis}0")))).drop(f"_{axis}0")
+    q = q.withColumns({f"_v{axis}": v / width(F.col("_level")) for axis, v in zip("xyz", unit_vector(F.col("_qlat"), F.col("_qlon")), strict=True)})
+    far, near = F.lit(0.0), F.lit(0.0)  # of a cube, squares of its farthest and nearest distance from the centre of the earth
+    off = F.lit(0.0)  # and of its distance from the query, in widths
+    for axis in "xyz":
+        at, own = F.col(f"_{axis}"), F.col(f"_v{axis}")
+        q = q.withColumn(f"_{axis}", F.explode(_around(F.floor(own).cast("int"))))
+        off += F.pow(F.greatest(at - own, own - at - 1, F.lit(0.0)), F.lit(2))
+        near += F.pow(F.greatest(at, -at - 1, F.lit(0)), F.lit(2))
+        far += F.pow(F.greatest(F.abs(at), F.abs(at + 1)), F.lit(2))
+    # most of the 27 are too far off, or hold no part of the surface; 1e-6 is more than rounding makes
+    surface = F.pow(width(F.col("_level")), F.lit(-2))
+    q = q.where((off <= 1 + 1e-6) & (near <= surface * (1 + 1e-6)) & (far >= surface * (1 - 1e-6))).drop("_vx", "_vy", "_vz")
     own_columns = _own_columns(places)
     p = places.select(own_columns).withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
     for axis, c in zip("xyz", _cube(F.col("lat"), F.col("lon"), width(F.col("_level"))), strict=True):
         p = p.withColumn(f"_{axis}", c)
-    hit = q.join(p, ["_level", "_x", "_y", "_z"]).withColumn("km", haversine_km(F.col("_qlat"), F.col("_qlon"), F.col("lat"), F.col("lon")))
+    # Spark reckons queries as small as they were before they were exploded, and would send all of them through the driver
+    hit = q.hint("merge").join(p, ["_level", "_x", "_y", "_z"]).withColumn("km", haversine_km(F.col("_qlat"), F.col("_qlon"), F.col("lat"), F.col("lon")))
     return hit.where(F.col("km") <= F.col("_reach")).select("qid", "km", *own_columns)
 
 
