@@ -50,6 +50,20 @@ def test_nearest_is_brute_force(spark, monkeypatch, crowd):
         assert got[qid][0] == row or abs(km((lat, lon), rows[got[qid][0]][4:6]) - d) < 1e-6
 
 
+@pytest.mark.parametrize("sent", [0, 300])
+def test_search_over_shuffled_cubes(spark, monkeypatch, sent):
+    """Levels that aren't sent: the same winners, and few cubes of a query are shuffled."""
+    _, places = some_places(spark, 3000)
+    _, queries = some_points(spark)
+    made = nearest.cube_tables(places)
+    want = [sorted(map(tuple, f(queries, places, made).select("qid", "row_id", "km").collect())) for f in (nearest.nearest, nearest.nearest_by_gravity)]
+    monkeypatch.setattr(nearest, "SENT", sent)
+    for f, rows in zip((nearest.nearest, nearest.nearest_by_gravity), want, strict=True):
+        assert sorted(map(tuple, f(queries, places, made).select("qid", "row_id", "km").collect())) == rows
+    plan = nearest.nearest(queries, places, made)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") + plan.count("Window(") <= (sent > 0) * 2
+
+
 @pytest.mark.parametrize(("zero", "crowd"), [(0.3, 3), (1.0, 24), (0.97, 24)])
 def test_gravity_is_brute_force(spark, monkeypatch, zero, crowd):
     monkeypatch.setattr(nearest, "CROWD", crowd)

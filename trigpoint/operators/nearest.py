@@ -78,6 +78,8 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
 #: Places of a cube that isn't divided further, last level of the tree (cubes of the last are some 50 m wide), and how many cubes
 #: a level may have to be sent to all executors (some 15 MB); levels with more are joined by shuffling.
 CROWD, LAST, SENT = 24, 9, 200_000
+#: Cubes that are looked at for one candidate at a time, where levels are joined by shuffling.
+OPENED = 4096
 #: A cube is divided in four along each axis, so an axis of the last level has so many bits.
 _SPLIT, _BITS = 2, 2 * 9
 #: Places, in the order of their cubes, that are looked through together.
@@ -177,6 +179,11 @@ def _chord_km(c: Column) -> Column:
     return 2 * RADIUS * F.asin(F.least(F.lit(1.0), c / 2))
 
 
+def _below(cubes: DataFrame, level: int) -> DataFrame:
+    """Cubes of the levels below one, with the cube of that level that they are in; undivided cubes are in themselves."""
+    return cubes.where(F.col("level") > level).withColumn("parent", F.when(_level(F.col("cube")) > level, _around_it(F.col("cube"), F.lit(level))).otherwise(F.col("cube")))
+
+
 def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, DataFrame], weighed: bool) -> DataFrame:
     """(qid, km, columns of places) of the best place by distance, or if weighed by gravity."""
     cubes, leaves = tables
@@ -184,26 +191,43 @@ def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, Dat
         cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
     levels = cubes.groupBy("level").count().orderBy("level").collect()  # LAST rows at most
     lat, lon, vector, corners = F.col("_lat"), F.col("_lon"), ["_qx", "_qy", "_qz"], ["_lx", "_ly", "_lz", "_width"]
-    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).repartition("qid")
+    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     # what a query reaches at least is seen first from the cubes around itself, on the levels that can be sent together
     sent = [r for i, r in enumerate(levels) if sum(n for _, n in levels[: i + 1]) <= SENT]
     worth = (lambda most, km: gravity(most, km)) if weighed else (lambda most, km: -km)
     best = worth(F.col("most"), haversine_km(lat, lon, F.col("_plat"), F.col("_plon")))
     place = ["most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")]
-    around = F.array(*(_key(F.lit(level), [F.col(c) for c in ("_x", "_y", "_z")], F.lit(LAST)) for level, _ in sent)).cast("array<long>")
-    own = cubes.where((F.col("level") == _level(F.col("cube"))) & F.col("level").isin([level for level, _ in sent])).select("cube", *place)
-    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), ("_x", "_y", "_z"), strict=True))).withColumn("cube", F.explode_outer(around))
-    cand = cand.join(F.broadcast(own), "cube", "left").groupBy("qid", "_lat", "_lon").agg(F.max(best).alias("_reached"))
-    cand = cand.withColumn("_reached", F.coalesce("_reached", F.lit(float("-inf"))))
+    axes = ["_x", "_y", "_z"]
+    around = lambda level: _key(level, [F.col(c) for c in axes], F.lit(LAST))
+    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), axes, strict=True)), F.lit(float("-inf")).alias("_reached"), F.lit(0).alias("_deep"))
+    for level, _ in sent:
+        own = cubes.where((F.col("level") == level) & (_level(F.col("cube")) == level)).select(F.col("cube").alias("_own"), *place)
+        cand = cand.join(F.broadcast(own), around(F.lit(level)) == F.col("_own"), "left")
+        cand = cand.withColumns({"_reached": F.greatest("_reached", best), "_deep": F.when(F.col("_own").isNotNull(), level).otherwise(F.col("_deep"))}).drop("_own", "most", "_plat", "_plon")
+    if len(sent) < len(levels):
+        # where cubes have to be shuffled, the places of the undivided cube around a query tell it first, so that few cubes are opened for it
+        deepest = around(F.col("_deep"))
+        own = F.when(F.col("_deep") == (sent[-1][0] if sent else 0), F.array(deepest, *(around(F.lit(level)) for level, _ in levels[len(sent) :]))).otherwise(F.array(deepest))
+        cand = cand.select("qid", "_lat", "_lon", "_reached", F.posexplode(own).alias("_at", "cube"))
+        near = leaves.select("cube", F.col("population").alias("most"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+        cand = cand.join(near, "cube", "left").where("_at = 0 OR _plat IS NOT NULL").groupBy("qid", "_lat", "_lon").agg(F.max(F.greatest("_reached", best)).alias("_reached"))
+    cand = cand.select("qid", "_lat", "_lon", "_reached").repartition("qid")
     cand = cand.select("*", *(v.alias(c) for v, c in zip(unit_vector(lat, lon), vector, strict=True)), F.lit(0).cast("long").alias("cube"))
     begins = _chord_km(_begins() * (1 - 1e-9)) * (1 - 1e-9)
     enough = (worth(F.col("most"), begins) * (1 + 1e-9) if weighed else 1e-6 - begins) >= F.col("_reached")
+    at = 0
     for level, n in levels:
+        if level <= at:
+            continue
+        if n > SENT:  # several levels at a time, so that candidates are shuffled less often
+            level = max([level, *(r.level for r in _below(cubes, at).groupBy("level", "parent").count().groupBy("level").agg(F.max("count").alias("most")).where(F.col("most") <= OPENED).collect())])
         corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), corners, strict=True)]  # once for a cube, not for each query
-        below = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
+        below = _below(cubes, at).where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
+        at = level
         cand = cand.join(F.broadcast(below) if n <= SENT else below, F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
-        reached = F.max(best).over(Window.partitionBy("qid"))
-        cand = cand.withColumn("_reached", F.greatest("_reached", reached)).where(enough).drop("most", "_plat", "_plon", *corners)
+        if n <= SENT:  # beyond, a query's cubes stand in different places, and what it reaches is known well enough
+            cand = cand.withColumn("_reached", F.greatest("_reached", F.max(best).over(Window.partitionBy("qid")))).where(enough)
+        cand = cand.drop("most", "_plat", "_plon", *corners)
     hit = cand.select("qid", "_lat", "_lon", "cube", "_reached").join(leaves, "cube")
     hit = hit.withColumn("km", haversine_km(lat, lon, F.col("lat"), F.col("lon")))
     score = worth(F.col("population"), F.col("km"))
