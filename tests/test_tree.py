@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 from test_places import some_places, some_points
 
@@ -62,3 +63,43 @@ def test_levels_that_are_not_sent_give_the_same(spark, monkeypatch):
     for most in (0, 60):  # none is sent; the first level alone is
         monkeypatch.setattr(nearest, "SENT", most)
         assert [ids(f(queries, places, built)) for f in (nearest.nearest, nearest.nearest_by_gravity)] == sent
+
+
+def shuffled(df):
+    """Rows that Spark writes to shuffles for df, in which broadcasts have none."""
+    df.collect()
+
+    def rows(node):
+        name = node.getClass().getSimpleName()
+        if name == "ReusedExchangeExec":
+            return 0
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return sum(map(rows, inner)) + (node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0)
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("find", [nearest.nearest, nearest.nearest_by_gravity])
+def test_queries_are_shuffled_few_times(spark, monkeypatch, find):
+    """Where the tree is too large to be sent, however deep it is where a town stands, or many are at one point."""
+    _, places = some_places(spark, 3000)
+    town = places.limit(60).withColumn("lat", 48 + F.col("row_id") * 1e-5).withColumn("lon", F.lit(11.0)).withColumn("row_id", F.col("row_id") + 10_000)
+    crowd = places.limit(60).withColumn("lat", F.lit(-20.0)).withColumn("lon", F.lit(30.0)).withColumn("row_id", 20_000 - F.col("row_id"))
+    places = places.unionByName(town).unionByName(crowd)
+    _, queries = some_points(spark, 4000)
+    near = spark.createDataFrame([(10_000, 48.0003, 11.0), (10_001, -20.0, 30.0), (10_002, -20.001, 30.0)], queries.schema)
+    queries = queries.unionByName(near)
+    built = nearest.cube_tables(places)
+    assert built[0].agg(F.max("level")).first()[0] == nearest.LAST
+    want = ids(find(queries, places, built))
+    assert len(want) == queries.count()
+    monkeypatch.setattr(nearest, "SENT", 540)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = find(queries, places, built)
+        n = shuffled(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids(found) == want
+    assert n <= 9 * queries.count()  # populations are very uneven here, so a query meets several pages by gravity

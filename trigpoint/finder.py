@@ -86,32 +86,33 @@ class Finder:
         if rank not in ("distance", "population"):
             raise ValueError(f"no rank: {rank}")
         search = by_point.nearest if rank == "distance" else by_point.nearest_by_gravity
-        found = search(queries, self.places, (self._prepared("cubes"), self._prepared("leaves")))
-        return by_point.with_admin(found, self.admin1) if admin else found
+        # divisions are joined to places, of which there may be far fewer than queries
+        places = by_point.with_admin(self.places, self.admin1) if admin else self.places
+        return search(queries, places, (self._prepared("cubes"), self._prepared("leaves")))
 
     def batch(self, batches: DataFrame) -> DataFrame:
         """(batch_id, idx, error, body) of batches (batch_id, body): the answers of its points, each by its own rank and with what it asks to include, in their
         order, null for a point without one; or, if a point can't be used, which one is the first (idx; -1 for the body itself) and why, and no body.
 
-        Points are read once; those of each rank are looked up together, and carry their batch and place along.
+        Points are read once; those of each rank are looked up together, and carry their batch, their place in it and what they ask along, so that
+        answers meet nothing but the number of their batch's points.
         """
-        points = tables.cut(requests.parse_batches(batches), "points")
-        errors = requests.first_errors(points)
-        asked = points.join(errors.select("batch_id"), "batch_id", "left_anti").withColumn("qid", F.struct("batch_id", "idx"))
-        asked = tables.cut(asked.withColumn("weighed", F.coalesce(F.col("rank") == "population", F.lit(False))), "asked")
-        found = None
+        points = tables.cut(requests.read_batches(batches), "points")
+        errors = points.where("idx = failed").select("batch_id", "idx", "error", F.lit(None).cast("string").alias("body"))
+        weighed_ = F.coalesce(F.col("rank") == "population", F.lit(False))
+        asked = points.where("failed IS NULL").withColumn("qid", F.struct("batch_id", "idx", F.coalesce(F.col("include") == "admin", F.lit(False)).alias("admin")))
+        answers = None
         for weighed in (False, True):
-            own = asked.where(F.col("weighed") == weighed)
+            own = asked.where(weighed_ == weighed)
             if not own.isEmpty():
-                part = self.nearest(own, "population" if weighed else "distance", admin=True).withColumn("weighed", F.lit(weighed))
-                found = part if found is None else found.unionByName(part)
-        if found is None:
-            return errors.select("batch_id", "idx", "error", F.lit(None).cast("string").alias("body"))
-        rows = found.join(asked.select("qid", "include"), "qid")
-        answers = rows.select("qid", requests.response(F.col("weighed"), F.coalesce(F.col("include") == "admin", F.lit(False))).alias("answer"))
-        results = requests.gather(asked.join(answers, "qid", "left"), "answer")
+                found = self.nearest(own, "population" if weighed else "distance", admin=True)
+                part = found.select("qid.batch_id", "qid.idx", requests.response(F.lit(weighed), F.col("qid.admin")).alias("answer"))
+                answers = part if answers is None else answers.unionByName(part)
+        if answers is None:
+            return errors
+        results = requests.gather(answers, "answer", asked.groupBy("batch_id").agg((F.max("idx") + 1).alias("size")))
         whole = results.select("batch_id", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("error"), requests.batch_body(F.col("results")).alias("body"))
-        return whole.unionByName(errors.select("batch_id", F.col("idx").cast("int").alias("idx"), "error", F.lit(None).cast("string").alias("body")))
+        return whole.unionByName(errors)
 
     def find_by_name(self, queries: DataFrame) -> DataFrame:
         return self._rows(by_name.find(queries, self.names(), self._prepared("grams"), self._prepared("gram_counts")))

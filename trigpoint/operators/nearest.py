@@ -7,6 +7,9 @@ Searches for the best place use a tree of cubes, each a quarter as wide as the o
 cube knows one place of its own, its most populous, and how far from a query it begins. The place gives what a query reaches at least, first those
 of the cubes around the query itself; cubes that can't reach it are left out, the others are opened, a level at a time for all queries together. So a
 query far from all places meets as few of them as one in a city, and no cube holds more than CROWD places unless they stand within metres of each other.
+
+Where the tree is too large to be sent, its lower part is dealt into pages, the cubes of a coarser tree that isn't. A query first meets the page that it is
+in, which tells what it reaches, then the few others that could have better.
 """
 
 from __future__ import annotations
@@ -76,10 +79,8 @@ def radius_join(queries: DataFrame, places: DataFrame, km: str | float) -> DataF
 
 
 #: Places of a cube that isn't divided further, last level of the tree (cubes of the last are some 50 m wide), and how many cubes
-#: a level may have to be sent to all executors (some 15 MB); levels with more are joined by shuffling.
+#: of all levels may be sent to all executors (some 15 MB); of larger trees, pages are.
 CROWD, LAST, SENT = 24, 9, 200_000
-#: Cubes that are looked at for one candidate at a time, where levels are joined by shuffling.
-OPENED = 4096
 #: A cube is divided in four along each axis, so an axis of the last level has so many bits.
 _SPLIT, _BITS = 2, 2 * 9
 #: Places, in the order of their cubes, that are looked through together.
@@ -124,15 +125,46 @@ def cube_tables(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     leaves = _leaves(places)
     ends = leaves.groupBy("cube").agg(*_most())  # longs and doubles alone, so that groups are hashed
+    return _tree(ends).drop("end"), leaves
+
+
+def _tree(ends: DataFrame) -> DataFrame:
+    """(level, parent, cube, most, lat, lon, end): undivided cubes (cube, most, lat, lon), which are ends, and those around them."""
     ends = cut(ends.withColumn("level", _level(F.col("cube"))), "ends")
     reached = ends.agg(F.max("level")).first()[0] or 1
     above = ends.withColumn("to", F.explode(F.when(F.col("level") > 1, F.sequence(F.lit(1), F.col("level") - 1))))
     above = above.withColumn("cube", _around_it(F.col("cube"), F.col("to"))).groupBy(F.col("to").alias("level"), "cube").agg(*_most("most"))
-    above = above.withColumn("parent", _around_it(F.col("cube"), F.col("level") - 1))
-    later = ends.withColumn("to", F.explode(F.sequence(F.col("level"), F.lit(reached))))
+    above = above.withColumn("parent", _around_it(F.col("cube"), F.col("level") - 1)).withColumn("end", F.lit(False))
+    later = ends.withColumn("to", F.explode(F.sequence(F.col("level"), F.lit(reached)))).withColumn("end", F.lit(True))
     later = later.withColumn("parent", F.when(F.col("to") > F.col("level"), F.col("cube")).otherwise(_around_it(F.col("cube"), F.col("level") - 1))).withColumn("level", F.col("to"))
-    columns = ["level", "parent", "cube", "most", "lat", "lon"]
-    return cut(above.select(columns).unionByName(later.select(columns)), "tree"), leaves
+    columns = ["level", "parent", "cube", "most", "lat", "lon", "end"]
+    return cut(above.select(columns).unionByName(later.select(columns)), "tree")
+
+
+def _pages(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of a tree that is too large to be sent: the tree down to them, and their places.
+
+    The first is as _tree() gives it, and small enough. The second, (page, cube, most, lat, lon, corner and width of the cube, at), has a row for each
+    undivided cube of a page, or several if it has more than CROWD places; at holds its places. A cube is a page if it has at most so many
+    places and the one around it more; how many follows from the number of pages that there would be.
+    """
+    ends = cut(leaves.groupBy("cube").count(), "sizes")
+    every = ends.withColumn("to", F.explode(F.sequence(F.lit(1), _level(F.col("cube"))))).groupBy(_around_it(F.col("cube"), F.col("to")).alias("cube")).agg(F.sum("count").alias("count"))
+    divided = every.groupBy(_around_it(F.col("cube"), _level(F.col("cube")) - 1).alias("cube")).agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("parts"))
+    divided = cut(divided, "divided")
+    root = F.col("cube") == 0
+    sizes = [CROWD << k for k in range(1, 40)]
+    more = divided.agg(*(F.sum(F.when(root | (F.col("count") > n), F.col("parts") - F.when(root, 0).otherwise(1))).alias(str(n)) for n in sizes)).first()
+    most = next((n for n in sizes if (more[str(n)] or 0) <= SENT // LAST), sizes[-1])
+    opened = F.broadcast(divided.where(root | (F.col("count") > most)).select(F.col("cube").alias("_opened")))  # fewer than pages
+    own = ends.withColumn("to", F.explode(F.sequence(F.lit(0), _level(F.col("cube")) - 1)))
+    own = own.join(opened, _around_it(F.col("cube"), F.col("to")) == F.col("_opened")).groupBy("cube").agg((F.max("to") + 1).alias("to"))
+    own = own.select("cube", _around_it(F.col("cube"), F.col("to")).alias("page"))
+    rows = leaves.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("cube").orderBy("row_id")) - 1) / CROWD)).join(own, "cube")
+    rows = rows.groupBy("page", "cube", "part").agg(*_most(), F.collect_list(F.struct(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "population", "row_id")).alias("at"))
+    corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), _CORNER, strict=True)]
+    rows = cut(rows.select("page", "most", "lat", "lon", *corner, "at"), "pages")
+    return _tree(rows.groupBy(F.col("page").alias("cube")).agg(*_most("most"))), rows
 
 
 def _most(population: str = "population") -> list[Column]:
@@ -163,6 +195,9 @@ def _leaves(places: DataFrame) -> DataFrame:
     return cut(rows.select(_key(level, [F.col(c) for c in axes], F.lit(LAST)).alias("cube"), "row_id", "lat", "lon", "population"), "leaves")
 
 
+_VECTOR, _CORNER = ["_qx", "_qy", "_qz"], ["_lx", "_ly", "_lz", "_width"]
+
+
 def _corner(cube: Column) -> list[Column]:
     """A cube's least coordinates, and how wide it is."""
     width = F.pow(F.lit(2.0), 1 - _SPLIT * _level(cube))
@@ -179,57 +214,67 @@ def _chord_km(c: Column) -> Column:
     return 2 * RADIUS * F.asin(F.least(F.lit(1.0), c / 2))
 
 
-def _below(cubes: DataFrame, level: int) -> DataFrame:
-    """Cubes of the levels below one, with the cube of that level that they are in; undivided cubes are in themselves."""
-    return cubes.where(F.col("level") > level).withColumn("parent", F.when(_level(F.col("cube")) > level, _around_it(F.col("cube"), F.lit(level))).otherwise(F.col("cube")))
-
-
 def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, DataFrame], weighed: bool) -> DataFrame:
     """(qid, km, columns of places) of the best place by distance, or if weighed by gravity."""
     cubes, leaves = tables
     if weighed:
         cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
     levels = cubes.groupBy("level").count().orderBy("level").collect()  # LAST rows at most
-    lat, lon, vector, corners = F.col("_lat"), F.col("_lon"), ["_qx", "_qy", "_qz"], ["_lx", "_ly", "_lz", "_width"]
+    paged = sum(n for _, n in levels) > SENT
+    if paged:
+        cubes, leaves = _pages(leaves)
+        levels = cubes.groupBy("level").count().orderBy("level").collect()
+    lat, lon = F.col("_lat"), F.col("_lon")
+    worth = (lambda most, km: gravity(most, km)) if weighed else (lambda most, km: -km)
+    km = haversine_km(lat, lon, F.col("_plat"), F.col("_plon"))
+    best = worth(F.col("most"), km)
+    begins = _chord_km(_begins() * (1 - 1e-9)) * (1 - 1e-9)
+    enough = (worth(F.col("most"), begins) * (1 + 1e-9) if weighed else 1e-6 - begins) >= F.col("_reached")
+    place = ["most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")]
+
+    def with_vector(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(dict(zip(_VECTOR, unit_vector(lat, lon), strict=True)))
+
+    def opened(cand: DataFrame, together: bool) -> DataFrame:
+        """Adds the undivided cubes that queries have to look into; together: rows of a query stand in one partition, and tell what it reaches."""
+        cand = with_vector(cand).withColumn("cube", F.lit(0).cast("long"))
+        for level, n in levels:
+            corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), _CORNER, strict=True)]  # once for a cube, not for each query
+            below = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
+            cand = cand.join(F.broadcast(below) if n <= SENT else below, F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
+            if together and n <= SENT:
+                cand = cand.withColumn("_reached", F.greatest("_reached", F.max(best).over(Window.partitionBy("qid")))).where(enough)
+            cand = cand.drop("most", "_plat", "_plon", *_CORNER)
+        return cand.select("qid", "_lat", "_lon", "_reached", "cube")
+
     q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     # what a query reaches at least is seen first from the cubes around itself, on the levels that can be sent together
     sent = [r for i, r in enumerate(levels) if sum(n for _, n in levels[: i + 1]) <= SENT]
-    worth = (lambda most, km: gravity(most, km)) if weighed else (lambda most, km: -km)
-    best = worth(F.col("most"), haversine_km(lat, lon, F.col("_plat"), F.col("_plon")))
-    place = ["most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")]
     axes = ["_x", "_y", "_z"]
-    around = lambda level: _key(level, [F.col(c) for c in axes], F.lit(LAST))
-    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), axes, strict=True)), F.lit(float("-inf")).alias("_reached"), F.lit(0).alias("_deep"))
+    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), axes, strict=True)), F.lit(float("-inf")).alias("_reached"), F.lit(None).cast("long").alias("_home"))
     for level, _ in sent:
-        own = cubes.where((F.col("level") == level) & (_level(F.col("cube")) == level)).select(F.col("cube").alias("_own"), *place)
-        cand = cand.join(F.broadcast(own), around(F.lit(level)) == F.col("_own"), "left")
-        cand = cand.withColumns({"_reached": F.greatest("_reached", best), "_deep": F.when(F.col("_own").isNotNull(), level).otherwise(F.col("_deep"))}).drop("_own", "most", "_plat", "_plon")
-    if len(sent) < len(levels):
-        # where cubes have to be shuffled, the places of the undivided cube around a query tell it first, so that few cubes are opened for it
-        deepest = around(F.col("_deep"))
-        own = F.when(F.col("_deep") == (sent[-1][0] if sent else 0), F.array(deepest, *(around(F.lit(level)) for level, _ in levels[len(sent) :]))).otherwise(F.array(deepest))
-        cand = cand.select("qid", "_lat", "_lon", "_reached", F.posexplode(own).alias("_at", "cube"))
-        near = leaves.select("cube", F.col("population").alias("most"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-        cand = cand.join(near, "cube", "left").where("_at = 0 OR _plat IS NOT NULL").groupBy("qid", "_lat", "_lon").agg(F.max(F.greatest("_reached", best)).alias("_reached"))
-    cand = cand.select("qid", "_lat", "_lon", "_reached").repartition("qid")
-    cand = cand.select("*", *(v.alias(c) for v, c in zip(unit_vector(lat, lon), vector, strict=True)), F.lit(0).cast("long").alias("cube"))
-    begins = _chord_km(_begins() * (1 - 1e-9)) * (1 - 1e-9)
-    enough = (worth(F.col("most"), begins) * (1 + 1e-9) if weighed else 1e-6 - begins) >= F.col("_reached")
-    at = 0
-    for level, n in levels:
-        if level <= at:
-            continue
-        if n > SENT:  # several levels at a time, so that candidates are shuffled less often
-            level = max([level, *(r.level for r in _below(cubes, at).groupBy("level", "parent").count().groupBy("level").agg(F.max("count").alias("most")).where(F.col("most") <= OPENED).collect())])
-        corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), corners, strict=True)]  # once for a cube, not for each query
-        below = _below(cubes, at).where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
-        at = level
-        cand = cand.join(F.broadcast(below) if n <= SENT else below, F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
-        if n <= SENT:  # beyond, a query's cubes stand in different places, and what it reaches is known well enough
-            cand = cand.withColumn("_reached", F.greatest("_reached", F.max(best).over(Window.partitionBy("qid")))).where(enough)
-        cand = cand.drop("most", "_plat", "_plon", *corners)
-    hit = cand.select("qid", "_lat", "_lon", "cube", "_reached").join(leaves, "cube")
-    hit = hit.withColumn("km", haversine_km(lat, lon, F.col("lat"), F.col("lon")))
+        own = cubes.where((F.col("level") == level) & (_level(F.col("cube")) == level))
+        own = own.select(F.col("cube").alias("_own"), *place, F.col("end") if paged else F.lit(False).alias("end"))
+        cand = cand.join(F.broadcast(own), _key(F.lit(level), [F.col(c) for c in axes], F.lit(LAST)) == F.col("_own"), "left")
+        cand = cand.withColumns({"_reached": F.greatest("_reached", best), "_home": F.when(F.col("end"), F.col("_own")).otherwise(F.col("_home"))}).drop("_own", "most", "_plat", "_plon", "end")
+    cand = cand.select("qid", "_lat", "_lon", "_reached", "_home")
+    if paged:
+        # places of its own page tell a query what it reaches: one of each cube, then all of those that could have better. One shuffle serves
+        # both, and no query's cubes have to be looked at together afterwards; queries outside all pages are as few or as far off as without pages
+        own = [F.col("page").alias("_home"), *place]
+        keys = ["qid", "_lat", "_lon", "_home"]
+        home = cand.where("_home IS NOT NULL").repartition("_home")
+        home = home.join(leaves.select(own), "_home").groupBy(keys).agg(F.max(F.greatest("_reached", best)).alias("_reached"))
+        inside = leaves.select(F.col("page").alias("_page"), "most", *_CORNER, "at")
+        home = with_vector(home).join(inside, (F.col("_home") == F.col("_page")) & enough, "left").select(*keys, "_reached", F.inline_outer("at"))
+        home = home.groupBy(keys).agg(F.max(F.greatest("_reached", worth(F.col("population"), km))).alias("_reached"))
+        far = opened(cand.where("_home IS NULL").drop("_home").repartition("qid"), True)
+        met = opened(home.drop("_home"), False).unionByName(far).repartition("cube")
+        hit = with_vector(met).join(inside, F.col("cube") == F.col("_page")).where(enough).select("qid", "_lat", "_lon", "_reached", F.inline("at"))
+    else:
+        met = opened(cand.drop("_home").repartition("qid"), True)
+        hit = met.join(leaves.select("cube", "row_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "population"), "cube")
+    hit = hit.withColumn("km", km)
     score = worth(F.col("population"), F.col("km"))
     hit = hit.where((score * (1 + 1e-9) if weighed else score + 1e-6) >= F.col("_reached")).select("qid", "row_id", "population", "km")
     order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")

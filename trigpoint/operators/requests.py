@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ LONGEST_NAME, MOST_POINTS = 200, 100
 POINT = "lat double, lon double, rank string, include string"
 
 
-def point_error() -> Column:
-    """What is wrong with a point (lat, lon, rank, include), or null. Missing rank and include are fine."""
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+def point_error(of: Callable[[str], Column] = F.col) -> Column:
+    """What is wrong with a point (lat, lon, rank, include), or null. Missing rank and include are fine. of: where its fields are."""
+    finite = lambda c: of(c).isNotNull() & ~F.isnan(of(c)) & (F.abs(of(c)) < float("inf"))
     return (
-        F.when(~finite("lat"), "lat").when(~finite("lon"), "lon").when(F.abs(F.col("lat")) > 90, "lat range").when(F.abs(F.col("lon")) > 180, "lon range")
-        .when(~F.coalesce("rank", F.lit("")).isin("", "distance", "population"), "rank").when(~F.coalesce("include", F.lit("")).isin("", "admin"), "include")
+        F.when(~finite("lat"), "lat").when(~finite("lon"), "lon").when(F.abs(of("lat")) > 90, "lat range").when(F.abs(of("lon")) > 180, "lon range")
+        .when(~F.coalesce(of("rank"), F.lit("")).isin("", "distance", "population"), "rank").when(~F.coalesce(of("include"), F.lit("")).isin("", "admin"), "include")
     )
 
 
@@ -71,6 +73,11 @@ def parse_batches(batches: DataFrame) -> DataFrame:
     value of a wrong kind or a number without a place among doubles, or has no points or too many. Points that can be read but not used have an error of
     their own.
     """
+    return read_batches(batches).drop("failed")
+
+
+def read_batches(batches: DataFrame) -> DataFrame:
+    """As parse_batches(), with failed: the idx of the first point of the batch that has an error, or null. Each batch is looked at by itself."""
     rows = batches.select("batch_id", _entries(_strict(F.col("body"))).alias("top"))
     rows = rows.select("batch_id", F.forall("top", lambda e: e["key"] == "points").alias("alone"), F.try_variant_get(_last(F.col("top"), "points"), "$", "array<variant>").alias("points"))
     rows = rows.withColumn("points", F.transform("points", _entries))
@@ -85,11 +92,13 @@ def parse_batches(batches: DataFrame) -> DataFrame:
     plain = F.forall("points", lambda p: p.isNotNull() & F.forall(p, fits))
     good = F.coalesce(F.col("alone") & plain & F.size("points").between(1, MOST_POINTS), F.lit(False))
     rows = rows.select("batch_id", "points", good.alias("good"))
-    bad = rows.where("NOT good").selectExpr("batch_id", "-1 AS idx", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon", "CAST(NULL AS STRING) AS rank", "CAST(NULL AS STRING) AS include", "'body' AS error")
-    points = rows.where("good").select("batch_id", F.posexplode("points").alias("idx", "p"))
+    bad = rows.where("NOT good").selectExpr("batch_id", "-1 AS idx", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon", "CAST(NULL AS STRING) AS rank", "CAST(NULL AS STRING) AS include", "'body' AS error", "-1 AS failed")
     kinds = {f.split()[0]: f.split()[1] for f in POINT.split(", ")}
-    points = points.select("batch_id", "idx", *(F.try_variant_get(_last(F.col("p"), name), "$", kind).alias(name) for name, kind in kinds.items()))
-    return points.withColumn("error", point_error()).unionByName(bad)
+    points = rows.where("good").select("batch_id", F.transform("points", lambda p: F.struct(*(F.try_variant_get(_last(p, name), "$", kind).alias(name) for name, kind in kinds.items()))).alias("points"))
+    points = points.withColumn("errors", F.transform("points", lambda p: point_error(lambda name: p[name])))
+    first = F.array_position(F.transform("errors", lambda e: e.isNotNull()), True)
+    points = points.select("batch_id", F.when(first > 0, first.cast("int") - 1).alias("failed"), F.posexplode(F.arrays_zip("points", "errors")).alias("idx", "p"))
+    return points.select("batch_id", "idx", *(f"p.points.{name}" for name in kinds), F.col("p.errors").alias("error"), "failed").unionByName(bad)
 
 
 def first_errors(points: DataFrame) -> DataFrame:
@@ -106,9 +115,16 @@ def response(with_population: Column, with_admin: Column) -> Column:
     ))
 
 
-def gather(rows: DataFrame, value: str) -> DataFrame:
-    """(batch_id, results): values of each batch in the order of its points, of which there are at most MOST_POINTS."""
-    return rows.groupBy("batch_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", value))), lambda x: x[value]).alias("results"))
+def gather(rows: DataFrame, value: str, sizes: DataFrame | None = None) -> DataFrame:
+    """(batch_id, results): values of each batch in the order of its points, of which there are at most MOST_POINTS. sizes: (batch_id, size), how many points
+    batches have; then those without a row are there as null."""
+    found = rows.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("idx", value))).alias("results"))
+    if sizes is None:
+        return found.select("batch_id", F.transform("results", lambda x: x[value]).alias("results"))
+    at = F.map_from_entries("results")
+    every = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.try_element_at(at, i))
+    plain = F.transform("results", lambda x: x[value])
+    return sizes.join(found, "batch_id", "left").select("batch_id", F.when(F.size("results") == F.col("size"), plain).otherwise(every).alias("results"))
 
 
 def batch_body(results: Column) -> Column:
