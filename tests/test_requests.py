@@ -118,3 +118,23 @@ def test_lines_have_an_order(spark):
         'http_request_duration_seconds_sum{path="/a"} 0.375', 'http_request_duration_seconds_count{path="/a"} 2', 'http_request_duration_seconds_sum{path="/b"} 7.5', 'http_request_duration_seconds_count{path="/b"} 2', "a 2", "z 1"]
     answers = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "qid long, v string").repartition(5)
     assert [x.value for x in metrics.transcript(answers, "qid", F.col("v")).collect()] == [f"v{i}" for i in range(50)]
+
+
+def test_bodies_are_read_once_and_alike_however_they_are_written(spark, monkeypatch):
+    """Bodies that are written plainly are read by their schema; the same come out as of others, which are taken apart."""
+    n = ["0", "-0", "0.0", "-0.0", "90", "-90.5", "90.001", "12.3456789012345678", "95.5", "180.5", "007", "1.", ".5", "+1", "1e1", "1E400", "999", "1000", "null", '"1"', "true", "NaN"]
+    points = [f'{{"lat":{a},"lon":{b}}}' for a in n for b in ("1.5", "-0.0")] + [f'{{"lat": 1.5, "lon": {b}}}' for b in n]
+    points += [f'{{"lat":1,"lon":2{more}}}' for more in (',"rank":"population"', ', "rank": "x", "include": "admin"', ',"include":""', ',"include":"admin","rank":""', ',"rank":null', ',"rank":"a","rank":"a"', ',"Rank":"a"', ',"x":1', ',"rank":"\\u0061"', ",")]
+    points += ['{"lon":1,"lat":2}', '{"lat":1}', "{}", "null", "1", '"x"', "\x01", '{"lat":1,"lon":2}\x01', '{"lat":1,"lat":1,"lon":2}', '{"LAT":1,"lon":2}', ""]
+    good = '{"lat":1.25,"lon":-2.5}'
+    bodies = [f'{{"points":[{p}]}}' for p in points] + [f'{{"points":[{good},{p},{good}]}}' for p in points] + [f'{{"points":[{",".join([good] * k)}]}}' for k in (0, 1, 99, 100, 101, 5000)]
+    whole = f'{{"points":[{good}]}}'
+    bodies += [None, "", "x", "\x01", f"{whole}\n", f" {whole}", whole + whole, whole + "x", whole[:-1] + ',"a":1}', f'{{"points":{good}}}', f'{{"Points":[{good}]}}', f"[{good}]", '{"points":[\x01]}', '{"points":null}', "null", f'{{"points":[{good}],"points":[{good}]}}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "batch_id long, body string")
+    read = requests.read_batches(rows)
+    assert read._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    found = sorted(map(repr, read.collect()))
+    plain = rows.where(requests._plain(F.col("body"))).count()
+    assert 20 < plain < len(bodies) // 2
+    monkeypatch.setattr(requests, "_plain", lambda body: F.lit(False))
+    assert sorted(map(repr, requests.read_batches(rows).collect())) == found

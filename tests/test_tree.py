@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_places import some_places, some_points
 
-from trigpoint.operators import nearest
+from trigpoint.operators import nearest, pages
 
 
 def ids(df):
@@ -103,3 +103,21 @@ def test_queries_are_shuffled_few_times(spark, monkeypatch, find):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert ids(found) == want
     assert n <= 9 * queries.count()  # populations are very uneven here, so a query meets several pages by gravity
+
+
+@pytest.mark.parametrize("find", [nearest.nearest, nearest.nearest_by_gravity])
+def test_queries_stand_in_no_row_for_each_cube(spark, monkeypatch, find):
+    """Where the tree is too large to be sent: a query is met by pages as a whole, those in no page and those far from all places too."""
+    _, places = some_places(spark, 3000)
+    places = places.where("lon < 40 OR abs(lat) > 60")  # a sea
+    crowd = places.limit(60).withColumn("lat", F.lit(-20.0)).withColumn("lon", F.lit(30.0)).withColumn("row_id", 20_000 - F.col("row_id"))
+    places = places.unionByName(crowd)
+    _, queries = some_points(spark, 4000)
+    queries = queries.unionByName(queries.withColumns({"qid": F.col("qid") + 10_000, "lon": F.col("lon") + 720}))
+    built = nearest.cube_tables(places)
+    want = ids(find(queries, places, built))
+    monkeypatch.setattr(nearest, "SENT", 540)
+    found = find(queries, places.select("row_id"), built)
+    assert shuffled(found) <= 4.5 * queries.count() and ids(found) == want and len(want) == queries.count()
+    monkeypatch.setattr(pages, "_PAIRS", 500)
+    assert ids(find(queries, places.select("row_id"), built)) == want

@@ -8,8 +8,7 @@ cube knows one place of its own, its most populous, and how far from a query it
 of the cubes around the query itself; cubes that can't reach it are left out, the others are opened, a level at a time for all queries together. So a
 query far from all places meets as few of them as one in a city, and no cube holds more than CROWD places unless they stand within metres of each other.
 
-Where the tree is too large to be sent, its lower part is dealt into pages, the cubes of a coarser tree that isn't. A query first meets the page that it is
-in, which tells what it reaches, then the few others that could have better.
+Where the tree is too large to be sent, places are dealt into pages, the undivided cubes of a coarser tree that isn't (see pages.py).
 """
 
 from __future__ import annotations
@@ -18,10 +17,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.geo import RADIUS, chord, gravity, haversine_km, unit_vector
 from ..plans.ranges import numbered
 from ..plans.tables import cut
+from .pages import Pages
 
 #: Places of the table of top populations.
 TABLE = 4096
@@ -99,6 +100,15 @@ def _key(level: Column, axes: list[Column], of: Column) -> Column:
     return F.shiftleft(level.cast("long"), 3 * _BITS).bitwiseOR(F.shiftleft(x, 2 * _BITS)).bitwiseOR(F.shiftleft(y, _BITS)).bitwiseOR(z)
 
 
+def _in_order(axes: list[Column]) -> Column:
+    """A number by which each cube's points stand together, from their cubes of the last level: a cube's number within the one around it, level by level."""
+    code = F.lit(0).cast("long")
+    for level in range(1, LAST + 1):
+        for c in axes:
+            code = F.shiftleft(code, _SPLIT).bitwiseOR(F.shiftright(c, _SPLIT * (LAST - level)).bitwiseAND((1 << _SPLIT) - 1))
+    return code
+
+
 def _level(cube: Column) -> Column:
     return F.shiftright(cube, 3 * _BITS).cast("int")
 
@@ -125,30 +135,28 @@ def cube_tables(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     leaves = _leaves(places)
     ends = leaves.groupBy("cube").agg(*_most())  # longs and doubles alone, so that groups are hashed
-    return _tree(ends).drop("end"), leaves
+    return _tree(ends), leaves
 
 
 def _tree(ends: DataFrame) -> DataFrame:
-    """(level, parent, cube, most, lat, lon, end): undivided cubes (cube, most, lat, lon), which are ends, and those around them."""
+    """(level, parent, cube, most, lat, lon) of undivided cubes (cube, most, lat, lon) and those around them."""
     ends = cut(ends.withColumn("level", _level(F.col("cube"))), "ends")
     reached = ends.agg(F.max("level")).first()[0] or 1
     above = ends.withColumn("to", F.explode(F.when(F.col("level") > 1, F.sequence(F.lit(1), F.col("level") - 1))))
     above = above.withColumn("cube", _around_it(F.col("cube"), F.col("to"))).groupBy(F.col("to").alias("level"), "cube").agg(*_most("most"))
-    above = above.withColumn("parent", _around_it(F.col("cube"), F.col("level") - 1)).withColumn("end", F.lit(False))
-    later = ends.withColumn("to", F.explode(F.sequence(F.col("level"), F.lit(reached)))).withColumn("end", F.lit(True))
+    above = above.withColumn("parent", _around_it(F.col("cube"), F.col("level") - 1))
+    later = ends.withColumn("to", F.explode(F.sequence(F.col("level"), F.lit(reached))))
     later = later.withColumn("parent", F.when(F.col("to") > F.col("level"), F.col("cube")).otherwise(_around_it(F.col("cube"), F.col("level") - 1))).withColumn("level", F.col("to"))
-    columns = ["level", "parent", "cube", "most", "lat", "lon", "end"]
+    columns = ["level", "parent", "cube", "most", "lat", "lon"]
     return cut(above.select(columns).unionByName(later.select(columns)), "tree")
 
 
-def _pages(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages of a tree that is too large to be sent: the tree down to them, and their places.
+def _pages(leaves: DataFrame, weighed: bool) -> Pages:
+    """The pages of a tree that is too large to be sent: SENT // LAST at most, or the first level.
 
-    The first is as _tree() gives it, and small enough. The second, (page, cube, most, lat, lon, corner and width of the cube, at), has a row for each
-    undivided cube of a page, or several if it has more than CROWD places; at holds its places. A cube is a page if it has at most so many
-    places and the one around it more; how many follows from the number of pages that there would be.
+    A cube is a page if it has at most so many places, or isn't divided, and the one around it has more; how many follows from the number of pages that there would be.
     """
-    ends = cut(leaves.groupBy("cube").count(), "sizes")
+    ends = cut(leaves.groupBy("cube").agg(F.count(F.lit(1)).alias("count"), *_most()), "sizes")
     every = ends.withColumn("to", F.explode(F.sequence(F.lit(1), _level(F.col("cube"))))).groupBy(_around_it(F.col("cube"), F.col("to")).alias("cube")).agg(F.sum("count").alias("count"))
     divided = every.groupBy(_around_it(F.col("cube"), _level(F.col("cube")) - 1).alias("cube")).agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("parts"))
     divided = cut(divided, "divided")
@@ -159,12 +167,12 @@ def _pages(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     opened = F.broadcast(divided.where(root | (F.col("count") > most)).select(F.col("cube").alias("_opened")))  # fewer than pages
     own = ends.withColumn("to", F.explode(F.sequence(F.lit(0), _level(F.col("cube")) - 1)))
     own = own.join(opened, _around_it(F.col("cube"), F.col("to")) == F.col("_opened")).groupBy("cube").agg((F.max("to") + 1).alias("to"))
-    own = own.select("cube", _around_it(F.col("cube"), F.col("to")).alias("page"))
-    rows = leaves.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("cube").orderBy("row_id")) - 1) / CROWD)).join(own, "cube")
-    rows = rows.groupBy("page", "cube", "part").agg(*_most(), F.collect_list(F.struct(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "population", "row_id")).alias("at"))
+    own = own.join(ends, "cube").groupBy(_around_it(F.col("cube"), F.col("to")).alias("cube")).agg(*_most("most"))
+    below = _SPLIT * (LAST - _level(F.col("cube")))
+    begins = _in_order([F.call_function("shiftleft", c, below) for c in _along(F.col("cube"))])
     corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), _CORNER, strict=True)]
-    rows = cut(rows.select("page", "most", "lat", "lon", *corner, "at"), "pages")
-    return _tree(rows.groupBy(F.col("page").alias("cube")).agg(*_most("most"))), rows
+    found = own.select(begins.alias("begins"), *corner, F.col("most").cast("double"), *unit_vector(F.col("lat"), F.col("lon")))
+    return Pages(sorted(map(tuple, found.collect())), weighed)
 
 
 def _most(population: str = "population") -> list[Column]:
@@ -177,11 +185,7 @@ def _leaves(places: DataFrame) -> DataFrame:
     """(cube, row_id, lat, lon, population): each place and the largest cube around it that has at most CROWD, or the one of the last level."""
     axes = ["_x", "_y", "_z"]
     own = places.where("lat IS NOT NULL AND lon IS NOT NULL").select("row_id", "lat", "lon", F.col("population").cast("long").alias("population"), *(v.alias(c) for v, c in zip(_axes(F.col("lat"), F.col("lon")), axes, strict=True)))
-    code = F.lit(0).cast("long")
-    for level in range(1, LAST + 1):  # the cube's number within the one around it, level by level
-        for c in axes:
-            code = F.shiftleft(code, _SPLIT).bitwiseOR(F.shiftright(c, _SPLIT * (LAST - level)).bitwiseAND((1 << _SPLIT) - 1))
-    rows = numbered(own.withColumn("_code", code), "_code").drop("_code")
+    rows = numbered(own.withColumn("_code", _in_order([F.col(c) for c in axes])), "_code").drop("_code")
     near = F.sequence(F.floor((F.col("pos") - CROWD) / _BLOCK), F.floor((F.col("pos") + CROWD) / _BLOCK))  # its block, and one that it stands next to
     rows = rows.withColumn("block", F.explode(near))
     order = Window.partitionBy("block").orderBy("pos")
@@ -219,11 +223,50 @@ def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, Dat
     cubes, leaves = tables
     if weighed:
         cubes, leaves = cubes.where("most > 0"), leaves.where("population > 0")
+    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     levels = cubes.groupBy("level").count().orderBy("level").collect()  # LAST rows at most
-    paged = sum(n for _, n in levels) > SENT
-    if paged:
-        cubes, leaves = _pages(leaves)
-        levels = cubes.groupBy("level").count().orderBy("level").collect()
+    hit = _hits_of_pages(q, leaves, weighed) if sum(n for _, n in levels) > SENT else _hits_of_tree(q, cubes, leaves, levels, weighed)
+    order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")
+    found = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
+    own = _own_columns(columns)
+    return found if own == ["row_id"] else found.join(columns.select(own), "row_id").select("qid", "km", *own)
+
+
+def _hits_of_pages(q: DataFrame, leaves: DataFrame, weighed: bool) -> DataFrame:
+    """(qid, row_id, population, km) of places that are best or within rounding of it.
+
+    Places and queries are dealt by pages, and stand page by page in a partition, places first. So a page is met by its queries as they come: first by those in it,
+    which it tells what they reach, then by those that could do better there.
+    """
+    pages = _pages(leaves, weighed)
+    axes = _axes(F.col("_lat"), F.col("_lon"))
+
+    def with_page(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", *(v.alias(c) for v, c in zip(axes, ("_x", "_y", "_z"), strict=True)))
+        rows = rows.withColumn("_at", _in_order([F.col(c) for c in ("_x", "_y", "_z")])).drop("_x", "_y", "_z")
+        return rows.withColumn("_page", pages.of(F.col("_at")))
+
+    kind = q.schema["qid"].dataType
+    places = leaves.select(F.lit(None).cast(kind).alias("qid"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "row_id", "population")
+    places = with_page(places).withColumns({"_at": F.lit(-1).cast("long"), "_reached": F.lit(None).cast("double")})
+    none = {"row_id": F.lit(None).cast("long"), "population": F.lit(None).cast("long")}
+    first = with_page(q).withColumns(none | {"_reached": F.lit(float("-inf"))})
+
+    def met(rows: DataFrame, others: bool) -> DataFrame:
+        dealt = places.unionByName(rows).repartition("_page").sortWithinPartitions("_page", "_at")
+        schema = StructType([StructField(n, t) for n, t in (("qid", kind), ("_lat", DoubleType()), ("_lon", DoubleType()), ("_page", IntegerType()), ("_reached", DoubleType()), ("row_id", LongType()), ("population", LongType()), ("_plat", DoubleType()), ("_plon", DoubleType()))])
+        found = dealt.select("qid", "_lat", "_lon", "_page", "_reached", "row_id", "population").mapInArrow(pages.meet(others), schema)
+        return found.withColumn("km", F.when(F.col("row_id").isNotNull(), haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")))).drop("_plat", "_plon")
+
+    point = {c: F.when(F.col("row_id").isNull(), F.col(c)) for c in ("_lat", "_lon", "_reached")}  # of an answer they aren't needed any more
+    own = cut(met(first, True).withColumns(point), "own")
+    more = met(own.where("row_id IS NULL").drop("km").withColumn("_at", F.lit(0).cast("long")), False)
+    columns = ["qid", "row_id", "population", "km"]
+    return own.where("row_id IS NOT NULL").select(columns).unionByName(more.select(columns))
+
+
+def _hits_of_tree(q: DataFrame, cubes: DataFrame, leaves: DataFrame, levels: list, weighed: bool) -> DataFrame:
+    """(qid, row_id, population, km) of places that are best or within rounding of it, from the tree of cubes, which is sent."""
     lat, lon = F.col("_lat"), F.col("_lon")
     worth = (lambda most, km: gravity(most, km)) if weighed else (lambda most, km: -km)
     km = haversine_km(lat, lon, F.col("_plat"), F.col("_plon"))
@@ -231,56 +274,25 @@ def _search(queries: DataFrame, columns: DataFrame, tables: tuple[DataFrame, Dat
     begins = _chord_km(_begins() * (1 - 1e-9)) * (1 - 1e-9)
     enough = (worth(F.col("most"), begins) * (1 + 1e-9) if weighed else 1e-6 - begins) >= F.col("_reached")
     place = ["most", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")]
-
-    def with_vector(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(dict(zip(_VECTOR, unit_vector(lat, lon), strict=True)))
-
-    def opened(cand: DataFrame, together: bool) -> DataFrame:
-        """Adds the undivided cubes that queries have to look into; together: rows of a query stand in one partition, and tell what it reaches."""
-        cand = with_vector(cand).withColumn("cube", F.lit(0).cast("long"))
-        for level, n in levels:
-            corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), _CORNER, strict=True)]  # once for a cube, not for each query
-            below = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
-            cand = cand.join(F.broadcast(below) if n <= SENT else below, F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
-            if together and n <= SENT:
-                cand = cand.withColumn("_reached", F.greatest("_reached", F.max(best).over(Window.partitionBy("qid")))).where(enough)
-            cand = cand.drop("most", "_plat", "_plon", *_CORNER)
-        return cand.select("qid", "_lat", "_lon", "_reached", "cube")
-
-    q = queries.where("lat BETWEEN -90 AND 90 AND abs(lon) < double('Infinity')").select("qid", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    # what a query reaches at least is seen first from the cubes around itself, on the levels that can be sent together
-    sent = [r for i, r in enumerate(levels) if sum(n for _, n in levels[: i + 1]) <= SENT]
+    # what a query reaches at least is seen first from the cubes around itself
     axes = ["_x", "_y", "_z"]
-    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), axes, strict=True)), F.lit(float("-inf")).alias("_reached"), F.lit(None).cast("long").alias("_home"))
-    for level, _ in sent:
-        own = cubes.where((F.col("level") == level) & (_level(F.col("cube")) == level))
-        own = own.select(F.col("cube").alias("_own"), *place, F.col("end") if paged else F.lit(False).alias("end"))
+    cand = q.select("*", *(v.alias(c) for v, c in zip(_axes(lat, lon), axes, strict=True)), F.lit(float("-inf")).alias("_reached"))
+    for level, _ in levels:
+        own = cubes.where((F.col("level") == level) & (_level(F.col("cube")) == level)).select(F.col("cube").alias("_own"), *place)
         cand = cand.join(F.broadcast(own), _key(F.lit(level), [F.col(c) for c in axes], F.lit(LAST)) == F.col("_own"), "left")
-        cand = cand.withColumns({"_reached": F.greatest("_reached", best), "_home": F.when(F.col("end"), F.col("_own")).otherwise(F.col("_home"))}).drop("_own", "most", "_plat", "_plon", "end")
-    cand = cand.select("qid", "_lat", "_lon", "_reached", "_home")
-    if paged:
-        # places of its own page tell a query what it reaches: one of each cube, then all of those that could have better. One shuffle serves
-        # both, and no query's cubes have to be looked at together afterwards; queries outside all pages are as few or as far off as without pages
-        own = [F.col("page").alias("_home"), *place]
-        keys = ["qid", "_lat", "_lon", "_home"]
-        home = cand.where("_home IS NOT NULL").repartition("_home")
-        home = home.join(leaves.select(own), "_home").groupBy(keys).agg(F.max(F.greatest("_reached", best)).alias("_reached"))
-        inside = leaves.select(F.col("page").alias("_page"), "most", *_CORNER, "at")
-        home = with_vector(home).join(inside, (F.col("_home") == F.col("_page")) & enough, "left").select(*keys, "_reached", F.inline_outer("at"))
-        home = home.groupBy(keys).agg(F.max(F.greatest("_reached", worth(F.col("population"), km))).alias("_reached"))
-        far = opened(cand.where("_home IS NULL").drop("_home").repartition("qid"), True)
-        met = opened(home.drop("_home"), False).unionByName(far).repartition("cube")
-        hit = with_vector(met).join(inside, F.col("cube") == F.col("_page")).where(enough).select("qid", "_lat", "_lon", "_reached", F.inline("at"))
-    else:
-        met = opened(cand.drop("_home").repartition("qid"), True)
-        hit = met.join(leaves.select("cube", "row_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "population"), "cube")
+        cand = cand.withColumn("_reached", F.greatest("_reached", best)).drop("_own", "most", "_plat", "_plon")
+    cand = cand.select("qid", "_lat", "_lon", "_reached").repartition("qid")
+    cand = cand.withColumns(dict(zip(_VECTOR, unit_vector(lat, lon), strict=True))).withColumn("cube", F.lit(0).cast("long"))
+    for level, _ in levels:
+        corner = [v.alias(c) for v, c in zip(_corner(F.col("cube")), _CORNER, strict=True)]  # once for a cube, not for each query
+        below = cubes.where(F.col("level") == level).select("parent", F.col("cube").alias("_cube"), *place, *corner)
+        cand = cand.join(F.broadcast(below), F.col("cube") == F.col("parent")).drop("cube", "parent").withColumnRenamed("_cube", "cube").where(enough)
+        cand = cand.withColumn("_reached", F.greatest("_reached", F.max(best).over(Window.partitionBy("qid")))).where(enough)
+        cand = cand.drop("most", "_plat", "_plon", *_CORNER)
+    hit = cand.select("qid", "_lat", "_lon", "_reached", "cube").join(leaves.select("cube", "row_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "population"), "cube")
     hit = hit.withColumn("km", km)
     score = worth(F.col("population"), F.col("km"))
-    hit = hit.where((score * (1 + 1e-9) if weighed else score + 1e-6) >= F.col("_reached")).select("qid", "row_id", "population", "km")
-    order = F.struct(-gravity(F.col("population"), F.col("km")), "km", "row_id") if weighed else F.struct("km", "row_id")
-    found = hit.groupBy("qid").agg(F.min_by(F.struct("km", "row_id"), order).alias("_p")).select("qid", "_p.km", "_p.row_id")
-    own = _own_columns(columns)
-    return found.join(columns.select(own), "row_id").select("qid", "km", *own)
+    return hit.where((score * (1 + 1e-9) if weighed else score + 1e-6) >= F.col("_reached")).select("qid", "row_id", "population", "km")
 
 
 def _own_columns(places: DataFrame) -> list[str]:

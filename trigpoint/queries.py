@@ -173,12 +173,13 @@ def j16_batch(v: Views) -> DataFrame:
     rows = v.sql("SELECT event_id DIV 20 AS batch_id, event_id%20 AS idx, CASE WHEN event_id%503=0 THEN 95.5E0 ELSE ((event_id*48611)%180001)/1000.0E0-90 END AS lat, ((event_id*15486719)%360001)/1000.0E0-180 AS lon FROM events")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
     bodies = rows.groupBy("batch_id").agg(F.to_json(F.struct(ordered.alias("points"))).alias("body"))
-    points = requests.parse_batches(bodies)
-    errors = requests.first_errors(points).select("batch_id", F.col("idx").cast("int").alias("first_error"))
-    asked = points.where("error IS NULL").withColumn("qid", F.col("batch_id") * 1000 + F.col("idx"))
-    found = nearest.nearest(asked, v.places()).select("qid", F.col("row_id").cast("string").alias("answer"))
-    answers = requests.gather(asked.join(found, "qid"), "answer").select("batch_id", F.array_join("results", ",").alias("answers"))
-    return bodies.select("batch_id").join(errors, "batch_id", "left").join(answers, "batch_id", "left").select("batch_id", "first_error", F.when(F.col("first_error").isNull(), F.col("answers")).alias("answers"))
+    points = tables.cut(requests.read_batches(bodies), "points")
+    places = v.places()
+    asked = points.where("failed IS NULL").withColumn("qid", F.struct("batch_id", "idx"))
+    found = nearest.nearest(asked, places.select("row_id"), nearest.cube_tables(places))
+    answers = requests.gather(found.select("qid.batch_id", "qid.idx", F.col("row_id").cast("string").alias("answer")), "answer")
+    batches = points.where("idx = coalesce(failed, 0)").select("batch_id", F.col("failed").alias("first_error"))
+    return batches.join(answers, "batch_id", "left").select("batch_id", "first_error", F.array_join("results", ",").alias("answers"))
 
 
 @query("""WITH a AS (SELECT name, country, population FROM places), b AS (SELECT name, country, population + CAST(row_id%5=0 AS INT) AS population FROM places)
